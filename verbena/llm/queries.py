@@ -8,10 +8,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbena.llm.class_lm import lm_scores
 from verbena.llm.decontamination import decontamination_report
+from verbena.llm.embedding_dedup import embedding_groups
+from verbena.llm.jaccard_join import jaccard_groups
+from verbena.llm.repeats import repeat_report
 from verbena.llm.secrets import secret_digest
 from verbena.llm.sentencepiece import encode_digest, model_bytes
 from verbena.llm.sharding import hilbert_shards
+from verbena.llm.toxicity import toxicity_report
 from verbena.llm.url_filter import EXAMPLE_ENTRIES, judge_captures
 
 #: The model file that op4 and the pipeline use; a parameter of the operator.
@@ -50,6 +55,29 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_captures(pages, entries).select("page_id", "host", "fetched_on", "verdict", "matched_key", "valid_from", "valid_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_hilbert, op3_secrets, op4_sentencepiece, op6_url_filter)}
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_hilbert, op3_secrets, op4_sentencepiece, op5_jaccard_join, op6_url_filter, op7_toxicity, op8_class_lm, op9_repeats, op10_embeddings)
+}
 
 ORACLE_SQL: dict[str, str] = {}
