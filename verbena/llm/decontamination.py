@@ -27,6 +27,8 @@ BLOCK_BYTES = 8 << 20
 #: Words of all windows that one pass over the index takes along (8 bytes each); a larger
 #: query set is matched in several passes whose matches are merged.
 PASS_WORDS = 4_000_000
+#: Contaminated rows up to this number are broadcast (8 bytes each), more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def build_block(data: np.ndarray, offsets: np.ndarray):
@@ -241,3 +243,14 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, size: int = 10
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     return search(build_index(only(docs, "doc_id", "text")), items, size).mapInArrow(report_batches, REPORT_SCHEMA)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """``docs`` without the rows that hold any benchmark window; clean rows stay untouched, and
+    so do rows whose text is null or empty. A row is known by a hash of its id and text."""
+    row = F.xxhash64("doc_id", "text")
+    report = decontamination_report(docs.select(row.alias("doc_id"), "text"), benchmark, size)
+    hit = materialise(report.where("contaminated").select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    if hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hit = F.broadcast(hit)
+    return docs.join(hit, row == hit["row"], "left_anti")
