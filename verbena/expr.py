@@ -194,6 +194,12 @@ class RangeList(list):
         super().__init__(source.values())
         self.source = source
 
+    def __invert__(self):
+        return Op("~", (self.source,))
+
+    def __neg__(self):
+        return Op("neg", (self.source,))
+
 
 f = Symbol()
 c = Collection()

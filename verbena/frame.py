@@ -330,7 +330,7 @@ class Context:
     def column(self, name: str | int) -> Val:
         if isinstance(name, int):
             name = self.frame.columns[name]
-        if name in self.results:
+        if name in self.results and (self.depth == 0 or not self.has(name)):
             return Val(self.results[name], "agg")
         if not self.has(name):
             raise ColumnNotExistingError(f"column {name!r} does not exist")

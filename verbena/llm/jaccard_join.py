@@ -28,8 +28,9 @@ WIDTH_BITS = 20
 WIDTH = 1 << WIDTH_BITS
 #: Counters that travel in one row.
 SLICE = 1 << 14
-#: Classes of the suffix filter.
+#: Classes of the suffix filter, and words (64 bits) of its parity form.
 CLASSES = 32
+PARITY = 8
 CHUNK_BYTES = 2 << 20
 #: Class ids up to this number are broadcast (8 bytes each) to pick the sets to verify.
 BROADCAST_IDS = 1_000_000
@@ -119,14 +120,14 @@ def least_share(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
-PREFIX_SCHEMA = "doc_id bigint, n bigint, print1 bigint, print2 bigint, classes array<smallint>, prefix array<bigint>"
+PREFIX_SCHEMA = "doc_id bigint, n bigint, print1 bigint, print2 bigint, classes array<smallint>, parity array<bigint>, prefix array<bigint>"
 
 
 def prefixer(counts, size: int, percent: int):
     def prefixes(batches):
         table = np.frombuffer(zlib.decompress(counts.value), np.int32).reshape(2, WIDTH)
         for batch in batches:
-            rows, out = [], [[] for _ in range(5)]
+            rows, out = [], [[] for _ in range(6)]
             for row, grams in sets_of(batch, size):
                 n = len(grams)
                 a, b = slots(grams)
@@ -136,13 +137,22 @@ def prefixer(counts, size: int, percent: int):
                 out[1].append(int(signed(np.add.reduce(mix(grams), keepdims=True))[0]) if n else 0)
                 out[2].append(int(signed(np.bitwise_xor.reduce(mix(grams + np.uint64(1)), keepdims=True))[0]) if n else 0)
                 out[3].append(np.minimum(np.bincount((grams >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES), 32767).astype(np.int16))
-                out[4].append(signed(grams[order[: n - least_share(n, percent) + 1]]) if n else grams.view(np.int64))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names=["doc_id", "n", "print1", "print2", "classes", "prefix"])
+                out[4].append(parity(grams))
+                out[5].append(signed(grams[order[: n - least_share(n, percent) + 1]]) if n else grams.view(np.int64))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names=["doc_id", "n", "print1", "print2", "classes", "parity", "prefix"])
 
     return prefixes
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY classes whether it has an odd number of members. Every n-gram
+    that only one of two sets has changes one bit, so the bits that differ are a lower bound
+    of their difference."""
+    odd = np.bincount((grams >> np.uint64(28)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sorted_columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
     return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
@@ -266,7 +276,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(texts, size))
     members = materialise(texts.mapInArrow(prefixer(counts, size, percent), PREFIX_SCHEMA), "members")
     classes = materialise(
-        members.where("n > 0 and doc_id is not null").groupBy("n", "print1", "print2").agg(F.min("doc_id").alias("rep"), F.first("classes").alias("classes"), F.first("prefix").alias("prefix")),
+        members.where("n > 0 and doc_id is not null").groupBy("n", "print1", "print2").agg(F.min("doc_id").alias("rep"), F.first("classes").alias("classes"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")),
         "classes",
     )
     rows = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("pos").cast("bigint").alias("pos"), "n", "rep")
@@ -285,7 +295,9 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     grouped = viable.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     grouped = materialise(grouped, "grouped")
     mixed = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_rows = materialise(grouped.join(mixed, "token", "left_semi"), "open")
+    # the parity bits are compared in the join itself, before a pair becomes a row
+    bits = classes.select("rep", *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY)])
+    open_rows = materialise(grouped.join(mixed, "token", "left_semi").join(bits, "rep"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     need = f"({percent} * (x.n + y.n)) div {100 + percent}"
     apart = x.join(y, F.expr("x.token = y.token")).where(
@@ -293,6 +305,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
             "x.rep < y.rep and x.component <> y.component"
             f" and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}"
             f" and least(x.before, y.before) + least(x.n - x.pos, y.n - y.pos) >= {need}"
+            f" and {' + '.join(f'bit_count(x.p{k} ^ y.p{k})' for k in range(PARITY))} <= x.n + y.n - 2 * ({need})"
         )
     )
     apart = apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()

@@ -39,7 +39,10 @@ def read(path: str, format: str | None = None, schema: str | None = None, keep_o
 def write(frame: Frame, path: str, format: str | None = None, mode: str = "error", partition_by: list[str] | None = None, bucket_by: tuple[int, list[str]] | None = None, **options) -> None:
     """Write a frame; a row order is written as the order of the files. ``bucket_by`` (number,
     columns) saves a bucketed table of the name ``path`` for joins without a shuffle."""
-    writer = frame.visible().write.format(format or format_of(path)).mode(mode).options(**options)
+    kind = format or format_of(path)
+    if kind == "csv":
+        options = {"header": True, "nullValue": "NA"} | options
+    writer = frame.visible().write.format(kind).mode(mode).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if bucket_by:
