@@ -30,6 +30,9 @@ STARTS = (4, 5, 6, 7)
 #: Featureless tokens on each side of a cue that a training sequence has.
 MARGIN = 4
 THRESHOLD = 0.3
+#: Log-likelihood ratio from which a feature is in the model, and from which it tags a token:
+#: the second is what no feature of a corpus reaches by chance.
+FEATURE_EVIDENCE, CUE_EVIDENCE = 10.0, 25.0
 CHUNK_BYTES = 2 << 20
 
 
@@ -211,12 +214,11 @@ class ChainModel:
         return float(1 / (1 + np.exp(-x @ self.calibration)))
 
 
-def cues(rows: pd.DataFrame, toxic: int, clean: int) -> pd.DataFrame:
-    """Features that mark toxic documents: smoothed log odds and their z value."""
+def evidence(rows: pd.DataFrame, share: float) -> np.ndarray:
+    """Log-likelihood ratio (G) of each feature's labels against the share of toxic rows."""
     a, b = rows["toxic"].to_numpy(float), rows["clean"].to_numpy(float)
-    odds = np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5))
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    return rows.assign(odds=odds, z=z)
+    n = a + b
+    return 2 * (a * np.log(a / (n * share)) + b * np.log(np.maximum(b, 1) / (n * (1 - share))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -244,10 +246,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
         share = toxic / (toxic + clean)
         kept = counts.where((F.col("toxic") >= 3) & (F.col("toxic") > 2 * share * (F.col("toxic") + F.col("clean"))))
         kept = kept.orderBy(F.desc(F.col("toxic") - share * (F.col("toxic") + F.col("clean"))), "feature").limit(MAX_FEATURES)
-        found = cues(kept.toPandas(), toxic, clean)
-        found = found[found["z"] > 2.5].sort_values("feature", key=lambda s: s.to_numpy().view(np.uint64))
+        found = kept.toPandas()
+        found = found.assign(g=evidence(found, share))
+        found = found[found["g"] > FEATURE_EVIDENCE].sort_values("feature", key=lambda s: s.to_numpy().view(np.uint64))
         known = found["feature"].to_numpy(np.int64).view(np.uint64)
-        strong = ((found["z"] > 4) & (found["toxic"] > 0.6 * (found["toxic"] + found["clean"]))).to_numpy()
+        strong = ((found["g"] > CUE_EVIDENCE) & (found["toxic"] > 0.6 * (found["toxic"] + found["clean"]))).to_numpy()
     model = ChainModel(len(known))
     seen = rows.mapInArrow(sample_tokens(known), "toxic int, n bigint, positions array<bigint>, features array<bigint>").collect()
     size = 2 * MARGIN + 1
