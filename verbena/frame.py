@@ -291,6 +291,26 @@ class Context:
         self.frame = self.frame.with_(self.frame.df.withColumn(name, col))
         return quoted(name)
 
+    def over_group(self, col: Column) -> Column:
+        """An aggregate of the group beside each row: a window where there are groups; of all
+        rows, one aggregate that is broadcast back, so that no task sees all of them."""
+        if self.frame.groups:
+            return col.over(self.group_window())
+        name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
+        one = self.frame.df.agg(col.alias(name))
+        self.frame = self.frame.with_(self.frame.df.crossJoin(F.broadcast(one)))
+        return quoted(name)
+
+    def position(self) -> Column:
+        """The 0-based position of each row in its group."""
+        if self.frame.groups or self.explicit_order is not None:
+            return self.hoist((F.row_number().over(self.order_window()) - 1).cast("bigint"))
+        self.frame = self.frame.ordered()
+        order = self.frame.order
+        name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
+        self.frame = self.frame.ordinal(name).with_(order=order)
+        return quoted(name)
+
     def dtype(self, col: Column) -> T.DataType:
         return self.df.select(col.alias("x")).schema[0].dataType
 
@@ -365,17 +385,6 @@ class Context:
             return Val(out, combined([self.val(a) for a in args if isinstance(a, Expr)]), any(self.val(a).window for a in args if isinstance(a, Expr)))
         return Val(out)
 
-    def aggregate(self, make, *args) -> Val:
-        """``make(*columns)`` is an aggregate: over the group in summarise, over a window else."""
-        columns = [self.row(a) for a in args]
-        if self.mode == "agg" and self.depth == 0:
-            return Val(make(*columns), "agg")
-        return Val(over(make(*columns), self.group_window()), "row", True)
-
-
-def over(col: Column, window) -> Column:
-    return col.over(window)
-
 
 def combined(values: list[Val]) -> str:
     forms = {v.form for v in values}

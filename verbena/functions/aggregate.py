@@ -36,6 +36,8 @@ def applied(ctx: Context, run, vector: bool = False) -> Val:
     """Run in summarise as an aggregate, elsewhere as a window over the group."""
     if ctx.mode == "agg" and ctx.depth == 0:
         return Val(run(lambda a: a), "aggarray" if vector else "agg")
+    if not ctx.frame.groups:  # any mix of aggregates of all rows is one row
+        return Val(ctx.over_group(run(lambda a: a)), "array" if vector else "row")
     window = ctx.group_window()
     return Val(run(lambda a: a.over(window)), "array" if vector else "row", True)
 
@@ -251,7 +253,7 @@ def n_distinct(ctx, *xs, na_rm=True):
     gap = cols[0].isNull() if len(cols) == 1 else F.lit(False)
 
     def run(A):
-        if ctx.mode == "agg" and ctx.depth == 0:
+        if (ctx.mode == "agg" and ctx.depth == 0) or not ctx.frame.groups:
             out = F.count_distinct(value)
         else:
             out = F.size(A(F.collect_set(value))).cast("bigint")
@@ -325,9 +327,8 @@ def last2(ctx, _x, _y):
 
 def which_extreme(name: str, pick):
     def lower(ctx, x):
-        ctx.frame = ctx.frame.ordered()
         col = ctx.row(x)
-        position = ctx.hoist((F.row_number().over(ctx.order_window()) - 1).cast("bigint"))
+        position = ctx.position()
         return applied(ctx, lambda A: pick(A, col, position))
 
     lower.__name__, lower.__doc__ = name, "0-based position of the first extreme value."
@@ -342,7 +343,7 @@ which_min = which_extreme("which_min", lambda A, x, p: A(F.min_by(p, F.when(x.is
 def which(ctx, x):
     """0-based positions of the true values."""
     col = ctx.row(x)
-    position = ctx.hoist((F.row_number().over(ctx.order_window()) - 1).cast("bigint"))
+    position = ctx.position()
     return applied(ctx, lambda A: F.sort_array(A(F.collect_list(F.when(col, position)))), vector=True)
 
 

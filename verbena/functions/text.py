@@ -50,7 +50,7 @@ def grep(ctx, pattern, x, ignore_case=False, value=False, fixed=False, invert=Fa
     col = ctx.row(x)
     hit = F.coalesce(col.rlike(pattern_of(pattern, ignore_case, fixed)), F.lit(False))
     hit = ~hit if invert else hit
-    position = ctx.hoist((F.row_number().over(ctx.order_window()) - 1).cast("bigint"))
+    position = ctx.position()
 
     def run(A):
         rows = F.array_sort(A(F.collect_list(F.when(hit, F.struct(position.alias("p"), col.alias("v"))))))
@@ -94,7 +94,7 @@ def joined(ctx, args, sep, collapse) -> Val:
     out = F.concat_ws(sep, *cols)
     if collapse is None:
         return Val(out, "row" if any(ctx.val(a).form == "row" for a in args) else ctx.val(args[0]).form)
-    position = ctx.hoist(F.row_number().over(ctx.order_window()))
+    position = ctx.position()
 
     def run(A):
         rows = F.array_sort(A(F.collect_list(F.struct(position.alias("p"), out.alias("v")))))

@@ -60,7 +60,7 @@ cume_dist = ranking("cume_dist", F.cume_dist, "double")
 def _row_number(ctx, x=f):
     """1-based number of the row by ``x``, else in row order."""
     if isinstance(x, Symbol):
-        return Val(F.row_number().over(ctx.order_window()).cast("bigint"), "row", True)
+        return Val(ctx.position() + 1)
     window = Window.partitionBy(*ctx.partition()).orderBy(sort_key(ctx, x))
     return Val(F.row_number().over(window).cast("bigint"), "row", True)
 
@@ -218,13 +218,12 @@ def diff(ctx, x, lag=1, differences=1):
 def scale(ctx, x, center=True, scale_=True):
     """Values minus their mean (or ``center``), by their standard deviation (or ``scale_``)."""
     value = ctx.row(x).cast("double")
-    window = ctx.group_window()
-    middle = F.avg(value).over(window) if center is True else F.lit(0.0 if center is False else float(center))
+    middle = ctx.over_group(F.avg(value)) if center is True else F.lit(0.0 if center is False else float(center))
     if scale_ is True:
-        spread = F.stddev_samp(value).over(window) if center is not False else F.sqrt(F.sum(value * value).over(window) / (F.count(value).over(window) - 1))
+        spread = ctx.over_group(F.stddev_samp(value)) if center is not False else F.sqrt(ctx.over_group(F.sum(value * value)) / (ctx.over_group(F.count(value)) - 1))
     else:
         spread = F.lit(1.0 if scale_ is False else float(scale_))
-    return Val((value - middle) / spread, "row", True)
+    return Val((value - middle) / spread, "row", bool(ctx.frame.groups))
 
 
 @function("window")
@@ -242,7 +241,7 @@ def duplicated(ctx, x, incomparables=None, from_last=False):
 def proportions(ctx, x, margin=1):
     """Share of each value in the sum of the group."""
     value = ctx.row(x).cast("double")
-    return Val(value / F.sum(value).over(ctx.group_window()), "row", True)
+    return Val(value / ctx.over_group(F.sum(value)), "row", bool(ctx.frame.groups))
 
 
 prop_table = proportions

@@ -79,11 +79,12 @@ def row_position(frame: Frame, reverse: bool = False) -> tuple[Frame, Column]:
     if own.groups:
         window = Window.partitionBy(*map(quoted, own.groups)).orderBy(*own.sort_columns(reverse))
         return own, (F.row_number().over(window) - 1).cast("bigint")
+    out = own.ordinal("__at0").with_(order=own.order)
     if reverse:
-        window = Window.orderBy(*own.sort_columns(True))
-        return own, (F.row_number().over(window) - 1).cast("bigint")
-    out = own.ordinal("__at0")
-    return out.with_(order=own.order), quoted("__at0")
+        ctx = Context(out)
+        last = ctx.over_group(F.max("__at0"))
+        return ctx.frame, last - quoted("__at0")
+    return out, quoted("__at0")
 
 
 def kept(frame: Frame, test: Column) -> Frame:
@@ -136,13 +137,19 @@ def slice_(_data, *args, _preserve=False):
     frame, at = row_position(_data)
     ctx = Context(frame)
     at = ctx.hoist(at)
-    size = ctx.hoist(F.count(F.lit(1)).over(ctx.group_window()))
+    size = group_size_of(ctx)
     test = F.lit(False)
     for x in args:
         test = test | position_test(ctx, x, at, size)
     return kept(ctx.frame, test)
 
 
+def group_size_of(ctx: Context) -> Column:
+    """Rows of the group beside each row."""
+    size = ctx.over_group(F.count(F.lit(1)))
+    return ctx.hoist(size) if ctx.frame.groups else size
+
+
 def amount(n, prop, default=1) -> tuple[Any, Any]:
     if n is not None and prop is not None:
         raise ValueError("only one of n and prop can be given")
@@ -160,7 +167,7 @@ def edge(_data: Frame, n, prop, tail: bool) -> Frame:
     at = ctx.hoist(at)
     if prop is None and n >= 0:
         return kept(ctx.frame, at < n)
-    size = ctx.hoist(F.count(F.lit(1)).over(ctx.group_window()))
+    size = group_size_of(ctx)
     return kept(ctx.frame, at < (size + n if prop is None else F.floor(size * prop)))
 
 
@@ -220,10 +227,15 @@ def slice_sample(_data, n=1, prop=None, weight_by=None, replace=False, random_st
         frame = ctx.frame.with_(ctx.frame.df.withColumn("__draw", key))
         if prop is None and not _data.groups:
             return own.with_(frame.df.orderBy("__draw").limit(n).drop("__draw"))
+        if not _data.groups:  # a share of all rows: positions in the order of the draws
+            ctx = Context(frame.with_(order=[("__draw", False)]).ordinal("__at0").with_(order=own.order))
+            size = group_size_of(ctx)
+            out = kept(ctx.frame, F.col("__at0") < F.floor(size * prop))
+            return out.with_(out.df.drop("__draw"))
         window = Window.partitionBy(*map(quoted, _data.groups)).orderBy("__draw")
         ctx = Context(frame)
         at = ctx.hoist(F.row_number().over(window))
-        size = ctx.hoist(F.count(F.lit(1)).over(ctx.group_window()))
+        size = group_size_of(ctx)
         out = kept(ctx.frame, at <= (F.floor(size * prop) if prop is not None else F.lit(n)))
         return out.with_(out.df.drop("__draw"))
     weight = literal(1.0) if weight_by is None else ctx.row(weight_by).cast("double")

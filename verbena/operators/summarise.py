@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verbena.expr import Call, Col, columns_of, verb
@@ -153,11 +153,12 @@ def tally(_data, wt=None, sort=False, name=None):
 def add_count(_data, *args, wt=None, sort=False, name="n", **kwargs):
     """The count as a column."""
     frame, keys = grouped_keys(_data, args, kwargs)
-    ctx = Context(frame)
-    window = Window.partitionBy(*map(quoted, dict.fromkeys([*frame.groups, *keys])))
+    ctx = Context(frame.with_(groups=list(dict.fromkeys([*frame.groups, *keys]))))
     total = F.count(F.lit(1)) if wt is None else F.sum(ctx.row(wt))
     made = set(frame.columns) - set(_data.columns)
-    out = ctx.frame.with_(ctx.frame.df.withColumn(name, total.over(window)))
+    total = ctx.over_group(total)
+    out = ctx.frame.with_(ctx.frame.df.withColumn(name, total), groups=_data.groups)
+    out = out.with_(out.df.drop(*[c for c in out.hidden if c.startswith("__t")]))
     out = out.with_(out.df.drop(*[m for m in made if m not in kwargs]))
     if sort:
         from verbena.operators.rows import arrange
