@@ -132,7 +132,7 @@ def sort_suffixes(symbols: np.ndarray, ends: np.ndarray, length: int):
         key = (key << 9) | np.where(left > k, part, 0)
 
     def classed(key):
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal suffixes may stand in any order
         ranked = key[order]
         new = np.r_[True, ranked[1:] != ranked[:-1]]
         classes = np.empty(n, np.int64)
@@ -176,13 +176,24 @@ def long_groups(symbols: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
     open_ = np.flatnonzero(~cut)
     u, v = place[order[open_ - 1] + 1], place[order[open_] + 1]
     low, high = np.minimum(u, v), np.maximum(u, v)
+    # in a run of one preceding byte a cut extends to exactly one place; only where other
+    # bytes lie between the two neighbours a range has to be looked at
+    single = high - low == 1
+    extends = np.full(n + 1, -1, np.int64)
+    extends[high[single]] = open_[single]
+    open_, low, high = open_[~single], low[~single], high[~single]
+    front = np.flatnonzero(cut)
     for _ in range(length - depth):
         before = np.cumsum(cut, dtype=np.int32)
         hit = before[high] > before[low]
-        if not hit.any():
+        next_ = extends[front]
+        next_ = np.concatenate([next_[next_ >= 0], open_[hit]])
+        front = next_[~cut[next_]]
+        if not len(front):
             break  # no boundary spreads any more: the rest share all that follows
-        cut[open_[hit]] = True
-        open_, low, high = open_[~hit], low[~hit], high[~hit]
+        cut[front] = True
+        if hit.sum() * 8 > len(hit):
+            open_, low, high = open_[~hit], low[~hit], high[~hit]
     cut[1:] |= short[1:] | short[:-1]
     return order, np.cumsum(cut)
 
