@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbena.llm import sql
 from verbena.llm.class_lm import lm_scores
 from verbena.llm.decontamination import decontamination_report
 from verbena.llm.embedding_dedup import embedding_groups
@@ -80,4 +81,9 @@ QUERIES = {
     for f in (op1_decontamination, op2_hilbert, op3_secrets, op4_sentencepiece, op5_jaccard_join, op6_url_filter, op7_toxicity, op8_class_lm, op9_repeats, op10_embeddings)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": sql.DECONTAMINATION,
+    "op5_jaccard_join": sql.JACCARD,
+    "op6_url_filter": sql.URL_FILTER,
+    "op10_embeddings": sql.EMBEDDINGS,
+}
