@@ -30,7 +30,7 @@ HELD_WORDS = 1 << 18
 PRIOR = 20.0
 CHUNK_BYTES = 2 << 20
 #: Distinct words that a task counts before it hands them on.
-FLUSH = 1_000_000
+FLUSH = 400_000
 
 # Trailing bytes and, per script, second bytes of two-byte letters.
 ENDINGS = {ord("."): 1, ord(","): 2, ord("!"): 1, ord("?"): 1, ord(";"): 2, ord(":"): 2}
