@@ -143,6 +143,29 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("select k, s from sums").collect())) == [(0, 200), (1, 240)]
 
 
+def test_own_functions_and_verbs(spark):
+    @verbena.register_func()
+    def plus_one(x):
+        return x + 1
+
+    @verbena.register_verb
+    def doubled(frame, column):
+        return frame >> mutate(d=column * 2)
+
+    x = tibble(a=[1, 2])
+    assert (x >> mutate(b=plus_one(f.a))).collect() == [(1, 2), (2, 3)]
+    assert (x >> doubled(f.a)).collect() == [(1, 2), (2, 4)]
+    assert ([1, 2, 3] >> mean()) == 2.0
+
+
+def test_no_window_over_all_rows(spark):
+    x = tibble(a=[1.0, 2.0, 3.0])
+    out = x >> mutate(s=f.a / sum_(f.a), k=n()) >> filter_(f.a > mean(f.a))
+    plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    assert out.collect() == [(3.0, 0.5, 3)]
+
+
 def test_nan_option(spark):
     x = tibble(a=[1.0]) >> mutate(b=f.a * float("inf") - float("inf"))
     with options_context(nan_is_na=True):

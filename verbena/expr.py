@@ -119,6 +119,12 @@ class Call(Expr):
     def __init__(self, name: str, args: tuple = (), kwargs: dict | None = None):
         self.name, self.args, self.kwargs = name, args, kwargs or {}
 
+    def __rrshift__(self, data):
+        """Plain data piped into a function is its first argument."""
+        if has_expr(data):
+            return Call(self.name, (data, *self.args), self.kwargs)
+        return FUNCTIONS[self.name](data, *self.args, **self.kwargs)
+
     def __repr__(self):
         return f"{self.name}({', '.join(map(repr, self.args))})"
 
