@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +59,29 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of an Arrow batch: whole texts are long, and a worker holds a few batches at a time.
+BATCH_ROWS = 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session gives Python workers batches of at most BATCH_ROWS rows from now on
+    (unless the session sets fewer)."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker process goes on to other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if release is not None:
+        release(0)
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Keep exactly the columns an operator reads; extra columns, clashing ones too, go."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

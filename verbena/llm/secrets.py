@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verbena.llm._common import small_batches
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -160,7 +162,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """All spans of every whole text: base spans and guess-cost spans (code points, end
     exclusive). Null and empty texts have none; each row is scanned by itself, so order,
     repeats and skew of rows do not matter; other columns are ignored."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan_batches, SCAN_SCHEMA)
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan_batches, SCAN_SCHEMA)
 
 
 def digest_batches(batches):
@@ -208,4 +210,4 @@ def redact_batches(batches):
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span found replaced by ``[REDACTED]``; overlapping spans become
     one. All rows and columns stay, null texts stay null."""
-    return docs.mapInArrow(redact_batches, docs.schema)
+    return small_batches(docs).mapInArrow(redact_batches, docs.schema)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verbena.llm._common import small_batches, trim
+
 MARK = "▁"
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -142,7 +144,7 @@ def text_groups(texts: list[str], limit: int = BATCH_CHARS):
 #: A control character that separates words handed over together; it is a token of its own.
 SEPARATOR = "\x01"
 #: Words whose ids a worker keeps; then it starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 #: Words handed to the tokenizer as one string.
 JOINED_WORDS = 2_000
 
@@ -270,6 +272,7 @@ def encoder(data: bytes, threads: int, verify: bool):
                 offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
                 same = pa.array(good) if verify else pa.nulls(j - i, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(sizes), same], names=["doc_id", "ids", "n_tokens", "parity"])
+        trim()
 
     return encode
 
@@ -282,7 +285,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2, verify: bool = True)
     are a few megabytes at most). Null and empty texts have no tokens; rows are independent,
     so repeats, ties and skew do not matter; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(encoder(model, threads, verify), ENCODE_SCHEMA)
 
 

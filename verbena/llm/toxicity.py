@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import ALNUM, doc_chunks, mix, prefix_hash, signed, split_words, text_buffers
+from verbena.llm._common import ALNUM, doc_chunks, mix, prefix_hash, signed, small_batches, split_words, text_buffers, trim
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_DOCS = 12_000
@@ -32,8 +32,8 @@ MARGIN = 4
 THRESHOLD = 0.3
 #: Log-likelihood ratio from which a feature is in the model, and from which it tags a token:
 #: the second is what no feature of a corpus reaches by chance.
-FEATURE_EVIDENCE, CUE_EVIDENCE = 10.0, 25.0
-CHUNK_BYTES = 2 << 20
+FEATURE_EVIDENCE, CUE_EVIDENCE = 18.0, 25.0
+CHUNK_BYTES = 1 << 20
 
 
 def token_features(data: np.ndarray, offsets: np.ndarray):
@@ -129,7 +129,7 @@ class ChainModel:
         padded = np.r_[self.weights, 0.0]
         return self.bias + padded[features].sum(axis=-1)
 
-    def fit(self, features: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int = 120, rate: float = 0.15, decay: float = 1e-3) -> None:
+    def fit(self, features: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int = 60, rate: float = 0.25, decay: float = 1e-3) -> None:
         """Gradient ascent (Adam) on the likelihood of the tag sequences; arrays are
         (sequence, place[, feature])."""
         n, size = tags.shape
@@ -137,16 +137,16 @@ class ChainModel:
             return
         state = [np.zeros(len(self.weights) + 5) for _ in range(2)]
         tokens = mask.sum()
+        used = features >= 0
+        flat, owner = features[used], np.nonzero(used)[:2]
+        both = mask[:, 1:] & mask[:, :-1]
+        seen = np.bincount(tags[:, :-1][both] * 2 + tags[:, 1:][both], minlength=4).reshape(2, 2)
         for step in range(1, steps + 1):
             gamma, pairs = self.posteriors(self.emission(features), mask)
             gap = np.where(mask, tags - gamma, 0.0)
             grad = np.zeros(len(self.weights) + 5)
-            used = features >= 0
-            np.add.at(grad, features[used], np.broadcast_to(gap[..., None], features.shape)[used])
+            grad[:-5] = np.bincount(flat, weights=gap[owner], minlength=len(self.weights))
             grad[-5] = gap.sum()
-            seen = np.zeros((2, 2))
-            both = mask[:, 1:] & mask[:, :-1]
-            np.add.at(seen, (tags[:, :-1][both], tags[:, 1:][both]), 1.0)
             grad[-4:] = (seen - pairs).ravel()
             theta = np.r_[self.weights, self.bias, self.trans.ravel()]
             grad = grad / tokens - decay * theta * (len(tags) / tokens)
@@ -225,7 +225,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text, toxic) of at most ``sample`` labelled rows outside the held-out quarter."""
     label = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     label = label.where(~held_out(F.col("doc_id")))
-    picked = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    total = label.count()
+    if total > sample:  # only about as many as needed are sorted
+        share = 1 << 20
+        label = label.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < int(share * min(1.0, 1.2 * sample / total) + 64))
+    picked = label.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), F.xxhash64("doc_id"), "doc_id").limit(sample)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
@@ -330,6 +334,7 @@ def tagger(shared, with_spans: bool):
                                 spans[i + d].append({"start": int(points[s]) - 1, "end": int(points[e - 1]), "probability": float(p)})
             extra = [pa.array(scores), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "score", "spans"])
+        trim()
 
     return tag
 
@@ -339,7 +344,7 @@ def tag_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, wit
     their marginal). Null and empty texts have no tokens and get the score of a text without
     cues; all rows and columns stay, score and spans are replaced; without usable labels every
     text gets the same score. The model is a few hundred kilobytes whatever the input."""
-    rows = docs.drop("score", "spans")
+    rows = small_batches(docs).drop("score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, sample))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(tagger(shared, with_spans), f"{fields}, {TAG_SCHEMA}")
