@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbena.llm._common import LOWER, NONSPACE, connected_components, discard, doc_chunks, materialise, mix, signed, split_words, text_buffers
+from verbena.llm._common import LOWER, NONSPACE, connected_components, discard, doc_chunks, materialise, mix, signed, small_batches, split_words, text_buffers
 
 #: Two count rows of 2**WIDTH_BITS counters (4 bytes each).
 WIDTH_BITS = 20
@@ -32,8 +32,12 @@ SLICE = 1 << 14
 CLASSES = 32
 PARITY = 8
 CHUNK_BYTES = 2 << 20
-#: Class ids up to this number are broadcast (8 bytes each) to pick the sets to verify.
+#: Ids up to this number are broadcast (8 bytes each), and pairs to verify (24 bytes each) up
+#: to this; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+BROADCAST_PAIRS = 200_000
+#: Partners of a home that are compared in one place.
+PARTNERS = 500
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -222,6 +226,8 @@ def neighbours(percent: int):
 
 
 def set_rows(size: int):
+    """(homes, doc_id, set) of the documents that have to be compared."""
+
     def rows(batches):
         for batch in batches:
             at, held, count = [], [], 0
@@ -236,11 +242,40 @@ def set_rows(size: int):
                 yield packed(batch, at, held)
 
     def packed(batch, at, held):
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(held, pa.list_(pa.int64()))], names=["doc_id", "grams"])
+        rows = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(0).take(rows), pa.array(held, pa.list_(pa.int64()))], names=["homes", "doc_id", "grams"])
 
     return rows
 
 
+def compared(percent: int):
+    """Of sets sorted by home, the home's own first: pairs that reach the similarity. One home's
+    sets (more than one only where rows share its id) are held at a time."""
+
+    def compare(batches):
+        home, own = None, []
+        for batch in batches:
+            a, b = [], []
+            for at, first, doc, grams in zip(*(batch.column(k) for k in ("home", "other", "doc_id", "grams")), strict=True):
+                key = tuple(at.as_py().values())
+                grams = grams.values.to_numpy()
+                if key != home:
+                    home, own = key, []
+                if not first.as_py():
+                    own.append(grams)
+                    continue
+                for mine in own:
+                    both = len(np.intersect1d(mine, grams, assume_unique=True))
+                    if both * 100 >= percent * (len(mine) + len(grams) - both):
+                        a.append(key[0])
+                        b.append(doc.as_py())
+                        break
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return compare
+
+
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, tag: str) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity: suffix filter on the class counts,
     then one exact intersection of the whole sets for each pair."""
@@ -251,15 +286,19 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     right = brief.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("classes").alias("cb"))
     kept = pairs.join(left, "a").join(right, "b").where(apart <= F.col("na") + F.col("nb") - 2 * need)
     kept = materialise(kept.select("a", "b").distinct(), f"{tag}-pairs")
-    ids = kept.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = materialise(chosen.mapInArrow(set_rows(size), "doc_id bigint, grams array<bigint>"), f"{tag}-sets")
-    sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    checked = kept.join(sa, "a").join(sb, "b").withColumn("both", both).where(F.col("both") * 100 >= percent * (F.size("ga") + F.size("gb") - F.col("both")))
-    found = materialise(checked.select("a", "b").distinct(), f"{tag}-links")
-    discard(kept, sets)
+    # every pair is compared where its first member is at home; a home with many partners has
+    # several places, each with its own copy of the home's set
+    homes = kept.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("places"))
+    guests = kept.join(homes, "a").select(F.col("b").alias("doc_id"), F.struct(F.col("a"), F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place")).alias("home"))
+    hosts = homes.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), "a").select("doc_id", F.struct("a", "place").alias("home"))
+    roles = materialise(guests.unionByName(hosts).groupBy("doc_id").agg(F.collect_set("home").alias("homes")), f"{tag}-roles")
+    few = kept.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    chosen = texts.join(F.broadcast(roles) if few else roles, "doc_id").select("doc_id", "text", "homes")
+    sets = chosen.mapInArrow(set_rows(size), "homes array<struct<a:bigint,place:int>>, doc_id bigint, grams array<bigint>")
+    sets = sets.select(F.explode("homes").alias("home"), "doc_id", "grams").withColumn("other", F.col("doc_id") != F.col("home.a"))
+    found = sets.repartition("home").sortWithinPartitions("home", "other").mapInArrow(compared(percent), "a bigint, b bigint")
+    found = materialise(found.distinct(), f"{tag}-links")
+    discard(kept, roles)
     return found
 
 
@@ -272,7 +311,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     without doc_id has no component; of rows that share a doc_id each has the component of its
     own text; an empty table gives no rows; other columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(texts, size))
     members = materialise(texts.mapInArrow(prefixer(counts, size, percent), PREFIX_SCHEMA), "members")
     classes = materialise(
