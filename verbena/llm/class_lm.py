@@ -261,6 +261,20 @@ class ClassModel:
         self.total = total
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent words, HELD_WORDS at most: those above a step of a logarithmic scale,
+    found from the number of words at each step (so tasks send on only what is held)."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    steps = {r["step"]: r["n"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    total, least = 0, None
+    for s in sorted(steps, reverse=True):
+        total += steps[s]
+        if total > HELD_WORDS:
+            break
+        least = s
+    return counts.where(F.lit(False) if least is None else step >= least).select("word", "c")
+
+
 SCORE_SCHEMA = "row_key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, rare array<bigint>, times array<int>"
 
 
@@ -325,7 +339,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     ends = rows.where("train").count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, types = sums["n"] + ends, sums["v"] + (ends > 0)
-    held = counts.orderBy(F.desc("c"), "word").limit(HELD_WORDS).select("word", "c").toPandas()
+    held = frequent(counts).toPandas()
     vocabulary = Vocabulary(held["word"].to_numpy(np.int64).view(np.uint64), held["c"].to_numpy(np.int64))
     shared = context.broadcast(vocabulary)
     table = bigrams(rows, shared, vocabulary)
