@@ -33,7 +33,7 @@ LENGTH = 400
 GRAM = 200
 CHUNK_BYTES = 2 << 20
 #: Bytes of one transform, and the different surroundings of an anchor that it may hold.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 MAX_SURROUNDINGS = 16_384
 #: Place bits beside the hash in the window minimum; longer documents are read in pieces.
 PLACE = 24
