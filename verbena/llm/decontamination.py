@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import ALNUM, LOWER, doc_chunks, materialise, only, split_words, text_buffers
+from verbena.llm._common import ALNUM, LOWER, doc_chunks, materialise, only, small_batches, split_words, text_buffers, trim
 
 INDEX_SCHEMA = "block string, doc_ids array<bigint>, n_words array<int>, terms binary, starts binary, postings binary"
 MATCH_SCHEMA = "block string, ord int, doc_id bigint, n_words bigint, spans array<int>, items array<string>"
 #: Text bytes that make one block of the index.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Words of all windows that one pass over the index takes along (8 bytes each); a larger
 #: query set is matched in several passes whose matches are merged.
 PASS_WORDS = 4_000_000
@@ -58,6 +58,7 @@ def index_batches(batches):
                 + [pa.array([x.tobytes()], pa.binary()) for x in (terms, starts, gaps)],
                 names=["block", "doc_ids", "n_words", "terms", "starts", "postings"],
             )
+    trim()
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +67,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null texts count as empty, documents with equal ids are separate, an empty table gives
     an empty index, and columns other than the two named are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return materialise(rows.mapInArrow(index_batches, INDEX_SCHEMA), "postings")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbena.llm._common import LOWER, NONSPACE, connected_components, discard, doc_chunks, materialise, mix, signed, small_batches, split_words, text_buffers
+from verbena.llm._common import LOWER, NONSPACE, connected_components, discard, doc_chunks, materialise, mix, signed, small_batches, split_words, text_buffers, trim
 
 #: Two count rows of 2**WIDTH_BITS counters (4 bytes each).
 WIDTH_BITS = 20
@@ -145,6 +145,7 @@ def prefixer(counts, size: int, percent: int):
                 out[5].append(signed(grams[order[: n - least_share(n, percent) + 1]]) if n else grams.view(np.int64))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names=["doc_id", "n", "print1", "print2", "classes", "parity", "prefix"])
+        trim()
 
     return prefixes
 
