@@ -39,7 +39,7 @@ span as (select key, valid_from, lead(valid_from) over (partition by key order b
 page as (select page_id, url, (date '2024-01-01' + ((page_id * 37) % 366)::int)::date as day,
   regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1) as host,
   list_filter(string_split(regexp_extract(url, '^[^:]*://[^/?#]*(/[^?#]*)?', 1), '/'), lambda s: s <> '') as seg from pages),
-host as (select page_id, day, seg, array_to_string(list_slice(string_split(host, '.'), i, null), '.') as h from page, unnest(range(1, len(string_split(host, '.')) + 1)) t(i) where host <> ''),
+host as (select page_id, day, seg, array_to_string(string_split(host, '.')[i:], '.') as h from page, unnest(range(1, len(string_split(host, '.')) + 1)) t(i) where host <> ''),
 probe as (select page_id, day, h || case when j > 0 then '/' || array_to_string(seg[1:j], '/') else '' end as key from host, unnest(range(0, len(seg) + 1)) t(j)),
 found as (select page_id, max_by(struct_pack(r := rank, k := span.key, f := valid_from, t := valid_to), struct_pack(n := length(span.key), k := span.key)) as m
   from probe join span on probe.key = span.key and valid_from <= day and (valid_to is null or day < valid_to) where rank > 1 group by 1)
