@@ -50,7 +50,7 @@ def directions(size: int, lines: int, seed: int) -> np.ndarray:
 
 def anchors_for(rows: int) -> int:
     """More anchors for more rows: about half of all vectors collide on each."""
-    return int(min(6, max(2, math.ceil(math.log2(max(rows, 1) / 8_000)))))
+    return int(min(6, max(2, math.ceil(math.log2(max(rows, 1) / 32_000)))))
 
 
 def unit_rows(anchors: int, width: float):
