@@ -126,6 +126,17 @@ def test_base_spans(spark):
     assert find_secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_long_values(spark):
+    r = random.Random(5)
+    value = "".join(r.choice("ABCDEFGHabcdefgh01234567+/") for _ in range(1600))
+    texts = [f"private_key={value} end", f"the token is {value[:400]}.", f"pwd: {'a' * 20000}{value}", f"pin: {'qw' * 20000}"]
+    got = {x["doc_id"]: x["guess"] for x in find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [(x["start"], x["end"]) for k in range(3) for x in got[k]] == [(12, 1612), (13, 413), (5, 21605)] and not got[3]
+    assert got[2][0]["pieces"].startswith("repeat:20000+") and got[0][0]["cost"] > 2 * guess_cost(value[:256])[0]
+    clean = [x["text"] for x in redact_secrets(spark.createDataFrame([(1, texts[0])], "doc_id bigint, text string")).collect()]
+    assert clean == ["private_key=[REDACTED] end"]
+
+
 def brute_cost(value):
     """Every segmentation, priced piece by piece."""
     from functools import lru_cache

@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Credential context: a credential word, up to a few filler words, then a value.
 CONTEXT = re.compile(
     r"""\b(?:password|passwd|passphrase|passcode|pwd|pass|pin|secret|token|credentials?|login|api[_-]?key|auth[_-]?key|private[_-]?key)"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20+(?:is|was|to|as)\x20+)["']?([^\s"'<>,;]{4,256})""",
+    r"""["']?(?:\x20*[:=]\x20*|\x20+(?:is|was|to|as)\x20+)["']?([^\s"'<>,;]{4,})""",
     re.I | re.A,
 )
 #: A value that takes fewer than 10**GUESS_LEAST guesses is a placeholder or a word, not a secret.
@@ -51,6 +51,8 @@ LONGEST = max(map(len, WORDS))
 NEXT_KEY = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 NEXT_KEY |= {(b, a) for a, b in NEXT_KEY}
 LEET = str.maketrans("4301$@57!", "aeolsasti")
+#: In a longer run or walk, pieces of middle lengths are never cheapest: only those this near to either end are tried.
+NEAR = 32
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
 LOG = math.log10
 
@@ -61,6 +63,13 @@ def alphabet(value: str) -> int:
     return max(10, size + 33 * any(not c.isalnum() for c in value))
 
 
+def lengths(j: int, end: int):
+    """Ends of the pieces of a run or walk [j, end) that are tried: all, or those near its ends."""
+    if end - j <= 2 * NEAR:
+        return range(j + 3, end + 1)
+    return (*range(j + 3, j + NEAR + 1), *range(end - NEAR + 1, end + 1))
+
+
 def guess_cost(value: str) -> tuple[float, str]:
     """(log10 of the guesses, segmentation) of the cheapest way to build ``value``.
 
@@ -85,10 +94,17 @@ def guess_cost(value: str) -> tuple[float, str]:
     for m in (DATE.match(value, k) for k in range(n)):
         if m:
             dates.setdefault(m.start(), []).append(m.end())
-    run, walk, period = [1] * n, [1] * n, 0
-    for i in range(1, n):
-        run[i] = run[i - 1] + 1 if low[i] == low[i - 1] else 1
-        walk[i] = walk[i - 1] + 1 if (low[i - 1], low[i]) in NEXT_KEY else 1
+    # where the run, the walk and the repeats of each period that begin at a place end
+    run, walk = [*range(1, n + 1)], [*range(1, n + 1)]
+    for i in range(n - 2, -1, -1):
+        run[i] = run[i + 1] if low[i] == low[i + 1] else i + 1
+        walk[i] = walk[i + 1] if (low[i], low[i + 1]) in NEXT_KEY else i + 1
+    again = {}
+    for period in (2, 3, 4):
+        again[period] = [min(i + period, n) for i in range(n)]
+        for i in range(n - period - 1, -1, -1):
+            if low[i] == low[i + period]:
+                again[period][i] = again[period][i + 1]
     for j in range(n):
         # one brute-force span is priced per character; joining spans of it costs nothing
         cost = best[j] + brute + (0.3 if j and back[j][1] != "brute" else 0.0)
@@ -100,31 +116,28 @@ def guess_cost(value: str) -> tuple[float, str]:
                     offer(j, i, LOG(RANK[text] + 1) + extra + (LOG(2) if value[j:i] != low[j:i] else 0.0), "word")
         for i in dates.get(j, ()):
             offer(j, i, LOG(365 * 130) if i - j > 4 else LOG(130), "date")
-        for i in range(j + 3, n + 1):
-            if run[i - 1] >= i - j:
-                offer(j, i, LOG(alphabet(value[j])) + LOG(i - j), "repeat")
-            elif walk[i - 1] >= i - j:
-                offer(j, i, LOG(47) + LOG(i - j) + LOG(2), "walk")
-            else:
-                break
+        if run[j] - j >= 3:
+            one = LOG(alphabet(value[j]))
+            for i in lengths(j, run[j]):
+                offer(j, i, one + LOG(i - j), "repeat")
+        for i in lengths(j, walk[j]):
+            offer(j, i, LOG(47) + LOG(i - j) + LOG(2), "walk")
         for period in (2, 3, 4):
-            i = j + period
-            while i < n and low[i] == low[i - period]:
-                i += 1
+            i = again[period][j]
             if i - j >= 2 * period:
                 offer(j, i, period * brute + LOG((i - j) / period), "repeat")
     pieces, i = [], n
     while i:
         j, kind = back[i]
-        pieces.append((kind, value[j:i]))
+        pieces.append((kind, i - j))
         i = j
-    merged: list[list[str]] = []
+    merged: list[list] = []
     for kind, piece in reversed(pieces):
         if merged and kind == merged[-1][0] == "brute":
             merged[-1][1] += piece
         else:
             merged.append([kind, piece])
-    return best[n], "+".join(f"{k}:{len(p)}" for k, p in merged)
+    return best[n], "+".join(f"{k}:{p}" for k, p in merged)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, float, str]]]:
@@ -161,7 +174,8 @@ def scan_batches(batches):
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All spans of every whole text: base spans and guess-cost spans (code points, end
     exclusive). Null and empty texts have none; each row is scanned by itself, so order,
-    repeats and skew of rows do not matter; other columns are ignored."""
+    repeats and skew of rows do not matter; other columns are ignored. A value is priced and
+    covered to its end, however long it is."""
     return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan_batches, SCAN_SCHEMA)
 
 
