@@ -95,6 +95,23 @@ def test_language_model(spark, monkeypatch):
     assert lm_scores(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_words_beyond_the_clustered_ones_learn_classes(spark, monkeypatch):
+    # two kinds of words with the same spelling; only their neighbours tell them apart
+    monkeypatch.setattr("verbena.llm.class_lm.CLUSTERED", 104)
+    r = random.Random(4)
+    kinds = [[f"w{10000 + 2 * k + kind}" for k in range(400)] for kind in (0, 1)]
+    rows = [(k, " ".join(w for _ in range(20) for kind in (r.randrange(2),) for w in (("le", "un")[kind], r.choice(kinds[kind]), ("va", "est")[kind]))) for k in range(300)]
+    swapped = [(k + 1_000_000, t.replace("le w", "LE w").replace("un w", "le w").replace("LE w", "un w").replace("va", "VA").replace("est", "va").replace("VA", "est")) for k, t in rows[:40]]
+    for held in (1 << 18, 150):
+        monkeypatch.setattr("verbena.llm.class_lm.HELD_WORDS", held)
+        docs = spark.createDataFrame(rows + [x for x in swapped if zlib.crc32(str(x[0]).encode()) % 7 == 2], "doc_id bigint, text string")
+        got = {x["doc_id"]: x for x in lm_scores(docs).collect()}
+        odd = [k for k in got if k >= 1_000_000]
+        straight = [x["score"] / x["n_tokens"] for k, x in got.items() if x["held_out"] and k < 1_000_000]
+        # with classes by spelling alone these are 0.14 apart
+        assert odd and straight and sum(straight) / len(straight) > 1 + sum(got[k]["score"] / got[k]["n_tokens"] for k in odd) / len(odd)
+
+
 def test_exchange_raises_the_likelihood():
     r = np.random.default_rng(1)
     n = 24

@@ -1,12 +1,13 @@
 """Brown class-based bigram language model.
 
 Word counts cover the whole training part of the corpus. The most frequent words are put into
-classes by exchange clustering on their bigram counts; all other words belong to surface
-classes that their spelling decides. A token costs its class transition (bigram smoothed by
-the class share) and its emission from the class.
+classes by exchange clustering on their bigram counts. Every other word of the training part
+then goes to the class that its neighbours make most likely: one of those learnt, or the class
+of its spelling, which is also where unseen words belong. A token costs its class transition
+(bigram smoothed by the class share) and its emission from the class.
 
-Counts of the most frequent words fit a table of bounded size that every task holds; the rest
-of the counts stay distributed, and the rare tokens of all documents are joined with them.
+Counts and classes of the most frequent words fit a table of bounded size that every task holds;
+the rest stay distributed, and the rare tokens of all documents are joined with them.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import LOWER, NONSPACE, doc_chunks, materialise, signed, split_words, text_buffers
+from verbena.llm._common import LOWER, NONSPACE, discard, doc_chunks, materialise, signed, split_words, text_buffers
 
-#: Words that exchange clustering moves, the classes it moves them between, and its sweeps.
+#: Words that sequential exchange moves first, the classes it moves them between, and its sweeps.
 CLUSTERED, CLASSES, SWEEPS = 1_000, 48, 6
 #: Words whose counts every task holds (12 bytes each).
 HELD_WORDS = 1 << 18
@@ -238,27 +239,123 @@ def exchange(table: np.ndarray, n: int, classes: int = CLASSES, sweeps: int = SW
 
 
 class ClassModel:
-    """Transition and emission logarithms (base 10) of categories, and the surface sums."""
-
-    def __init__(self, vocabulary: Vocabulary, table: np.ndarray, of: np.ndarray, surface: dict[int, tuple[int, int]]):
-        self.vocabulary, self.of = vocabulary, of
-        k = int(of.max()) + 1
-        joint = np.zeros((k, k))
-        np.add.at(joint, (of[:, None], of[None, :]), table)
-        share = (joint.sum(0) + 1) / (joint.sum() + k)
-        self.move = np.log10((joint + PRIOR * share) / (joint.sum(1, keepdims=True) + PRIOR)).astype(np.float64)
-        total = joint.sum(0)
-        n = vocabulary.n
-        count = np.zeros(len(of))
-        held = vocabulary.category >= 0
-        count[vocabulary.category[held]] = vocabulary.counts[held]
-        self.emit = np.zeros(len(of))  # of a category; a surface class still lacks log10(c + 1)
-        mass = np.bincount(of[:n], weights=count[:n], minlength=k) if n else np.zeros(k)
-        self.emit[:n] = np.log10(np.maximum(count[:n], 1) / np.maximum(mass[of[:n]], 1))
-        for s in range(SURFACE):
-            tokens, types = surface.get(s, (0, 0))
-            self.emit[n + s] = -math.log10(tokens + types + 1)
-        self.total = total
+    """Transition and emission logarithms (base 10) between classes: the learnt ones, then a
+    spelling class for each surface, then the document end. ``sums`` has tokens and types of
+    the words in a class; an emission still lacks log10(c + 1) of the word."""
+
+    def __init__(self, joint: np.ndarray, learnt: int, sums: dict[int, tuple[int, int]]):
+        self.joint, self.learnt, self.k = joint.astype(float), learnt, len(joint)
+        share = (joint.sum(0) + 1) / (joint.sum() + self.k)
+        self.prior = PRIOR * share
+        self.leave = joint.sum(1) + PRIOR
+        self.move = np.log10((joint + self.prior) / self.leave[:, None])
+        self.mass = np.array([sum(sums.get(k, (0, 0))) + 1.0 for k in range(self.k)])
+        self.emit = -np.log10(self.mass)
+        self.emit[-1] = 0.0
+
+
+def context_counter(shared):
+    """(word, surface, contexts) of the words that have no learnt class yet: a context is the
+    class of a neighbour (behind: plus the number of classes) and its count, in one integer."""
+
+    def count(batches):
+        vocabulary, of = shared.value
+        k, n = int(of.max()) + 1, vocabulary.n
+        held, size = [], 0
+
+        def flush():
+            words, surface, codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((codes, words))
+            words, surface, codes, counts = words[order], surface[order], codes[order], counts[order]
+            new = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (codes[1:] != codes[:-1])])
+            return words[new], surface[new], codes[new], np.add.reduceat(counts, new)
+
+        def packed(words, surface, codes, counts):
+            first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+            edge = np.r_[first, len(words)]
+            entries = codes | counts << 16
+            for s in range(0, len(first), 50_000):
+                e = min(s + 50_000, len(first))
+                at = (8 * (edge[s : e + 1] - edge[s])).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(entries[edge[s] : edge[e]].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(words[first[s:e]])), pa.array(surface[first[s:e]].astype(np.int32)), data], names=["word", "surface", "contexts"])
+
+        for batch in batches:
+            train = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, j, docs, words, surface in chunks(batch):
+                tokens, _, place = vocabulary.sequence(docs, j - i, vocabulary.lookup(words), surface)
+                mine = np.flatnonzero(train[i:j][docs] & (tokens[place] >= n)) if len(docs) else np.zeros(0, np.int64)
+                if not len(mine):
+                    continue
+                classes, place = of[tokens], place[mine]
+                # the place before the first token is the last one, a document end
+                codes = np.r_[classes[place - 1], k + classes[place + 1]]
+                held.append((np.tile(words[mine], 2), np.tile(surface[mine], 2), codes, np.ones(len(codes), np.int64)))
+                size += len(codes)
+                if size > 3 * FLUSH:
+                    merged = flush()
+                    held, size = [merged], len(merged[0])
+                    if size > FLUSH:
+                        yield from packed(*merged)
+                        held, size = [], 0
+        if held:
+            yield from packed(*flush())
+
+    return count
+
+
+def chooser(shared):
+    """(word, class, c): each word, read in sorted order, goes to the class under which its
+    tokens and their neighbours are most likely, the learnt classes or its spelling class
+    (whose counts are taken without the word's own). It leaves the spelling class if it gains
+    more than it takes to name one class of so many; else a word seen once fits any too well."""
+
+    def choose(words, surface, sizes, entries, model):
+        first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+        index = np.repeat(np.cumsum(np.r_[False, words[1:] != words[:-1]]), sizes)
+        k, learnt = model.k, model.learnt
+        keys, inverse = np.unique(index * (2 * k) + (entries & 0xFFFF), return_inverse=True)
+        times = np.bincount(inverse, weights=entries >> 16)
+        index, code = keys // (2 * k), keys % (2 * k)
+        before = code < k
+        c = np.bincount(index, weights=times * before, minlength=len(first))
+        own = learnt + surface[first].astype(np.int64)
+        s, other = own[index], code % k
+        pair = np.where(before, model.joint[other, s], model.joint[s, other])
+        behind = np.where(before, model.prior[s], model.prior[other])
+        leave = np.where(before, model.leave[other], model.leave[s] - c[index])
+        stay = np.bincount(index, weights=times * np.log10((np.maximum(pair - times, 0) + behind) / leave), minlength=len(first))
+        stay -= c * np.log10(np.maximum(model.mass[own] - c, 1))
+        chosen = own
+        if learnt:
+            table = np.r_[model.move[:, :learnt], model.move[:learnt].T]
+            start = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+            gain = np.add.reduceat(times[:, None] * table[code], start, axis=0) + c[:, None] * model.emit[:learnt]
+            best = gain.argmax(1)
+            chosen = np.where(gain[np.arange(len(best)), best] > stay + math.log10(learnt + 1), best, own)
+        return pa.RecordBatch.from_arrays([pa.array(words[first]), pa.array(chosen.astype(np.int32)), pa.array(c.astype(np.int64))], names=["word", "class", "c"])
+
+    def run(batches):
+        model = shared.value
+        kept = None  # the rows of the last word, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, surface = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            raw = batch.column(2).to_pylist()
+            part = (words, surface, np.array([len(x) // 8 for x in raw], np.int64), np.frombuffer(b"".join(raw), np.int64))
+            if kept is not None:
+                part = tuple(np.concatenate(x) for x in zip(kept, part, strict=True))
+            words, surface, sizes, entries = part
+            cut = int(np.searchsorted(words, words[-1]))
+            at = int(sizes[:cut].sum())
+            if cut:
+                yield choose(words[:cut], surface[:cut], sizes[:cut], entries[:at], model)
+            kept = words[cut:], surface[cut:], sizes[cut:], entries[at:]
+        if kept is not None:
+            yield choose(*kept, model)
+
+    return run
 
 
 def frequent(counts: DataFrame) -> DataFrame:
@@ -275,50 +372,97 @@ def frequent(counts: DataFrame) -> DataFrame:
     return counts.where(F.lit(False) if least is None else step >= least).select("word", "c")
 
 
-SCORE_SCHEMA = "row_key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, rare array<bigint>, times array<int>"
+SEQUENCE_SCHEMA = "row_key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, own double, classes binary, places array<int>, rare array<bigint>"
+FILLED_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, own double, classes binary"
 
 
-def scorer(shared, tokens: int, types: int, end_count: int):
-    divisor = math.log10(tokens + types + 1)
+def sequencer(shared):
+    """The class of every token of a document (two bytes each), as far as the held words tell:
+    other words have their spelling class for now and are listed with their places."""
 
-    def score(batches):
-        model: ClassModel = shared.value
-        vocabulary = model.vocabulary
+    def sequence(batches):
+        vocabulary, classes, learnt = shared.value
         for batch in batches:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(6)]
             for i, j, docs, words, surface in chunks(batch):
                 n_docs = j - i
                 at = vocabulary.lookup(words)
-                seq, of_doc, place = vocabulary.sequence(docs, n_docs, at, surface)
-                classes = model.of[seq]
-                before = np.r_[model.of[vocabulary.end], classes[:-1]]
-                log = model.move[before, classes] + model.emit[seq]
                 known = at >= 0
-                c = np.where(known, vocabulary.counts[at] if len(vocabulary.counts) else 0, 0)
-                own = np.log10(c + 1.0)
-                log[place] += np.where(known & (seq[place] >= vocabulary.n), own, 0.0)
-                n_words = np.bincount(docs, minlength=n_docs)
-                out[0].append(n_words + 1)
-                out[1].append(np.bincount(docs, weights=known, minlength=n_docs).astype(np.int64) + int(end_count > 0))
-                out[2].append(np.bincount(docs, weights=own, minlength=n_docs) + math.log10(end_count + 1.0) - (n_words + 1) * divisor)
-                out[3].append(np.bincount(of_doc, weights=log, minlength=n_docs))
-                rare, rare_docs = words[~known], docs[~known]
-                edge = np.searchsorted(rare_docs, np.arange(n_docs + 1))
+                c = np.where(known, vocabulary.counts[at] if len(classes) else 0, 0)
+                of = np.where(known, classes[at] if len(classes) else 0, learnt + surface).astype(np.uint16)
+                out[0].append(np.bincount(docs, minlength=n_docs))
+                out[1].append(np.bincount(docs, weights=known, minlength=n_docs).astype(np.int64))
+                out[2].append(np.bincount(docs, weights=np.log10(c + 1.0), minlength=n_docs))
+                edge = np.searchsorted(docs, np.arange(n_docs + 1))
                 for d in range(n_docs):
-                    names, times = np.unique(rare[edge[d] : edge[d + 1]], return_counts=True)
-                    out[4].append(signed(names))
-                    out[5].append(times.astype(np.int32))
+                    s, e = edge[d], edge[d + 1]
+                    rare = np.flatnonzero(~known[s:e])
+                    out[3].append(of[s:e].tobytes())
+                    out[4].append(rare.astype(np.int32))
+                    out[5].append(signed(words[s:e][rare]))
             if not out[0]:
                 continue
-            n = batch.num_rows
-            keys = np.frombuffer(os.urandom(8 * n), np.int64)
+            keys = np.frombuffer(os.urandom(8 * batch.num_rows), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), batch.column(0), pa.array(~batch.column(2).to_numpy(zero_copy_only=False))]
-                + [pa.array(np.concatenate(x)) for x in out[:4]]
-                + [pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int32()))],
-                names=["row_key", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "times"],
+                + [pa.array(np.concatenate(x)) for x in out[:3]]
+                + [pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int32())), pa.array(out[5], pa.list_(pa.int64()))],
+                names=["row_key", "doc_id", "held_out", "n_tokens", "n_known", "own", "classes", "places", "rare"],
             )
 
+    return sequence
+
+
+def fill(batches):
+    """Put the joined classes of rare words in their places."""
+    for batch in batches:
+        classes = batch.column(5).to_pylist()
+        for row, (at, of) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)):
+            if at:
+                own = np.frombuffer(classes[row], np.uint16).copy()
+                own[at] = of
+                classes[row] = own.tobytes()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(classes, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "own", "classes"])
+
+
+def with_ends(column: pa.Array, end: int):
+    """(document, class before, class) of all tokens of a batch and the document ends."""
+    rows = [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
+    of = np.repeat(np.arange(len(rows)), [len(x) + 1 for x in rows])
+    tail = np.array([end], np.uint16)
+    tokens = np.concatenate([x for row in rows for x in (row, tail)]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    return of, np.r_[end, tokens[:-1]][: len(tokens)], tokens
+
+
+def class_pairs(k: int):
+    def count(batches):
+        table = np.zeros(k * k, np.int64)
+        for batch in batches:
+            _, before, tokens = with_ends(batch.column(0), k - 1)
+            table += np.bincount(before * k + tokens, minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
+
+    return count
+
+
+def class_bigrams(filled: DataFrame, k: int) -> np.ndarray:
+    """Counts of class pairs over all training documents."""
+    schema = "slice int, counts binary"
+    sums = filled.where("not held_out").select("classes").mapInArrow(class_pairs(k), schema).coalesce(1).mapInArrow(add_tables, schema).collect()
+    return sum((np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(k, k) for r in sums), np.zeros((k, k), np.int64))
+
+
+def scorer(shared, divisor: float, end_count: int):
+    def score(batches):
+        model: ClassModel = shared.value
+        for batch in batches:
+            of, before, tokens = with_ends(batch.column(5), model.k - 1)
+            own, words = batch.column(4).to_numpy(), batch.column(2).to_numpy()
+            log = np.bincount(of, weights=model.move[before, tokens] + model.emit[tokens], minlength=batch.num_rows)
+            base = own + math.log10(end_count + 1.0) - (words + 1) * divisor
+            known = batch.column(3).to_numpy() + int(end_count > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words + 1), pa.array(known), pa.array(base), pa.array(own + log)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
     return score
 
 
@@ -344,16 +488,39 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     shared = context.broadcast(vocabulary)
     table = bigrams(rows, shared, vocabulary)
     of = exchange(table, vocabulary.n)
-    # tokens and types of the surface classes, without the clustered words
-    clustered = vocabulary.words[vocabulary.category >= 0].view(np.int64).tolist()
-    names = spark.createDataFrame([(w,) for w in clustered], "word bigint")
-    rest = counts.join(F.broadcast(names), "word", "left_anti").groupBy("surface").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    model = context.broadcast(ClassModel(vocabulary, table, of, {r["surface"]: (r["n"], r["v"]) for r in rest}))
-    scored = materialise(rows.mapInArrow(scorer(model, tokens, types, ends), SCORE_SCHEMA), "scores")
-    rare = scored.select("row_key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row_key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    rare = rare.join(counts.select("word", "c"), "word").groupBy("row_key").agg(F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("more"), F.sum("times").alias("seen"))
-    out = scored.drop("rare", "times").join(rare, "row_key", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).cast("bigint").alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score")
-    )
+    learnt = int(of[: vocabulary.n].max()) + 1 if vocabulary.n else 0
+    k = int(of.max()) + 1
+    joint = np.zeros((k, k))
+    np.add.at(joint, (of[:, None], of[None, :]), table)
+    # tokens and types of the classes, the words beyond the clustered ones being in their spelling classes
+    top = np.flatnonzero(vocabulary.category >= 0)
+    top_class, top_count = of[vocabulary.category[top]].astype(np.int64), vocabulary.counts[top]
+    seeds = spark.createDataFrame([(w, c, n) for w, c, n in zip(vocabulary.words[top].view(np.int64).tolist(), top_class.tolist(), top_count.tolist(), strict=True)], "word bigint, class int, c bigint")
+    rest = counts.join(F.broadcast(seeds.select("word")), "word", "left_anti").groupBy("surface").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    sums = {c: (int(top_count[top_class == c].sum()), int((top_class == c).sum())) for c in range(learnt)}
+    sums |= {learnt + r["surface"]: (r["n"], r["v"]) for r in rest}
+    # every other word of the training part chooses its class by its neighbours
+    first = context.broadcast((vocabulary, of))
+    begun = context.broadcast(ClassModel(joint, learnt, sums))
+    contexts = rows.mapInArrow(context_counter(first), "word bigint, surface int, contexts binary").repartition("word").sortWithinPartitions("word")
+    chosen = materialise(contexts.mapInArrow(chooser(begun), "word bigint, class int, c bigint"), "classes")
+    words = chosen.unionByName(seeds)
+    sums = {r["class"]: (r["n"], r["v"]) for r in words.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    least = int(vocabulary.counts.min()) if len(vocabulary.counts) else 1
+    found = words.where(F.col("c") >= least).select("word", "class").toPandas()
+    classes = np.zeros(len(vocabulary.words), np.uint16)
+    at = vocabulary.lookup(found["word"].to_numpy(np.int64).view(np.uint64))
+    classes[at[at >= 0]] = found["class"].to_numpy()[at >= 0]
+    shared = context.broadcast((vocabulary, classes, learnt))
+    sequences = materialise(rows.mapInArrow(sequencer(shared), SEQUENCE_SCHEMA), "sequences")
+    rare = sequences.select("row_key", F.explode(F.arrays_zip("places", "rare")).alias("x")).select("row_key", F.col("x.places").alias("place"), F.col("x.rare").alias("word"))
+    rare = rare.join(words, "word").groupBy("row_key").agg(F.collect_list(F.struct("place", "class")).alias("x"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("more"), F.count("*").alias("seen"))
+    joined = sequences.drop("places", "rare").join(rare, "row_key", "left")
+    joined = joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("own") + F.coalesce("more", F.lit(0.0))).alias("own"), "classes", F.col("x.place").alias("places"), F.col("x.class").alias("found"))
+    filled = materialise(joined.mapInArrow(fill, FILLED_SCHEMA), "filled")
+    discard(sequences)
+    model = context.broadcast(ClassModel(class_bigrams(filled, k), learnt, sums))
+    divisor = math.log10(tokens + types + 1)
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    out = filled.mapInArrow(scorer(model, divisor, ends), schema)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
