@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from verbena.llm.decontamination import build_index, covered, decontamination_report, search, without_contaminated
-from verbena.llm.secrets import ASSIGN, find_secrets, guess_cost, redact_secrets, secret_digest
+from verbena.llm.secrets import ASSIGN, find_secrets, guess_cost, redact_secrets, scan, secret_digest
 from verbena.llm.sentencepiece import decode, encode, loaded, model_bytes, parse_model, rebuild
 from verbena.llm.sharding import hilbert_shards, hilbert_stages, shard_statistics
 from verbena.llm.url_filter import EXAMPLE_ENTRIES, judge_captures, validity_intervals
@@ -137,6 +137,17 @@ def test_long_values(spark):
     assert clean == ["private_key=[REDACTED] end"]
 
 
+@pytest.mark.parametrize("name", ["DB_PASSWORD=", "secret_key: ", "access_key=", "dbpassword = ", "AWS_SECRET_ACCESS_KEY=", "my-token-2: ", "pwd="])
+def test_credential_names(name):
+    _, guess = scan(f"see {name}k9$Lm@2!xQ here")
+    assert [x[:2] for x in guess] == [(4 + len(name), 14 + len(name))]
+
+
+def test_words_that_only_hold_a_short_one():
+    assert scan("shipping: northeastern, the compass is unbreakable, secretary: Zweigenbaum") == ([], [])
+    assert scan("pass_" * 100_000) == ([], [])
+
+
 def brute_cost(value):
     """Every segmentation, priced piece by piece."""
     from functools import lru_cache

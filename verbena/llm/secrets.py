@@ -26,9 +26,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Credential context: a credential word, up to a few filler words, then a value.
+#: Credential context: a name with a credential word in it (short ones as a part of their own), up to a few filler words, then a value.
 CONTEXT = re.compile(
-    r"""\b(?:password|passwd|passphrase|passcode|pwd|pass|pin|secret|token|credentials?|login|api[_-]?key|auth[_-]?key|private[_-]?key)"""
+    r"""(?<![\w-])(?=(?:[\w-]*?[\d_-])?(?:pwd|pass|pin|token|login)(?![a-z])"""
+    r"""|[\w-]*?(?:password|passwd|passphrase|passcode|secret(?:[_-]?key)?|credentials?|(?:api|auth|access|private)[_-]?key)(?![a-z]))[\w-]++"""
     r"""["']?(?:\x20*[:=]\x20*|\x20+(?:is|was|to|as)\x20+)["']?([^\s"'<>,;]{4,})""",
     re.I | re.A,
 )
