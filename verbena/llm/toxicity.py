@@ -6,8 +6,9 @@ carry a cue are tagged. A two-tag chain with these features and transitions is t
 tagged tokens; forward-backward marginals give the offending offsets, and their aggregate over
 a document, calibrated by a logistic model, gives its score.
 
-Fitting reads at most ``SAMPLE_DOCS`` labelled rows (picked by a hash of the id); scoring reads
-every whole text.
+Fitting reads at most ``SAMPLE_DOCS`` labelled rows (picked by a hash of the id) and at most
+about ``MAX_WINDOWS`` token sequences of them; scoring reads every whole text. What the driver
+sends to the tasks is plain arrays: the executors need not have this package.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import ALNUM, doc_chunks, mix, prefix_hash, signed, small_batches, split_words, text_buffers, trim
+from verbena.llm._common import ALNUM, doc_chunks, materialise, mix, prefix_hash, signed, small_batches, split_words, text_buffers, trim
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_DOCS = 12_000
-#: Features that the model holds, at most.
-MAX_FEATURES = 4_096
+#: Features that the model holds, at most (16 bytes each); the evidence asked for leaves far fewer.
+MAX_FEATURES = 1 << 16
+#: Token sequences that the chain is trained on, about; of more, a share by hash.
+MAX_WINDOWS = 50_000
 #: Bytes of the word starts that are features besides the whole word.
 STARTS = (4, 5, 6, 7)
 #: Featureless tokens on each side of a cue that a training sequence has.
@@ -91,31 +94,74 @@ def active_tokens(features: np.ndarray, known: np.ndarray):
     return np.where((known[at] == features) & (features != 0), at, -1)
 
 
-def sample_tokens(known: np.ndarray):
-    """For each document: label, number of tokens, positions of the tokens with known features
-    and those features (flat, -1 for none)."""
+def live_tokens(texts: pa.Array, known: np.ndarray):
+    """(row, number of tokens, positions of the tokens with known features, those features as
+    indices, -1 for none) of every text."""
+    for i, j, data, offsets in chunks_of(texts):
+        docs, _, _, features = token_features(data, offsets)
+        at = active_tokens(features, known)
+        first = np.searchsorted(docs, np.arange(j - i + 1))
+        live = np.flatnonzero((at >= 0).any(axis=1))
+        edge = np.searchsorted(live, first)
+        for d in range(j - i):
+            own = live[edge[d] : edge[d + 1]]
+            yield i + d, int(first[d + 1] - first[d]), own - first[d], at[own]
+
+
+#: Places of a training sequence.
+SPAN = 2 * MARGIN + 1
+WINDOW_SCHEMA = "part int, toxic int, places int, features array<int>"
+
+
+def training_windows(known: np.ndarray):
+    """Sequences of SPAN tokens around the tokens with known features: label of the text, places
+    inside the text and the features of every place. A sequence starts MARGIN tokens before its
+    first such token, or with the text; what lies behind the text's end is padding."""
 
     def run(batches):
         for batch in batches:
             toxic = batch.column(1).to_pylist()
-            out = [[] for _ in range(4)]
-            for i, j, data, offsets in chunks_of(batch.column(0)):
-                docs, _, _, features = token_features(data, offsets)
-                at = active_tokens(features, known)
-                first = np.searchsorted(docs, np.arange(j - i + 1))
-                live = np.flatnonzero((at >= 0).any(axis=1))
-                edge = np.searchsorted(live, first)
-                for d in range(j - i):
-                    own = live[edge[d] : edge[d + 1]]
-                    out[0].append(int(toxic[i + d]))
-                    out[1].append(int(first[d + 1] - first[d]))
-                    out[2].append(own - first[d])
-                    out[3].append(at[own].ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], names=["toxic", "n", "positions", "features"])
+            part, label, places, rows = [], [], [], []
+            for row, n, positions, found in live_tokens(batch.column(0), known):
+                done = -1
+                for k, p in enumerate(positions.tolist()):
+                    if p <= done:
+                        continue
+                    start = max(p - MARGIN, 0)
+                    done = start + SPAN - 1
+                    own = np.full((SPAN, found.shape[1]), -1, np.int32)
+                    end = int(np.searchsorted(positions, done, "right"))
+                    own[positions[k:end] - start] = found[k:end]
+                    part.append((p * 0x9E3779B1 + n * 0x85EBCA6B + int(found[k].max()) * 0xC2B2AE35) % (1 << 20))
+                    label.append(int(toxic[row]))
+                    places.append(min(SPAN, n - start))
+                    rows.append(own.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in (part, label, places)] + [pa.array(rows, pa.list_(pa.int32()))], names=["part", "toxic", "places", "features"])
 
     return run
 
 
+def document_features(shared):
+    """Label and aggregated marginals of each text of the sample."""
+
+    def run(batches):
+        known, *state = shared.value
+        model = ChainModel.of(state)
+        for batch in batches:
+            toxic = batch.column(1).to_pylist()
+            rows = [(int(toxic[row]), *aggregated(model.marginals(n, positions, found))[1:].tolist()) for row, n, positions, found in live_tokens(batch.column(0), known)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.float64()) for c in columns[1:]], names=["toxic", "most", "total", "several"])
+
+    return run
+
+
+def aggregated(marginals: np.ndarray) -> np.ndarray:
+    """What the score of a document is made of: 1, the largest marginal, their sum as a
+    logarithm, and whether several tokens are toxic."""
+    return np.array([1.0, marginals.max(initial=0.0), np.log1p(marginals.sum()), float((marginals > 0.5).sum() > 1)])
+
+
 class ChainModel:
     """Two tags (0 clean, 1 toxic); scores in logarithms.
 
@@ -125,6 +171,16 @@ class ChainModel:
         self.weights, self.bias, self.trans = np.zeros(n_features), 0.0, np.zeros((2, 2))
         self.calibration = np.zeros(4)
 
+    def state(self) -> tuple:
+        """The model as plain arrays and numbers."""
+        return self.weights, float(self.bias), self.trans, self.calibration
+
+    @classmethod
+    def of(cls, state) -> ChainModel:
+        model = cls(0)
+        model.weights, model.bias, model.trans, model.calibration = state
+        return model
+
     def emission(self, features: np.ndarray) -> np.ndarray:
         padded = np.r_[self.weights, 0.0]
         return self.bias + padded[features].sum(axis=-1)
@@ -210,8 +266,7 @@ class ChainModel:
 
     def score(self, marginals: np.ndarray) -> float:
         """Calibrated probability of a document from its token marginals."""
-        x = np.array([1.0, marginals.max(initial=0.0), np.log1p(marginals.sum()), float((marginals > 0.5).sum() > 1)])
-        return float(1 / (1 + np.exp(-x @ self.calibration)))
+        return float(1 / (1 + np.exp(-aggregated(marginals) @ self.calibration)))
 
 
 def evidence(rows: pd.DataFrame, share: float) -> np.ndarray:
@@ -222,7 +277,8 @@ def evidence(rows: pd.DataFrame, share: float) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of at most ``sample`` labelled rows outside the held-out quarter."""
+    """(text, toxic) of at most ``sample`` labelled ids outside the held-out quarter, one row
+    each; of rows that share an id the smallest text."""
     label = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     label = label.where(~held_out(F.col("doc_id")))
     total = label.count()
@@ -230,7 +286,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         share = 1 << 20
         label = label.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < int(share * min(1.0, 1.2 * sample / total) + 64))
     picked = label.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
+    return materialise(rows.select("text", "toxic"), "labelled")
 
 
 def held_out(doc_id):
@@ -256,43 +313,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
         known = found["feature"].to_numpy(np.int64).view(np.uint64)
         strong = ((found["g"] > CUE_EVIDENCE) & (found["toxic"] > 0.6 * (found["toxic"] + found["clean"]))).to_numpy()
     model = ChainModel(len(known))
-    seen = rows.mapInArrow(sample_tokens(known), "toxic int, n bigint, positions array<bigint>, features array<bigint>").collect()
-    size = 2 * MARGIN + 1
-    features, tags, mask, held = [], [], [], []
-    for row in seen:
-        positions, found = np.array(row["positions"], np.int64), np.array(row["features"], np.int64).reshape(-1, 1 + len(STARTS))
-        held.append((row["toxic"], row["n"], positions, found))
-        at = {p: f for p, f in zip(positions.tolist(), found, strict=True)}
-        done = -1
-        for p in positions.tolist():
-            if p <= done:
-                continue
-            done = p + MARGIN
-            places = np.arange(p - MARGIN, p + MARGIN + 1)
-            own = np.stack([at.get(q, np.full(1 + len(STARTS), -1)) for q in places.tolist()])
-            features.append(own)
-            mask.append((places >= 0) & (places < row["n"]))
-            tags.append([int(row["toxic"] == 1 and (f >= 0).any() and strong[f[f >= 0]].any()) for f in own])
-    if features:
-        inside = np.array(mask)
-        # padding in front would break the chain: keep sequences that start inside the text
-        first = inside[:, 0]
-        model.fit(np.array(features)[first], np.array(tags)[first].reshape(-1, size), inside[first])
-    calibrate(model, held)
+    windows = materialise(rows.mapInArrow(training_windows(known), WINDOW_SCHEMA), "windows")
+    total = windows.count()
+    if total > MAX_WINDOWS:
+        windows = windows.where(F.col("part") < int((1 << 20) * MAX_WINDOWS / total))
+    seen = windows.toPandas()
+    if len(seen):
+        features = np.stack(seen["features"].to_numpy()).reshape(len(seen), SPAN, 1 + len(STARTS))
+        mask = np.arange(SPAN) < seen["places"].to_numpy()[:, None]
+        cue = np.r_[strong, False][features].any(axis=2)
+        model.fit(features, (cue & (seen["toxic"].to_numpy() == 1)[:, None]).astype(np.int64), mask)
+    shared = docs.sparkSession.sparkContext.broadcast((known, *model.state()))
+    calibrate(model, rows.mapInArrow(document_features(shared), "toxic int, most double, total double, several double").toPandas())
     return known, model
 
 
-def calibrate(model: ChainModel, held: list) -> None:
+def calibrate(model: ChainModel, seen: pd.DataFrame) -> None:
     """Logistic regression of the labels on the aggregated marginals (Newton steps)."""
-    x, y = [], []
-    for toxic, n, positions, found in held:
-        m = model.marginals(n, positions, found)
-        x.append([1.0, m.max(initial=0.0), np.log1p(m.sum()), float((m > 0.5).sum() > 1)])
-        y.append(toxic)
-    if not y:
+    if not len(seen):
         model.calibration = np.array([-3.0, 0, 0, 0])
         return
-    x, y = np.array(x), np.clip(np.array(y, float), 0, 1)
+    x, y = np.c_[np.ones(len(seen)), seen[["most", "total", "several"]].to_numpy()], np.clip(seen["toxic"].to_numpy(float), 0, 1)
     theta = np.zeros(4)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
@@ -308,7 +349,8 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("proba
 
 def tagger(shared, with_spans: bool):
     def tag(batches):
-        known, model = shared.value
+        known, *state = shared.value
+        model = ChainModel.of(state)
         clean = model.score(np.zeros(0))
         for batch in batches:
             names = batch.schema.names
@@ -345,7 +387,8 @@ def tag_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, wit
     cues; all rows and columns stay, score and spans are replaced; without usable labels every
     text gets the same score. The model is a few hundred kilobytes whatever the input."""
     rows = small_batches(docs).drop("score", "spans")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, sample))
+    known, model = fit(rows, labels, sample)
+    shared = docs.sparkSession.sparkContext.broadcast((known, *model.state()))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(tagger(shared, with_spans), f"{fields}, {TAG_SCHEMA}")
 
