@@ -1,5 +1,6 @@
 """Toxicity and language model: held-out quality, plain versions, edge cases."""
 
+import itertools
 import math
 import random
 import re
@@ -9,8 +10,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from verbena.llm.class_lm import SURFACE, exchange, lm_scores
-from verbena.llm.toxicity import ChainModel, tag_toxic, toxicity_report
+from verbena.llm._common import NONSPACE, split_words
+from verbena.llm.class_lm import PRIOR, SURFACE, exchange, lm_scores, surface_classes, train, training_rows
+from verbena.llm.toxicity import ChainModel, fit, tag_toxic, toxicity_report
 
 
 def corpus(seed=3, n=400):
@@ -64,6 +66,38 @@ def test_marginals_match_the_padded_chain():
     assert model.marginals(n, positions, features) == pytest.approx(gamma[0, positions])
 
 
+def test_marginals_against_all_tag_sequences():
+    model = ChainModel(3)
+    model.weights, model.bias, model.trans = np.array([1.5, -0.5, 0.8]), -0.7, np.array([[0.2, -0.4], [-0.1, 0.6]])
+    n, positions = 7, np.array([1, 2, 5])
+    features = np.array([[0, -1], [1, 2], [0, 2]])
+    emission = np.full(n, model.bias)
+    emission[positions] = model.emission(features)
+    total, hit = 0.0, np.zeros(n)
+    for tags in itertools.product((0, 1), repeat=n):
+        weight = math.exp(sum(e for e, t in zip(emission, tags, strict=True) if t) + sum(model.trans[a, b] for a, b in itertools.pairwise(tags)))
+        total += weight
+        hit += weight * np.array(tags)
+    assert model.marginals(n, positions, features) == pytest.approx((hit / total)[positions])
+
+
+@pytest.mark.parametrize("place", ["first", "alone", "last"])
+def test_cues_at_the_edges_of_short_texts_train_the_chain(spark, place):
+    r = random.Random(5)
+    words = ["the", "of", "river", "stone", "cloud", "and"]
+    rows, labels = [], []
+    for k in range(600):
+        text = [r.choice(words) for _ in range(r.randint(1, 4))]
+        if k % 4 == 0:
+            text = {"first": ["moronic", *text], "alone": ["moronic"], "last": [*text, "moronic"]}[place]
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(k % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known, model = fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert len(known) and model.weights.max() > 0.5
+    assert model.marginals(3, np.array([0]), np.arange(len(known))[None, :5]).max() > 0.5
+
+
 def base_scores(rows):
     tokens = {k: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\0end"] for k, t in rows}
     train = Counter(w for k, ws in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
@@ -95,6 +129,54 @@ def test_language_model(spark, monkeypatch):
     assert lm_scores(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_score_against_plain_sums(spark, monkeypatch):
+    monkeypatch.setattr("verbena.llm.class_lm.HELD_WORDS", 60)
+    monkeypatch.setattr("verbena.llm.class_lm.CLUSTERED", 30)
+    rows = lm_corpus(120)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    state = train(training_rows(docs))
+    chosen = {r["word"]: (r["class"], r["c"]) for r in state.words.collect()}
+    end = state.k - 1
+
+    def tokens(text):
+        raw = np.frombuffer((text or "").lower().encode(), np.uint8)
+        _, starts, ends, words = split_words(raw, np.array([0, len(raw)]), NONSPACE)
+        return [chosen.get(w, (state.learnt + s, 0)) for w, s in zip(words.view(np.int64).tolist(), surface_classes(raw, starts, ends).tolist(), strict=True)]
+
+    of = {k: tokens(t) for k, t in rows}
+    learnt = {k for k in of if zlib.crc32(str(k).encode()) % 7 != 2}
+    pairs, kinds, size = Counter(), Counter(), Counter()
+    for k in learnt:
+        line = [end, *[c for c, _ in of[k]], end]
+        pairs.update(itertools.pairwise(line))
+    for c, n in chosen.values():
+        kinds[c] += 1
+        size[c] += n
+    entries, total = Counter(), sum(pairs.values())
+    leaves = Counter()
+    for (a, b), n in pairs.items():
+        entries[b] += n
+        leaves[a] += n
+    for r in lm_scores(docs).collect():
+        score, before = 0.0, end
+        for c, n in [*of[r["doc_id"]], (end, None)]:
+            score += math.log10((pairs[before, c] + PRIOR * (entries[c] + 1) / (total + state.k)) / (leaves[before] + PRIOR))
+            if n is not None:
+                score += math.log10((n + 1) / (size[c] + kinds[c] + 1))
+            before = c
+        assert r["score"] == pytest.approx(score)
+        assert r["perplexity"] == pytest.approx(10 ** (-score / r["n_tokens"]))
+
+
+def test_words_that_occur_once(spark, monkeypatch):
+    monkeypatch.setattr("verbena.llm.class_lm.HELD_WORDS", 50)
+    monkeypatch.setattr("verbena.llm.class_lm.CLUSTERED", 20)
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(10))) for k in range(40)], "doc_id bigint, text string")
+    state = train(training_rows(docs))
+    assert state.vocabulary.n == 20 and 20 < len(state.vocabulary.words) < 120
+    assert all(r["score"] < 0 for r in lm_scores(docs).collect())
+
+
 def test_words_beyond_the_clustered_ones_learn_classes(spark, monkeypatch):
     # two kinds of words with the same spelling; only their neighbours tell them apart
     monkeypatch.setattr("verbena.llm.class_lm.CLUSTERED", 104)

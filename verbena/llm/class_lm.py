@@ -7,7 +7,8 @@ of its spelling, which is also where unseen words belong. A token costs its clas
 (bigram smoothed by the class share) and its emission from the class.
 
 Counts and classes of the most frequent words fit a table of bounded size that every task holds;
-the rest stay distributed, and the rare tokens of all documents are joined with them.
+the rest stay distributed, and the rare tokens of all documents are joined with them. What the
+driver sends to the tasks is plain arrays: the executors need not have this package.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbena.llm._common import LOWER, NONSPACE, discard, doc_chunks, materialise, signed, split_words, text_buffers
@@ -33,37 +34,32 @@ CHUNK_BYTES = 2 << 20
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
 
-# Trailing bytes and, per script, second bytes of two-byte letters.
-ENDINGS = {ord("."): 1, ord(","): 2, ord("!"): 1, ord("?"): 1, ord(";"): 2, ord(":"): 2}
-LETTERS = ((0xA8, 0xA9, 0xAA, 0xA7, 0xA0, 0x88, 0x89, 0x8A, 0x87), (0xA4, 0xB6, 0xBC, 0x9F, 0x84, 0x96, 0x9C), (0xB1, 0xB3, 0xAD, 0xA1, 0xBA, 0x91, 0x93, 0x8D))
+# The last byte of a word (sentence marks, clause marks, other ASCII punctuation)
+# and the lead bytes of its letters (two bytes up to Latin, other two bytes, three, four).
+ENDINGS = {**dict.fromkeys(b"!\"#$%&'()*+-/<=>@[\\]^_`{|}~", 3), **dict.fromkeys(b".!?", 1), **dict.fromkeys(b",;:", 2)}
+LEADS = ((0xC2, 0xC9), (0xCA, 0xDF), (0xE0, 0xEF), (0xF0, 0xFF))
 #: ending x script x length x digit
-SURFACE = 3 * 5 * 4 * 2
+SURFACE = 4 * 5 * 4 * 2
+
+_ENDING = np.zeros(256, np.int64)
+_ENDING[list(ENDINGS)] = list(ENDINGS.values())
+#: Bit 0: a digit; bits 1 to 4: a lead byte of each range.
+_FLAGS = np.zeros(256, np.uint8)
+_FLAGS[48:58] = 1
+for _k, (_low, _high) in enumerate(LEADS, 1):
+    _FLAGS[_low : _high + 1] = 1 << _k
+#: The highest script among the flags.
+_SCRIPT = np.array([(x >> 1).bit_length() for x in range(32)], np.int64)
 
 
 def surface_classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Surface class of each word: its ending, the script of its letters, length and digits."""
     if not len(starts):
         return np.zeros(0, np.int64)
-    table = np.zeros(256, np.int64)
-    for byte, value in ENDINGS.items():
-        table[byte] = value
-    ending = table[data[ends - 1]]
-    lead = np.r_[False, data[:-1] == 0xC3]
-    script = np.zeros(len(starts), np.int64)
-
-    def some(flags: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(flags, out=sums[1:])
-        return sums[ends] > sums[starts]
-
-    script[some(data >= 0x80)] = 4
-    for k, seconds in enumerate(LETTERS, 1):
-        members = np.zeros(256, bool)
-        members[list(seconds)] = True
-        script[some(lead & members[data])] = k
+    edges = np.stack([starts, ends], 1).ravel()
+    flags = np.bitwise_or.reduceat(np.r_[_FLAGS[data], np.uint8(0)], edges)[::2]
     size = np.digitize(ends - starts, (4, 7, 11))
-    digit = some((data >= 48) & (data <= 57)).astype(np.int64)
-    return ((ending * 5 + script) * 4 + size) * 2 + digit
+    return ((_ENDING[data[ends - 1]] * 5 + _SCRIPT[flags]) * 4 + size) * 2 + (flags & 1)
 
 
 def chunks(batch: pa.RecordBatch):
@@ -115,15 +111,23 @@ class Vocabulary:
 
     Categories: clustered words 0..n-1, then the surface classes, then the document end."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        top = np.argsort(-self.counts, kind="stable")[:CLUSTERED]
-        self.category = np.full(len(words), -1, np.int32)
-        self.category[top] = np.arange(len(top), dtype=np.int32)
-        self.n = len(top)
+    def __init__(self, words: np.ndarray, counts: np.ndarray, category: np.ndarray):
+        self.words, self.counts, self.category = words, counts, category
+        self.n = int((category >= 0).sum())
         self.end = self.n + SURFACE
 
+    @classmethod
+    def of(cls, words: np.ndarray, counts: np.ndarray, clustered: np.ndarray) -> Vocabulary:
+        """Of distinct words in any order; ``clustered``: those that exchange moves, among them."""
+        order = np.argsort(words)
+        words, counts = words[order], counts[order]
+        category = np.full(len(words), -1, np.int32)
+        category[np.searchsorted(words, clustered)] = np.arange(len(clustered), dtype=np.int32)
+        return cls(words, counts, category)
+
+    def state(self) -> tuple:
+        return self.words, self.counts, self.category
+
     def lookup(self, words: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.full(len(words), -1)
@@ -144,7 +148,7 @@ class Vocabulary:
 
 def bigram_counter(shared, slice_rows: int):
     def count(batches):
-        vocabulary = shared.value
+        vocabulary = Vocabulary(*shared.value)
         size = vocabulary.end + 1
         table = np.zeros(size * size, np.int64)
         for batch in batches:
@@ -240,26 +244,31 @@ def exchange(table: np.ndarray, n: int, classes: int = CLASSES, sweeps: int = SW
 
 class ClassModel:
     """Transition and emission logarithms (base 10) between classes: the learnt ones, then a
-    spelling class for each surface, then the document end. ``sums`` has tokens and types of
-    the words in a class; an emission still lacks log10(c + 1) of the word."""
+    spelling class for each surface, then the document end. ``mass`` has tokens plus types of the
+    words in a class, and 1; an emission still lacks log10(c + 1) of the word."""
 
-    def __init__(self, joint: np.ndarray, learnt: int, sums: dict[int, tuple[int, int]]):
-        self.joint, self.learnt, self.k = joint.astype(float), learnt, len(joint)
+    def __init__(self, joint: np.ndarray, learnt: int, mass: np.ndarray):
+        self.joint, self.learnt, self.k, self.mass = joint.astype(float), learnt, len(joint), mass
         share = (joint.sum(0) + 1) / (joint.sum() + self.k)
         self.prior = PRIOR * share
         self.leave = joint.sum(1) + PRIOR
         self.move = np.log10((joint + self.prior) / self.leave[:, None])
-        self.mass = np.array([sum(sums.get(k, (0, 0))) + 1.0 for k in range(self.k)])
         self.emit = -np.log10(self.mass)
         self.emit[-1] = 0.0
 
 
+def class_mass(k: int, sums: dict[int, tuple[int, int]]) -> np.ndarray:
+    """Of (tokens, types) by class."""
+    return np.array([sum(sums.get(c, (0, 0))) + 1.0 for c in range(k)])
+
+
 def context_counter(shared):
     """(word, surface, contexts) of the words that have no learnt class yet: a context is the
     class of a neighbour (behind: plus the number of classes) and its count, in one integer."""
 
     def count(batches):
-        vocabulary, of = shared.value
+        *state, of = shared.value
+        vocabulary = Vocabulary(*state)
         k, n = int(of.max()) + 1, vocabulary.n
         held, size = [], 0
 
@@ -336,7 +345,7 @@ def chooser(shared):
         return pa.RecordBatch.from_arrays([pa.array(words[first]), pa.array(chosen.astype(np.int32)), pa.array(c.astype(np.int64))], names=["word", "class", "c"])
 
     def run(batches):
-        model = shared.value
+        model = ClassModel(*shared.value)
         kept = None  # the rows of the last word, which the next batch may go on with
         for batch in batches:
             if not batch.num_rows:
@@ -358,18 +367,26 @@ def chooser(shared):
     return run
 
 
-def frequent(counts: DataFrame) -> DataFrame:
-    """The most frequent words, HELD_WORDS at most: those above a step of a logarithmic scale,
-    found from the number of words at each step (so tasks send on only what is held)."""
+def frequent(counts: DataFrame) -> Column:
+    """Whether a word is among the most frequent ones, about HELD_WORDS at most: those above a step of a logarithmic
+    scale, found from the number of words at each step (so tasks send on only what is held), and
+    of the step in which the bound lies a share by hash."""
     step = F.floor(F.log2("c") * 16).cast("int")
     steps = {r["step"]: r["n"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
-    total, least = 0, None
+    total, least, share = 0, 0, 1.0
     for s in sorted(steps, reverse=True):
-        total += steps[s]
-        if total > HELD_WORDS:
-            break
         least = s
-    return counts.where(F.lit(False) if least is None else step >= least).select("word", "c")
+        if total + steps[s] > HELD_WORDS:
+            share = (HELD_WORDS - total) / steps[s]
+            break
+        total += steps[s]
+    cut = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return (step > least) | ((step == least) & cut)
+
+
+def clustered(counts: DataFrame) -> DataFrame:
+    """The CLUSTERED most frequent words, ties by hash."""
+    return counts.orderBy(F.desc("c"), "word").limit(CLUSTERED).select("word", "c")
 
 
 SEQUENCE_SCHEMA = "row_key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, own double, classes binary, places array<int>, rare array<bigint>"
@@ -381,7 +398,8 @@ def sequencer(shared):
     other words have their spelling class for now and are listed with their places."""
 
     def sequence(batches):
-        vocabulary, classes, learnt = shared.value
+        *state, classes, learnt = shared.value
+        vocabulary = Vocabulary(*state)
         for batch in batches:
             out = [[] for _ in range(6)]
             for i, j, docs, words, surface in chunks(batch):
@@ -454,7 +472,7 @@ def class_bigrams(filled: DataFrame, k: int) -> np.ndarray:
 
 def scorer(shared, divisor: float, end_count: int):
     def score(batches):
-        model: ClassModel = shared.value
+        model = ClassModel(*shared.value)
         for batch in batches:
             of, before, tokens = with_ends(batch.column(5), model.k - 1)
             own, words = batch.column(4).to_numpy(), batch.column(2).to_numpy()
@@ -466,61 +484,89 @@ def scorer(shared, divisor: float, end_count: int):
     return score
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every
-    whole text.
+class Trained:
+    """What training gives: ``words`` (word, class, c) of the whole training part, distributed;
+    its most frequent words with their classes as arrays; tokens and types of every class."""
 
-    Null and empty texts are one document end; rows without doc_id take part in training;
-    repeated rows count each; with no training text every word is unknown; an empty table
-    gives no rows; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    context = spark.sparkContext
+    def __init__(self, words, vocabulary, classes, learnt, k, mass, tokens, types, ends):
+        self.words, self.vocabulary, self.classes, self.learnt, self.k = words, vocabulary, classes, learnt, k
+        self.mass, self.tokens, self.types, self.ends = mass, tokens, types, ends
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and whether the row is learnt from."""
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), train.alias("train"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), train.alias("train"))
+
+
+def train(rows: DataFrame) -> Trained:
+    """Counts, classes and class sizes of the training part of (doc_id, text, train)."""
+    spark = rows.sparkSession
+    context = spark.sparkContext
     schema = "word bigint, surface int, c bigint"
     counts = materialise(rows.mapInArrow(count_words, schema).groupBy("word").agg(F.min("surface").alias("surface"), F.sum("c").alias("c")), "words")
     ends = rows.where("train").count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, types = sums["n"] + ends, sums["v"] + (ends > 0)
-    held = frequent(counts).toPandas()
-    vocabulary = Vocabulary(held["word"].to_numpy(np.int64).view(np.uint64), held["c"].to_numpy(np.int64))
-    shared = context.broadcast(vocabulary)
-    table = bigrams(rows, shared, vocabulary)
+    top = clustered(counts).toPandas()
+    seeds = top["word"].to_numpy(np.int64).view(np.uint64)
+    often = frequent(counts)
+    held = counts.where(often).select("word", "c").toPandas()
+    both = {**dict(zip(held["word"].tolist(), held["c"].tolist(), strict=True)), **dict(zip(top["word"].tolist(), top["c"].tolist(), strict=True))}
+    vocabulary = Vocabulary.of(np.array(list(both), np.int64).view(np.uint64), np.array(list(both.values()), np.int64), seeds)
+    table = bigrams(rows, context.broadcast(vocabulary.state()), vocabulary)
     of = exchange(table, vocabulary.n)
     learnt = int(of[: vocabulary.n].max()) + 1 if vocabulary.n else 0
     k = int(of.max()) + 1
     joint = np.zeros((k, k))
     np.add.at(joint, (of[:, None], of[None, :]), table)
     # tokens and types of the classes, the words beyond the clustered ones being in their spelling classes
-    top = np.flatnonzero(vocabulary.category >= 0)
-    top_class, top_count = of[vocabulary.category[top]].astype(np.int64), vocabulary.counts[top]
-    seeds = spark.createDataFrame([(w, c, n) for w, c, n in zip(vocabulary.words[top].view(np.int64).tolist(), top_class.tolist(), top_count.tolist(), strict=True)], "word bigint, class int, c bigint")
-    rest = counts.join(F.broadcast(seeds.select("word")), "word", "left_anti").groupBy("surface").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    top_class, top_count = of[: len(seeds)].astype(np.int64), top["c"].to_numpy(np.int64)
+    placed = spark.createDataFrame([(w, c, n) for w, c, n in zip(top["word"].tolist(), top_class.tolist(), top_count.tolist(), strict=True)], "word bigint, class int, c bigint")
+    rest = counts.join(F.broadcast(placed.select("word")), "word", "left_anti").groupBy("surface").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     sums = {c: (int(top_count[top_class == c].sum()), int((top_class == c).sum())) for c in range(learnt)}
     sums |= {learnt + r["surface"]: (r["n"], r["v"]) for r in rest}
     # every other word of the training part chooses its class by its neighbours
-    first = context.broadcast((vocabulary, of))
-    begun = context.broadcast(ClassModel(joint, learnt, sums))
+    first = context.broadcast((*vocabulary.state(), of))
+    begun = context.broadcast((joint, learnt, class_mass(k, sums)))
     contexts = rows.mapInArrow(context_counter(first), "word bigint, surface int, contexts binary").repartition("word").sortWithinPartitions("word")
     chosen = materialise(contexts.mapInArrow(chooser(begun), "word bigint, class int, c bigint"), "classes")
-    words = chosen.unionByName(seeds)
+    words = chosen.unionByName(placed)
     sums = {r["class"]: (r["n"], r["v"]) for r in words.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    least = int(vocabulary.counts.min()) if len(vocabulary.counts) else 1
-    found = words.where(F.col("c") >= least).select("word", "class").toPandas()
+    found = chosen.where(often).select("word", "class").toPandas()
     classes = np.zeros(len(vocabulary.words), np.uint16)
-    at = vocabulary.lookup(found["word"].to_numpy(np.int64).view(np.uint64))
-    classes[at[at >= 0]] = found["class"].to_numpy()[at >= 0]
-    shared = context.broadcast((vocabulary, classes, learnt))
+    classes[vocabulary.lookup(found["word"].to_numpy(np.int64).view(np.uint64))] = found["class"].to_numpy()
+    classes[vocabulary.lookup(seeds)] = top_class
+    return Trained(words, vocabulary, classes, learnt, k, class_mass(k, sums), tokens, types, ends)
+
+
+def sequenced(rows: DataFrame, trained: Trained) -> DataFrame:
+    """The class of every token of every row, with its word counts."""
+    shared = rows.sparkSession.sparkContext.broadcast((*trained.vocabulary.state(), trained.classes, trained.learnt))
     sequences = materialise(rows.mapInArrow(sequencer(shared), SEQUENCE_SCHEMA), "sequences")
     rare = sequences.select("row_key", F.explode(F.arrays_zip("places", "rare")).alias("x")).select("row_key", F.col("x.places").alias("place"), F.col("x.rare").alias("word"))
-    rare = rare.join(words, "word").groupBy("row_key").agg(F.collect_list(F.struct("place", "class")).alias("x"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("more"), F.count("*").alias("seen"))
+    rare = rare.join(trained.words, "word").groupBy("row_key").agg(F.collect_list(F.struct("place", "class")).alias("x"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("more"), F.count("*").alias("seen"))
     joined = sequences.drop("places", "rare").join(rare, "row_key", "left")
     joined = joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("own") + F.coalesce("more", F.lit(0.0))).alias("own"), "classes", F.col("x.place").alias("places"), F.col("x.class").alias("found"))
     filled = materialise(joined.mapInArrow(fill, FILLED_SCHEMA), "filled")
     discard(sequences)
-    model = context.broadcast(ClassModel(class_bigrams(filled, k), learnt, sums))
-    divisor = math.log10(tokens + types + 1)
+    return filled
+
+
+def lm_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and
+    perplexity (of a token, by the score) of every whole text.
+
+    Null and empty texts are one document end; rows without doc_id take part in training;
+    repeated rows count each; with no training text every word is unknown; an empty table
+    gives no rows; other columns are ignored.
+    """
+    rows = training_rows(docs)
+    trained = train(rows)
+    filled = sequenced(rows, trained)
+    model = docs.sparkSession.sparkContext.broadcast((class_bigrams(filled, trained.k), trained.learnt, trained.mass))
+    divisor = math.log10(trained.tokens + trained.types + 1)
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    out = filled.mapInArrow(scorer(model, divisor, ends), schema)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    out = filled.mapInArrow(scorer(model, divisor, trained.ends), schema)
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
