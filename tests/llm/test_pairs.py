@@ -8,7 +8,7 @@ import pytest
 
 from verbena.llm._common import connected_components
 from verbena.llm.embedding_dedup import calibrated_count, embedding_groups
-from verbena.llm.jaccard_join import first_of_groups, jaccard_groups
+from verbena.llm.jaccard_join import first_of_groups, jaccard_groups, jaccard_join
 
 
 def components(nodes, links):
@@ -49,10 +49,9 @@ def near_copies(seed, n=150):
 
 @pytest.mark.parametrize("size,percent", [(3, 90), (5, 80), (2, 50)])
 def test_jaccard_groups(spark, size, percent, monkeypatch):
-    if size == 5:  # many places for a home, and the joins without broadcasts
-        monkeypatch.setattr("verbena.llm.jaccard_join.PARTNERS", 2)
-        monkeypatch.setattr("verbena.llm.jaccard_join.BROADCAST_PAIRS", 0)
-        monkeypatch.setattr("verbena.llm.jaccard_join.BROADCAST_IDS", 0)
+    if size == 5:  # many places for a home, few bits, and the prefix join alone
+        for name, value in (("PARTNERS", 2), ("HOMES", 1), ("FILTER_ROWS", 2), ("LONG", 0), ("ROUNDS", 0), ("LEAST_BITS", 3)):
+            monkeypatch.setattr(f"verbena.llm.jaccard_join.{name}", value)
     rows = near_copies(size)
     sets = {i: sets_of(t, size) for i, t in rows}
     ids = sorted(sets)
@@ -64,6 +63,23 @@ def test_jaccard_groups(spark, size, percent, monkeypatch):
     assert got == {i: (len(sets[i]), want[i]) for i in ids}
     kept = {r["doc_id"] for r in first_of_groups(df, size, percent).collect()}
     assert kept == {i for i in ids if want[i] == i}
+    pairs, members = jaccard_join(df, size, percent)
+    named = {r["doc_id"]: r for r in members.collect()}
+    first = {}
+    for i in ids:
+        first.setdefault(frozenset(sets[i]) or i, i)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(a, b) for a, b in links if first[frozenset(sets[a])] == a and first[frozenset(sets[b])] == b and sets[a] != sets[b]}
+    for i in ids:
+        assert named[i]["representative"] == first[frozenset(sets[i]) or i]
+        assert named[i]["n_links"] == sum(i in x for x in links)
+
+
+def test_rows_that_share_an_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words[1:]), " ".join(reversed(words)), " ".join([*reversed(words)][1:])]
+    rows = [(1, texts[0]), (1, texts[2]), (5, texts[1]), (6, texts[3]), (7, "else")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (7, 7)}
 
 
 def test_jaccard_edges(spark):
