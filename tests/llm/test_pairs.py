@@ -1,5 +1,6 @@
 """Jaccard join and embedding groups against brute force."""
 
+import math
 import random
 import re
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 from verbena.llm._common import connected_components
-from verbena.llm.embedding_dedup import calibrated_count, embedding_groups
+from verbena.llm.embedding_dedup import calibrated_count, embedding_groups, table_sizes
 from verbena.llm.jaccard_join import first_of_groups, jaccard_groups, jaccard_join
 
 
@@ -96,12 +97,16 @@ def test_components_of_a_path(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
 
 
-def test_embedding_groups(spark):
+@pytest.mark.parametrize("bucket,block", [(200, 2000), (10, 2000), (60, 7)])
+def test_embedding_groups(spark, monkeypatch, bucket, block):
+    monkeypatch.setattr("verbena.llm.embedding_dedup.BUCKET", bucket)
+    monkeypatch.setattr("verbena.llm.embedding_dedup.BLOCK", block)
     r = np.random.default_rng(5)
     centres = r.standard_normal((12, 16))
     vectors = [(c + r.standard_normal(16) * s).tolist() for c in centres for s in r.uniform(0.02, 0.45, 20)]
     rows = [(k, v) for k, v in enumerate(vectors)]
     rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, []), (905, [1.0, 0.0]), (906, [1.0, 0.0]), (907, vectors[0]), (908, [1e200] * 16), (909, [2e200] * 16)]
+    rows += [(2000 + k, vectors[17]) for k in range(25)]  # many equal vectors
     unit = {i: np.array(v, float) / np.abs(v).max() for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
     unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
     links = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
@@ -117,5 +122,29 @@ def test_embedding_groups(spark):
     assert got[905]["n_links"] == got[906]["n_links"] == 1 and got[908]["n_links"] == 1
 
 
+def test_recall_at_ten_thousand_vectors(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((10_000, 32))
+    for k in range(0, 6_000, 2):  # pairs close to the threshold
+        x[k + 1] = x[k] + r.standard_normal(32) * np.linalg.norm(x[k]) * r.uniform(0.05, 0.062)
+    x[6_000:6_300] = x[6_000] + r.standard_normal((300, 32)) * 0.15
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_groups(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")).collect()}
+    want = close.sum(axis=1)
+    assert all(got[k] <= want[k] for k in got) and want.sum() > 50_000
+    assert sum(got.values()) >= 0.995 * want.sum()
+    assert sum(got[k] for k in range(6_000)) >= 0.99 * want[:6_000].sum()
+
+
+def test_tables():
+    assert table_sizes(0, 0.95) == table_sizes(200, 0.95) == (0, 1)
+    for rows in (1_000, 51_282, 10**9):
+        k, tables = table_sizes(rows, 0.95)
+        meet = (1 - math.acos(0.95) / math.pi) ** k
+        assert rows / 2**k <= 200 and 1 - (1 - meet) ** tables >= 0.999
+
+
 def test_calibration():
     assert 20 < calibrated_count() < 32

@@ -1,14 +1,18 @@
 """Embedding near-duplicates by collision-counting projections.
 
 Unit vectors are projected onto many random lines. Two vectors at the similarity sought are
-close on almost every line, others on few: in each sorted projection the window around a query
-counts a collision for every vector inside, and a pair is verified (cosine in double
-precision) only when its count reaches a level calibrated for recall.
-
-Work is dealt by a grid over the first few lines (the anchors), whose cells are wide enough
-that a pair sought lies in the same or in neighbouring cells; a cell with many vectors is cut
-into blocks, and each pair of blocks is one unit of work of bounded size. A unit returns counts
-for each vector and a spanning forest of its links, never all pairs.
+close on almost every line, others on few: the window around a query on a line counts a collision
+for every vector inside, and a pair is verified (cosine in double precision) only when its count
+over all lines reaches a level calibrated for recall.
+
+Which pairs meet at all is decided by tables: in each, the halves of ``k`` further lines on which a
+vector lies make its bucket, and there are so many tables that a pair at the threshold shares a
+bucket in one of them with the recall asked for. ``k`` grows with the logarithm of the rows, so
+buckets stay small, the tables with a power of about 0.15. Inside a bucket vectors are sorted on one
+line, and the runs inside the windows are enumerated. A pair counts in the first table in which its
+keys agree, so sums over tables are exact. A bucket with many vectors is cut into blocks, each pair
+of which is a unit of work of bounded size. A unit returns counts for each vector and a spanning
+forest of its links, never all pairs. Equal vectors are one class from the start.
 """
 
 from __future__ import annotations
@@ -16,22 +20,25 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import connected_components, materialise
+from verbena.llm._common import connected_components, discard, materialise
 
-#: Vectors of a cell that one block holds.
+#: Vectors that a bucket holds on average if they are spread evenly, and that one block holds.
+BUCKET = 200
 BLOCK = 2_000
-#: Projections that count, and their share of collisions that pairs at the threshold reach.
+#: Projections that count, and their share of collisions that pairs at the threshold reach; also
+#: the share of pairs at the threshold that meet in a table.
 LINES = 32
 RECALL = 0.999
-#: Half width of an anchor window and of a counting window, in standard deviations of the
-#: difference at the threshold.
-ANCHOR_SIGMAS, WINDOW_SIGMAS = 3.3, 2.0
-QUERIES_AT_ONCE = 256
+#: Half width of the window whose runs are enumerated and of a counting window, in standard
+#: deviations of the difference at the threshold.
+RUN_SIGMAS, WINDOW_SIGMAS = 3.3, 2.0
+#: Pairs that are counted at once, and lines after which those that cannot reach the count go.
+PAIRS_AT_ONCE = 1 << 20
+LINES_AT_ONCE = 4
 
 
 def tail(n: int, p: float, least: int) -> float:
@@ -44,44 +51,55 @@ def calibrated_count(lines: int = LINES, recall: float = RECALL) -> int:
     return max(k for k in range(1, lines + 1) if k == 1 or tail(lines, p, k) >= recall)
 
 
+def table_sizes(rows: int, threshold: float) -> tuple[int, int]:
+    """(lines of a table, tables): buckets of about BUCKET vectors, and so many tables that two
+    vectors at the threshold share a bucket with the recall asked for."""
+    k = max(0, math.ceil(math.log2(max(rows, 1) / BUCKET)))
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** k
+    return k, 1 if meet >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+
+
 def directions(size: int, lines: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, size]).standard_normal((size, lines))
 
 
-def anchors_for(rows: int) -> int:
-    """More anchors for more rows: about half of all vectors collide on each."""
-    return int(min(6, max(2, math.ceil(math.log2(max(rows, 1) / 32_000)))))
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows as double precision unit vectors; scaled first, so that squares stay finite."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def unit_rows(anchors: int, width: float):
-    """vec_id, unit vector (double bytes), its size and its anchor cells; unusable vectors go."""
+def keyed(k: int, tables: int, width: int):
+    """rep, copies, the components as bytes, their number, and the key of every table."""
 
     def run(batches):
         for batch in batches:
-            ids, raws, sizes, cells = [], [], [], []
-            for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if values is None or not values or None in values:
-                    continue
-                v = np.array(values, np.float64)
-                norm = math.sqrt(float(v @ v)) if np.isfinite(v).all() else 0.0
-                if not norm or not math.isfinite(norm):
-                    scale = np.abs(v).max() if np.isfinite(v).all() else 0.0
-                    if not scale:
-                        continue
-                    v = v / scale  # squares over- or underflow
-                    norm = math.sqrt(float(v @ v))
-                v = v / norm
-                ids.append(vec_id)
-                raws.append(v.tobytes())
-                sizes.append(len(v))
-                cells.append(np.floor(v @ directions(len(v), anchors, 1) / width).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["vec_id", "raw", "size", "cell"])
+            column = batch.column(2)
+            sizes = np.diff(column.offsets.to_numpy())
+            flat = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() :]
+            ends = np.cumsum(sizes)
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                x = np.stack([flat[ends[i] - size : ends[i]] for i in own])
+                keys = np.zeros((len(own), tables), np.int64)
+                lines = directions(int(size), k * tables, 1)
+                for s in range(0, len(own) if k else 0, 1_000):
+                    bits = (unit(x[s : s + 1_000]) @ lines >= 0).reshape(-1, tables, k)
+                    keys[s : s + 1_000] = (bits * (np.int64(1) << np.arange(k, dtype=np.int64) % 63)).sum(axis=2)
+                raw = [row.tobytes() for row in x.astype(f"<f{width}")]
+                at = pa.array(own)
+                offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * tables)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(raw, pa.binary()), pa.array(np.full(len(own), size), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                    names=["rep", "copies", "raw", "size", "keys"],
+                )
 
     return run
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of local links."""
+    """A spanning forest of links."""
     up: dict[int, int] = {}
 
     def root(x):
@@ -100,56 +118,100 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
-UNIT_SCHEMA = "vec_id bigint, n_links bigint, other bigint"
-
-
-def link_unit(threshold: float, window: float, least: int):
-    def link(key, rows: pd.DataFrame) -> pd.DataFrame:
-        queries, targets = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        same = targets.empty  # a block with itself
-        targets = queries if same else targets
-        empty = pd.DataFrame({"vec_id": [], "n_links": [], "other": []}).astype("int64")
-        if queries.empty:
-            return empty
-        size = int(rows["size"].iloc[0])
-        lines = directions(size, LINES, 2)
-        x = np.frombuffer(b"".join(targets["raw"]), np.float64).reshape(-1, size)
-        q = x if same else np.frombuffer(b"".join(queries["raw"]), np.float64).reshape(-1, size)
-        xi, qi = targets["vec_id"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64)
-        on_x, on_q = x @ lines, q @ lines
-        ranks = np.empty(on_x.shape, np.int32)
-        bounds = []
-        for t in range(LINES):
-            order = np.argsort(on_x[:, t], kind="stable")
-            ranks[order, t] = np.arange(len(order), dtype=np.int32)
-            line = on_x[order, t]
-            bounds.append((np.searchsorted(line, on_q[:, t] - window).astype(np.int32), np.searchsorted(line, on_q[:, t] + window, "right").astype(np.int32)))
+def runs(low: np.ndarray, high: np.ndarray):
+    """Pairs (i, j) with low[i] <= j < high[i], in parts of about PAIRS_AT_ONCE."""
+    sizes = np.maximum(high - low, 0)
+    ends = np.cumsum(sizes)
+    s = 0
+    while s < len(low):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + PAIRS_AT_ONCE, "right")))
+        own = sizes[s:e]
+        i = np.repeat(np.arange(s, e), own)
+        j = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + low[i]
+        yield i, j
+        s = e
+
+
+def linked_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float, met):
+    """Pairs (i, j) of rows of ``x`` and ``y`` (of ``x`` with itself, each once, if ``y`` is None)
+    that reach the threshold, found by their collisions; ``met(i, j)``: whether a pair counts
+    elsewhere."""
+    sigma = math.sqrt(max(2 - 2 * threshold, 1e-12))
+    lines = directions(x.shape[1], LINES, 2)
+    least, window = calibrated_count(), WINDOW_SIGMAS * sigma + 1e-6
+    on_x = (x @ lines).T.astype(np.float32)
+    order = np.argsort(on_x[0], kind="stable")
+    if y is None:
+        y, on_y, order_y = x, on_x, order
+    else:
+        on_y = (y @ lines).T.astype(np.float32)
+        order_y = np.argsort(on_y[0], kind="stable")
+    line, line_y = on_x[0][order], on_y[0][order_y]
+    high = np.searchsorted(line_y, line + (RUN_SIGMAS * sigma + 1e-6), "right")
+    low = np.arange(1, len(line) + 1) if y is x else np.searchsorted(line_y, line - (RUN_SIGMAS * sigma + 1e-6))
+    for a, b in runs(low, high):
+        i, j = order[a], order_y[b]
+        count = np.zeros(len(i), np.int8)
+        for t in range(0, LINES, LINES_AT_ONCE):
+            for k in range(t, min(t + LINES_AT_ONCE, LINES)):
+                count += np.abs(on_x[k][i] - on_y[k][j]) <= window
+            alive = count >= least - (LINES - min(t + LINES_AT_ONCE, LINES))
+            i, j, count = i[alive], j[alive], count[alive]
+        fresh = ~met(i, j)
+        i, j = i[fresh], j[fresh]
+        good = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+        yield i[good], j[good]
+
+
+LINK_SCHEMA = "rep bigint, n_links bigint, other bigint"
+
+
+def link_units(threshold: float, width: int):
+    """Of rows sorted by unit (its first block, then its second): link counts of every vector and a
+    spanning forest of the links."""
+    marks = ("unit", "table", "size", "key", "low", "high")
+    names = (*marks, "side", "rep", "copies", "raw", "keys")
+
+    def linked(rows):
+        size, (side, rep, copies, raw, keys) = rows[2], rows[len(marks) :]
+        x = unit(np.frombuffer(b"".join(raw), f"<f{width}").reshape(len(raw), int(size[0])))
+        keys = np.stack(keys)[:, :-1]  # of the tables before this one
+        first, second = np.flatnonzero(side < 2), np.flatnonzero(side == 2)
+        alone = side[0] == 0
+        other = first if alone else second
+        totals = np.zeros(len(rep), np.int64)
         left, right = [], []
-        n_q, n_x = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
-        for s in range(0, len(q), QUERIES_AT_ONCE):
-            e = min(s + QUERIES_AT_ONCE, len(q))
-            counts = np.zeros((e - s, len(x)), np.int16)
-            for t in range(LINES):
-                low, high = bounds[t]
-                counts += (ranks[:, t] >= low[s:e, None]) & (ranks[:, t] < high[s:e, None])
-            if same:
-                counts[np.arange(len(x))[None, :] <= np.arange(s, e)[:, None]] = 0
-            i, j = np.nonzero(counts >= least)
-            cosine = np.einsum("ij,ij->i", q[s + i], x[j])
-            good = cosine >= threshold
-            i, j = i[good] + s, j[good]
-            np.add.at(n_q, i, 1)
-            np.add.at(n_x, j, 1)
-            a, b = forest(qi[i], xi[j])
-            left += a
-            right += b
-        left, right = forest(np.array(left, np.int64), np.array(right, np.int64)) if left else ([], [])
-        ids = np.r_[qi, xi]
-        counts = np.r_[n_q, n_x]
-        some = counts > 0
-        return pd.DataFrame({"vec_id": np.r_[ids[some], np.array(left, np.int64)], "n_links": np.r_[counts[some], np.zeros(len(left), np.int64)], "other": pd.array([None] * int(some.sum()) + right, dtype="Int64")})
-
-    return link
+        if len(first) and len(other) and len(rep) > 1:
+            met = lambda i, j: (keys[first[i]] == keys[other[j]]).any(axis=1)
+            for i, j in linked_pairs(x[first], None if alone else x[second], threshold, met):
+                i, j = first[i], other[j]
+                totals += np.bincount(i, weights=copies[j], minlength=len(rep)).astype(np.int64)
+                totals += np.bincount(j, weights=copies[i], minlength=len(rep)).astype(np.int64)
+                a, b = forest(rep[i], rep[j])
+                left += a
+                right += b
+            left, right = forest(np.array(left, np.int64), np.array(right, np.int64))
+        some = totals > 0
+        ids = pa.array(np.r_[rep[some], np.array(left, np.int64)])
+        others = pa.array([None] * int(some.sum()) + right, pa.int64())
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.r_[totals[some], np.zeros(len(left), np.int64)]), others], names=["rep", "n_links", "other"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [np.asarray(batch.column(k).to_pylist(), object) if k == "raw" else batch.column(k).to_numpy(zero_copy_only=False) for k in names]
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            cut = np.flatnonzero(np.any([v[1:] != v[:-1] for v in part[: len(marks)]], axis=0)) + 1
+            for s, e in zip(np.r_[0, cut[:-1]], cut, strict=True) if len(cut) else ():
+                yield linked([v[s:e] for v in part])
+            held = [v[cut[-1] if len(cut) else 0 :] for v in part]
+        if held is not None:
+            yield linked(held)
+
+    return run
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -157,37 +219,37 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
 
     Null vectors, empty ones, zero vectors and vectors with null or non-finite components link
     with nothing, nor do vectors of different sizes. Rows that share an id count once (with the
-    smallest vector); a row without id links with nothing and is its own group without a
+    smallest usable vector); a row without id links with nothing and is its own group without a
     component; ties do not matter; an empty table gives no rows; other columns are ignored.
     """
-    source = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    once = source.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    anchors = anchors_for(source.count())
-    sigma = math.sqrt(max(2 - 2 * threshold, 1e-12))
-    width, window = ANCHOR_SIGMAS * sigma, WINDOW_SIGMAS * sigma
-    points = once.mapInArrow(unit_rows(anchors, width), "vec_id bigint, raw binary, size int, cell array<int>")
-    # blocks of a cell: numbered by a hash, so that no cell has to come together
-    points = materialise(points, "vectors")
-    filled = points.groupBy("size", "cell").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).drop("rows")
-    filled = materialise(filled, "cells")
-    placed = points.join(filled, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    # units: pairs of blocks in the same or in neighbouring cells, each once
-    half = [o for o in np.ndindex(*[3] * anchors) if o >= (1,) * anchors]
-    steps = F.array(*[F.array(*[F.lit(int(c) - 1) for c in o]) for o in half])
-    near = filled.select("size", "cell", "blocks", F.explode(steps).alias("step")).select("size", "cell", "blocks", F.zip_with("cell", "step", lambda c, s: c + s).alias("to"))
-    other = filled.select("size", F.col("cell").alias("to"), F.col("blocks").alias("to_blocks"))
-    met = near.join(other, ["size", "to"])
-    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("to_block", F.explode(F.sequence(F.lit(0), F.col("to_blocks") - 1)))
-    met = met.where((F.col("cell") != F.col("to")) | (F.col("block") <= F.col("to_block")))
-    unit = F.xxhash64("size", "cell", "block", "to", "to_block")
-    units = materialise(met.select("size", "cell", "block", "to", "to_block", unit.alias("unit")), "units")
-    own = (F.col("cell") == F.col("to")) & (F.col("block") == F.col("to_block"))
-    sides = units.select("size", "unit", F.col("cell"), F.col("block"), F.lit(0).alias("side")).unionByName(units.where(~own).select("size", "unit", F.col("to").alias("cell"), F.col("to_block").alias("block"), F.lit(1).alias("side")))
-    dealt = placed.select("vec_id", "raw", "size", "cell", "block").join(sides, ["size", "cell", "block"]).select("unit", "size", "vec_id", "raw", "side")
-    found = dealt.groupBy("unit").applyInPandas(link_unit(threshold, window, calibrated_count()), UNIT_SCHEMA)
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind, width = ("array<float>", 4) if kind == "array<float>" else ("array<double>", 8)
+    source = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf)))
+    usable = source.where("vec_id is not null and size(embedding) > 0").where(finite & F.exists("embedding", lambda x: x != 0))
+    once = materialise(usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("*", F.xxhash64("embedding").alias("print1"), F.xxhash64(F.lit(1), "embedding").alias("print2")), "vectors")
+    classes = materialise(once.groupBy("print1", "print2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "vector-classes")
+    members = materialise(once.select("vec_id", "print1", "print2").join(classes.select("print1", "print2", "rep", "copies"), ["print1", "print2"]).select("vec_id", "rep", "copies"), "vector-members")
+    discard(once)
+    k, tables = table_sizes(classes.count(), threshold)
+    points = classes.select("rep", "copies", "embedding").mapInArrow(keyed(k, tables, width), "rep bigint, copies bigint, raw binary, size int, keys array<bigint>")
+    points = materialise(points, "vector-keys")
+    buckets = points.select("size", F.posexplode("keys").alias("table", "key"))
+    crowded = materialise(buckets.groupBy("table", "size", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK), "crowded")
+    crowded = crowded.select("table", "size", "key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    placed = points.select("rep", "copies", "raw", "size", "keys", F.posexplode("keys").alias("table", "key")).join(crowded, ["table", "size", "key"], "left")
+    # a unit is a block, or a pair of blocks of one bucket; blocks are dealt by a hash
+    placed = placed.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "with"), F.greatest("block", "with")
+    side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
+    dealt = placed.select(F.xxhash64("table", "size", "key", low, high).alias("unit"), "table", "size", "key", low.alias("low"), high.alias("high"), side.alias("side"), "rep", "copies", "raw", F.slice("keys", 1, F.col("table") + 1).alias("keys"))
+    found = dealt.repartition("unit").sortWithinPartitions("unit", "table", "size", "key", "low", "high", "side").mapInArrow(link_units(threshold, width), LINK_SCHEMA)
     found = materialise(found, "links")
-    counts = found.where("other is null").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    groups = connected_components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")), "vectors")
-    out = source.select("vec_id").join(counts, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id").withColumnRenamed("component", "component_id"), "vec_id", "left")
+    counts = found.where("other is null").groupBy("rep").agg(F.sum("n_links").alias("beyond"))
+    groups = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vectors")
+    told = members.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    told = told.select("vec_id", (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = source.select("vec_id").join(told, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
