@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
-#: Base of the polynomial hash; odd, so that it has an inverse modulo 2**64.
-POLY = 0x9E3779B97F4A7C15
-POLY_INV = pow(POLY, -1, 1 << 64)
+#: Bases of two independent polynomial hashes; odd, so that they have inverses modulo 2**64.
+POLY = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
-_powers: list[np.ndarray] = []
+_powers: dict[int, list[np.ndarray]] = {}
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -114,17 +113,17 @@ def doc_chunks(offsets: np.ndarray, limit: int):
         i = j
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """POLY**i and its inverse for i < n, kept for the next batch."""
-    if not _powers or len(_powers[0]) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """POLY[which]**i and its inverse for i < n, kept for the next batch."""
+    if which not in _powers or len(_powers[which][0]) < n:
         size = max(n, 1 << 16)
         out = []
-        for base in (POLY, POLY_INV):
+        for base in (POLY[which], pow(POLY[which], -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        _powers[:] = out
-    return _powers[0][:n], _powers[1][:n]
+        _powers[which] = out
+    return _powers[which][0][:n], _powers[which][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,9 +137,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_hash(data: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(prefix sums, inverse powers): bytes [s, e) hash to (sums[e] - sums[s]) * inverse[s]."""
-    p, q = powers(len(data) + 1)
+    p, q = powers(len(data) + 1, which)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=sums[1:])
     return sums, q

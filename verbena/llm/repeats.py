@@ -13,8 +13,9 @@ Strings of ``length`` bytes that start at two places are found in three steps.
    boundary separates then share at least ``length`` bytes.
 3. The covered bytes are joined to their documents and removed.
 
-An anchor with very many different surroundings is compared by the hashes of all its
-``length``-byte strings instead, which is exact too and needs no place where they meet.
+The surroundings of an anchor that has very many are dealt into blocks, each with a transform of
+its own; the strings that a block has found to be alone, and one of each kind that repeats in it,
+then meet those of the other blocks by 128-bit hashes, so no place holds all of them.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import doc_chunks, materialise, mix, prefix_hash, signed, text_buffers
+from verbena.llm._common import discard, doc_chunks, materialise, mix, prefix_hash, signed, text_buffers, trim
 
 LENGTH = 400
 #: Bytes of an anchor; a shorter string cannot be one.
 GRAM = 200
 CHUNK_BYTES = 2 << 20
-#: Bytes of one transform, and the different surroundings of an anchor that it may hold.
+#: Bytes of one transform, and the different surroundings of an anchor that a block holds on average.
 TEXT_BYTES = 1 << 18
-MAX_SURROUNDINGS = 16_384
+MAX_SURROUNDINGS = 1_000
 #: Place bits beside the hash in the window minimum; longer documents are read in pieces.
 PLACE = 24
 
@@ -52,12 +53,14 @@ def window_minima(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Places of all anchors, their hashes, and a function that hashes byte ranges."""
+    """Places of all anchors, their hashes, and a function that hashes byte ranges with another
+    base."""
     n = len(data)
     sums, inverse = prefix_hash(data)
 
     def span_hash(s, e):
-        return mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        other, back = prefix_hash(data, 1)
+        return mix((other[e] - other[s]) * back[s] + (e - s).astype(np.uint64))
 
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), span_hash
@@ -101,21 +104,44 @@ def anchor_rows(length: int, gram: int):
     return run
 
 
-PIECE_SCHEMA = "gram bigint, doc_id bigint, doc_print bigint, start bigint, many boolean, piece binary"
+PIECE_SCHEMA = "gram bigint, block int, doc_id bigint, doc_print bigint, start bigint, many boolean, piece binary"
 
 
 def cut_pieces(batches):
-    """The surroundings asked for (``wanted``) of each document."""
+    """The surroundings asked for (``wanted``) of each document, with the block of their anchor that
+    they go to (of one block only: -1)."""
     for batch in batches:
-        out = [[] for _ in range(6)]
-        for doc_id, doc_print, text, wanted in zip(*(batch.column(k) for k in range(4)), strict=True):
-            raw = text.as_py().encode()
-            for w in wanted.as_py():
+        out = [[] for _ in range(7)]
+        for doc_id, doc_print, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            raw = text.encode()
+            for w in wanted:
                 s = w["pos"] - w["before"]
-                for k, v in enumerate((w["gram"], doc_id.as_py(), doc_print.as_py(), s, w["many"], raw[s : w["pos"] + w["behind"]])):
+                block = hash((doc_print, s, w["gram"])) % w["blocks"] if w["blocks"] > 1 else -1
+                for k, v in enumerate((w["gram"], block, doc_id, doc_print, s, w["many"], raw[s : w["pos"] + w["behind"]])):
                     out[k].append(v)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["gram", "doc_id", "doc_print", "start", "many", "piece"])
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["gram", "block", "doc_id", "doc_print", "start", "many", "piece"])
+
+
+def sorted_classes(key: np.ndarray, bits: int):
+    """(order, class from 1 of each place) of keys of so many bits; equal keys may stand in any
+    order. Where key and place fit one integer together, that is what is sorted."""
+    n = len(key)
+    place_bits = max(1, (n - 1).bit_length())
+    if bits + place_bits <= 64:
+        packed = key.astype(np.uint64) << np.uint64(place_bits)
+        packed |= np.arange(n, dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        ranked = packed >> np.uint64(place_bits)
+    else:
+        order = np.argsort(key)
+        ranked = key[order]
+    new = np.ones(n, np.int64)
+    new[1:] = ranked[1:] != ranked[:-1]
+    classes = np.empty(n, np.int64)
+    classes[order] = np.cumsum(new)
+    return order, classes
 
 
 def sort_suffixes(symbols: np.ndarray, ends: np.ndarray, length: int):
@@ -124,27 +150,23 @@ def sort_suffixes(symbols: np.ndarray, ends: np.ndarray, length: int):
     ``depth`` < ``length`` symbols are. Nothing is compared beyond the end of a piece."""
     n = len(symbols)
     left = ends - np.arange(n)  # symbols from here to the end of the piece, its 0 included
+    used = np.zeros(int(symbols.max()) + 1, np.int64)
+    used[symbols] = 1
+    used[0] = 1
+    narrow = (np.cumsum(used) - 1)[symbols]  # the closing 0 stays 0
+    bits = max(1, int(used.sum() - 1).bit_length())
+    step = max(1, min((64 - max(1, (n - 1).bit_length())) // bits, length))
     key = np.zeros(n, np.int64)
-    step = min(7, length)
     for k in range(step):
-        part = np.zeros(n, np.int64)
-        part[: n - k] = symbols[k:]
-        key = (key << 9) | np.where(left > k, part, 0)
-
-    def classed(key):
-        order = np.argsort(key)  # equal suffixes may stand in any order
-        ranked = key[order]
-        new = np.r_[True, ranked[1:] != ranked[:-1]]
-        classes = np.empty(n, np.int64)
-        classes[order] = np.cumsum(new)
-        return order, classes
-
-    order, classes = classed(key)
+        key <<= bits
+        key[: n - k] |= np.where(left[: n - k] > k, narrow[k:], 0)
+    order, classes = sorted_classes(key, step * bits)
     depth, known = step, (0, None) if step >= length else (step, classes)
     while depth <= length:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - depth] = classes[depth:]
-        order, classes = classed(classes * (n + 1) + np.where(left > depth, ahead, 0))
+        class_bits = int(classes.max()).bit_length()
+        key = classes << class_bits
+        key[: n - depth] |= np.where(left[: n - depth] > depth, classes[depth:], 0)
+        order, classes = sorted_classes(key, 2 * class_bits)
         depth *= 2
         if depth < length:
             known = (depth, classes)
@@ -198,91 +220,103 @@ def long_groups(symbols: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
     return order, np.cumsum(cut)
 
 
-SPAN_SCHEMA = "doc_id bigint, doc_print bigint, start bigint, stop bigint"
+SPAN_SCHEMA = "doc_id bigint, doc_print bigint, start bigint, stop bigint, h1 bigint, h2 bigint, settled boolean"
+
 
+def span_batch(spans=(), alone=(), settled=()):
+    """Rows of SPAN_SCHEMA: covered ranges, strings that are alone in their block, and one string
+    of each kind that repeats there."""
+    rows = [(*x, None, None, True) for x in spans] + [(*x, False) for x in alone] + [(None, None, None, None, *x, True) for x in settled]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    types = (*[pa.int64()] * 6, pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "doc_print", "start", "stop", "h1", "h2", "settled"])
 
-def repeated_spans(pieces: list[tuple], length: int):
-    """Covered ranges of pieces (gram, doc_id, doc_print, start, many, bytes) that are alone: a
-    start counts if its group has another place, or a piece that occurs many times."""
-    sizes = np.array([len(p[5]) + 1 for p in pieces])
+
+def repeated_spans(pieces: list[tuple], length: int, block: bool = False):
+    """(spans, alone, settled) of pieces (gram, block, doc_id, doc_print, start, many, bytes). A
+    start counts if its group has another place, or a piece that occurs many times: its range is
+    among the spans. Of a block, also the other strings with their hashes, and the hashes of one
+    string of each group that repeats."""
+    sizes = np.array([len(p[6]) + 1 for p in pieces])
     ends = np.cumsum(sizes)
-    symbols = np.frombuffer(b"\0".join(p[5] for p in pieces) + b"\0", np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0".join(p[6] for p in pieces) + b"\0", np.uint8)
+    symbols = text.astype(np.int64) + 1
     symbols[ends - 1] = 0
     piece = np.repeat(np.arange(len(pieces)), sizes)
     order, group = long_groups(symbols, ends[piece], length)
     counts = np.bincount(group)
-    live = counts[group] > 1
+    live = ends[piece[order]] - order > length if block else counts[group] > 1
     order, group = order[live], group[live]
     if not len(order):
-        return
+        return [], [], []
     owner = piece[order]
-    start = np.array([p[3] for p in pieces], np.int64)
-    many = np.array([p[4] for p in pieces], bool)
-    _, doc = np.unique(np.array([(p[1] if p[1] is not None else -(1 << 62), p[2]) for p in pieces], np.int64), axis=0, return_inverse=True)
+    start = np.array([p[4] for p in pieces], np.int64)
+    many = np.array([p[5] for p in pieces], bool)
+    names: dict[tuple, int] = {}
+    doc = np.array([names.setdefault((p[2], p[3]), len(names)) for p in pieces], np.int64)
     at = start[owner] + order - (ends - sizes)[owner]
     # places of a group: the first one, and whether there is another
-    spot = doc.ravel()[owner].astype(np.int64) * (int(at.max()) + 1) + at
+    spot = doc[owner] * (int(at.max()) + 1) + at
     least, most = np.full(len(counts), np.iinfo(np.int64).max), np.full(len(counts), -1)
     np.minimum.at(least, group, spot)
     np.maximum.at(most, group, spot)
     often = np.zeros(len(counts), bool)
     np.logical_or.at(often, group, many[owner])
-    good = ((least < most) | often)[group] & ~many[owner]
+    repeats = ((least < most) | often)[group]
+    alone, settled = [], []
+    if block:
+        hashes = []
+        for which in (0, 1):
+            sums, inverse = prefix_hash(text, which)
+            hashes.append(signed(mix((sums[order + length] - sums[order]) * inverse[order])))
+        _, one = np.unique(group, return_index=True)
+        first = one[repeats[one]]
+        settled = list(zip(*(h[first].tolist() for h in hashes), strict=True))
+        for k in one[~repeats[one]].tolist():
+            p = pieces[owner[k]]
+            alone.append((p[2], p[3], int(at[k]), int(at[k]) + length, int(hashes[0][k]), int(hashes[1][k])))
+    good = repeats & ~many[owner]
     owner, at = owner[good], at[good]
     by = np.lexsort((at, owner))
     owner, at = owner[by], at[by]
     if not len(owner):
-        return
+        return [], alone, settled
     new = np.r_[True, (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + length)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(owner)] - 1
-    for p, s, e in zip(owner[first].tolist(), at[first].tolist(), at[last].tolist(), strict=True):
-        yield pieces[p][1], pieces[p][2], s, e + length
+    spans = [(pieces[p][2], pieces[p][3], s, e + length) for p, s, e in zip(owner[first].tolist(), at[first].tolist(), at[last].tolist(), strict=True)]
+    return spans, alone, settled
 
 
 def transform_groups(length: int):
-    """Of pieces sorted by gram: groups of whole grams up to TEXT_BYTES, one transform each."""
+    """Of pieces sorted by gram and block: groups of whole grams up to TEXT_BYTES, one transform
+    each; a block of a gram has one of its own."""
 
     def run(batches):
-        held, fresh, size, gram = [], [], 0, None
-
-        def spans(pieces):
-            rows = list(repeated_spans(pieces, length)) if len(pieces) > 1 else []
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "doc_print", "start", "stop"])
+        held, fresh, size, key = [], [], 0, None
+
+        def closed():
+            """The group that has come to its end goes to the others, or is worked on if a block."""
+            nonlocal held, size
+            if key is not None and key[1] >= 0:
+                yield span_batch(*repeated_spans(fresh, length, True))
+            elif len(fresh) > 1:
+                held += fresh
+                size += sum(len(p[6]) for p in fresh)
+                if size > TEXT_BYTES:
+                    yield span_batch(*repeated_spans(held, length))
+                    held, size = [], 0
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != gram:
-                    if len(fresh) > 1:
-                        held += fresh
-                        size += sum(len(p[5]) for p in fresh)
-                    fresh, gram = [], row[0]
-                    if size > TEXT_BYTES:
-                        yield spans(held)
-                        held, size = [], 0
+                if row[:2] != key:
+                    yield from closed()
+                    fresh, key = [], row[:2]
                 fresh.append(row)
-        if len(fresh) > 1:
-            held += fresh
+        yield from closed()
         if held:
-            yield spans(held)
-
-    return run
-
-
-def string_hashes(length: int):
-    """Two hashes of every ``length``-byte string of each piece, with its place."""
-
-    def run(batches):
-        for batch in batches:
-            for _, doc_id, doc_print, start, many, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums, inverse = prefix_hash(np.frombuffer(piece, np.uint8))
-                raw = (sums[length:] - sums[:-length]) * inverse[: len(sums) - length]
-                n = len(raw)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id] * n, pa.int64()), pa.array([doc_print] * n, pa.int64()), pa.array(np.arange(start, start + n)), pa.array([many] * n), pa.array(signed(mix(raw))), pa.array(signed(mix(raw ^ np.uint64(0x5851F42D4C957F2D))))],
-                    names=["doc_id", "doc_print", "start", "many", "h1", "h2"],
-                )
+            yield span_batch(*repeated_spans(held, length))
+        trim()
 
     return run
 
@@ -303,32 +337,30 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("doc_print"), "text")
     found = materialise(keyed.mapInArrow(anchor_rows(length, gram), ANCHOR_SCHEMA), "anchors")
     place = F.struct("doc_id", "doc_print", "pos", "before", "behind")
-    around = found.groupBy("gram", "around").agg(F.count("*").alias("times"), F.min(place).alias("place"))
-    around = materialise(around, "around")
+    around = materialise(found.groupBy("gram", "around").agg(F.count("*").alias("times"), F.min(place).alias("place")), "around")
     shared = around.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1")
     # equal surroundings: every place of them repeats
     often = around.where("times > 1").select("gram", "around")
     equal = found.join(often, ["gram", "around"]).select("doc_id", "doc_print", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("behind")).alias("stop"))
     # different surroundings of one anchor
-    wanted = around.join(shared.select("gram", "kinds"), "gram").select("kinds", "gram", (F.col("times") > 1).alias("many"), "place.*")
-    asked = wanted.groupBy("doc_id", "doc_print").agg(F.collect_list(F.struct("gram", "pos", "before", "behind", "many", "kinds")).alias("wanted"))
+    wanted = around.join(shared.select("gram", F.ceil(F.col("kinds") / max_surroundings).cast("int").alias("blocks")), "gram").select("blocks", "gram", (F.col("times") > 1).alias("many"), "place.*")
+    asked = wanted.groupBy("doc_id", "doc_print").agg(F.collect_list(F.struct("gram", "pos", "before", "behind", "many", "blocks")).alias("wanted"))
     same = (keyed["doc_print"] == asked["doc_print"]) & keyed["doc_id"].eqNullSafe(asked["doc_id"])
     with_text = keyed.join(asked, same).select(keyed["doc_id"], keyed["doc_print"], keyed["text"], asked["wanted"])
-    few = F.filter("wanted", lambda w: w["kinds"] <= max_surroundings)
-    rest = F.filter("wanted", lambda w: w["kinds"] > max_surroundings)
-    with_text = with_text.select("doc_id", "doc_print", "text", few.alias("few"), rest.alias("rest"))
-    with_text = materialise(with_text, "asked")
-    pieces = with_text.where(F.size("few") > 0).select("doc_id", "doc_print", "text", "few").mapInArrow(cut_pieces, PIECE_SCHEMA)
-    different = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(transform_groups(length), SPAN_SCHEMA)
-    pieces = with_text.where(F.size("rest") > 0).select("doc_id", "doc_print", "text", "rest").mapInArrow(cut_pieces, PIECE_SCHEMA)
-    strings = materialise(pieces.mapInArrow(string_hashes(length), "doc_id bigint, doc_print bigint, start bigint, many boolean, h1 bigint, h2 bigint"), "strings")
+    pieces = with_text.mapInArrow(cut_pieces, PIECE_SCHEMA)
+    worked = materialise(pieces.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(transform_groups(length), SPAN_SCHEMA), "worked")
+    different = worked.where("h1 is null").select("doc_id", "doc_print", "start", "stop")
+    # strings of the blocks: one that another block has too repeats
     spot = F.struct("doc_id", "doc_print", "start")
-    twice = strings.groupBy("h1", "h2").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.bool_or("many").alias("m")).where("m or a <> b").select("h1", "h2")
-    hashed = strings.where("not many").join(twice, ["h1", "h2"], "left_semi").select("doc_id", "doc_print", "start", (F.col("start") + length).alias("stop"))
-    spans = equal.unionByName(different).unionByName(hashed)
+    strings = worked.where("h1 is not null")
+    twice = strings.groupBy("h1", "h2").agg(F.min(F.when(~F.col("settled"), spot)).alias("a"), F.max(F.when(~F.col("settled"), spot)).alias("b"), F.bool_or("settled").alias("m")).where("m or a <> b").select("h1", "h2")
+    across = strings.where("not settled").join(twice, ["h1", "h2"], "left_semi").select("doc_id", "doc_print", "start", "stop")
+    spans = equal.unionByName(different).unionByName(across)
     # neighbouring anchors cover nearly the same bytes: equal rows go before they are gathered
     ranges = spans.groupBy("doc_id", "doc_print").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return keyed, materialise(ranges, "ranges")
+    ranges = materialise(ranges, "ranges")
+    discard(found, around, worked)
+    return keyed, ranges
 
 
 REPORT_SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
