@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import ALNUM, LOWER, doc_chunks, materialise, only, small_batches, split_words, text_buffers, trim
+from verbena.llm._common import ALNUM, LOWER, discard, doc_chunks, materialise, only, signed, small_batches, split_words, text_buffers, trim
 
-INDEX_SCHEMA = "block string, doc_ids array<bigint>, n_words array<int>, terms binary, starts binary, postings binary"
-MATCH_SCHEMA = "block string, ord int, doc_id bigint, n_words bigint, spans array<int>, items array<string>"
+BLOCK_SCHEMA = "doc_ids array<bigint>, n_words array<int>, terms binary, starts binary, postings binary"
+MATCH_SCHEMA = "block bigint, ord int, spans array<int>, items array<string>"
+WINDOW_SCHEMA = "window array<bigint>, item_id string"
 #: Text bytes that make one block of the index.
 BLOCK_BYTES = 2 << 20
-#: Words of all windows that one pass over the index takes along (8 bytes each); a larger
+#: Windows that one pass over the index takes along, about (80 bytes each at ten words); a larger
 #: query set is matched in several passes whose matches are merged.
-PASS_WORDS = 4_000_000
+PASS_WINDOWS = 400_000
 #: Contaminated rows up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -50,25 +51,25 @@ def index_batches(batches):
             part = offsets[i : j + 1]
             n_words, terms, starts, postings = build_block(data[part[0] : part[-1]], part - part[0])
             own = ids.slice(i, j - i)
-            name = hashlib.md5(terms.tobytes() + str(own.to_pylist()).encode()).hexdigest()
             # gaps between neighbouring positions compress better than positions
             gaps = np.diff(postings, prepend=np.uint32(0)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([own.to_pylist()], pa.list_(pa.int64())), pa.array([n_words], pa.list_(pa.int32()))]
+                [pa.array([own.to_pylist()], pa.list_(pa.int64())), pa.array([n_words], pa.list_(pa.int32()))]
                 + [pa.array([x.tobytes()], pa.binary()) for x in (terms, starts, gaps)],
-                names=["block", "doc_ids", "n_words", "terms", "starts", "postings"],
+                names=["doc_ids", "n_words", "terms", "starts", "postings"],
             )
     trim()
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store the positional index of ``docs`` and return its table, a row for each block.
+    """Store the positional index of ``docs`` and return its table, a row for each block with a
+    number of its own (equal blocks stay apart).
 
     Null texts count as empty, documents with equal ids are separate, an empty table gives
     an empty index, and columns other than the two named are ignored.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(index_batches, INDEX_SCHEMA), "postings")
+    return materialise(rows.mapInArrow(index_batches, BLOCK_SCHEMA).select(F.monotonically_increasing_id().alias("block"), "*"), "postings")
 
 
 class Block:
@@ -121,18 +122,20 @@ class Block:
         return found
 
 
-def matcher(windows, items, slop):
-    """A function for mapInArrow: matches of all windows in each block of the index.
+def matcher(shared, slop):
+    """A function for mapInArrow: the documents of each block of the index that any window hits,
+    with all their matches.
 
-    ``windows``: {length: uint64 matrix}; ``items``: {length: list of item lists}."""
+    ``shared``: {length: uint64 matrix of windows} and {length: list of item lists}."""
 
     def match(batches):
-        names = ["block", "ord", "doc_id", "n_words", "spans", "items"]
+        windows, items = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 n_words = np.asarray(row["n_words"], np.int64)
                 block = Block(n_words, row["terms"], row["starts"], row["postings"])
-                spans, found = [[] for _ in n_words], [set() for _ in n_words]
+                spans: dict[int, list[int]] = {}
+                found: dict[int, set[str]] = {}
                 for size, matrix in windows.items():
                     at = block.lookup(matrix)
                     for w in np.flatnonzero((at >= 0).all(axis=1)):
@@ -140,18 +143,11 @@ def matcher(windows, items, slop):
                         width = size if slop is None else 1
                         for d, p in zip(block.document(hits).tolist(), hits.tolist(), strict=True):
                             p -= int(block.first[d])
-                            spans[d] += (p, p + width)
-                            found[d].update(items[size][w])
+                            spans.setdefault(d, []).extend((p, p + width))
+                            found.setdefault(d, set()).update(items[size][w])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["block"]] * len(n_words)),
-                        pa.array(range(len(n_words)), pa.int32()),
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(spans, pa.list_(pa.int32())),
-                        pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-                    ],
-                    names=names,
+                    [pa.array([row["block"]] * len(spans), pa.int64()), pa.array(list(spans), pa.int32()), pa.array(list(spans.values()), pa.list_(pa.int32())), pa.array([sorted(found[d]) for d in spans], pa.list_(pa.string()))],
+                    names=["block", "ord", "spans", "items"],
                 )
 
     return match
@@ -160,53 +156,49 @@ def matcher(windows, items, slop):
 def item_windows(text: str | None, size: int | None) -> list[tuple[int, ...]]:
     """Windows of ``size`` consecutive words of an item; a shorter one is a window itself."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    words = split_words(LOWER[raw], np.array([0, len(raw)]), ALNUM)[3].tolist()
+    words = signed(split_words(LOWER[raw], np.array([0, len(raw)]), ALNUM)[3]).tolist()
     if size is None or len(words) <= size:
         return [tuple(words)] if words else []
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-def query_passes(items: DataFrame, size: int | None):
-    """The query set in parts of at most PASS_WORDS words: ({length: windows}, {length: items})."""
-    held, words = {}, 0
-
-    def packed():
-        by_size = {}
-        for window, owners in held.items():
-            by_size.setdefault(len(window), []).append((window, sorted(owners)))
-        return (
-            {n: np.array([w for w, _ in rows], np.uint64).reshape(len(rows), n) for n, rows in by_size.items()},
-            {n: [owners for _, owners in rows] for n, rows in by_size.items()},
-        )
+def window_rows(size: int | None):
+    """The windows of the items of a batch."""
 
-    for row in items.toLocalIterator():
-        for window in item_windows(row["text"], size):
-            if window not in held:
-                held[window] = set()
-                words += len(window)
-            if row["item_id"] is not None:
-                held[window].add(row["item_id"])
-        if words >= PASS_WORDS:
-            yield packed()
-            held, words = {}, 0
-    yield packed()
+    def run(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = list(dict.fromkeys(item_windows(text, size)))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64())), pa.array([item] * len(own), pa.string())], names=["window", "item_id"])
+
+    return run
+
+
+def query_passes(items: DataFrame, size: int | None):
+    """The query set in parts of about PASS_WINDOWS: ({length: windows}, {length: item lists}). The
+    windows are a table; the driver holds one part at a time."""
+    rows = items.mapInArrow(window_rows(size), WINDOW_SCHEMA).groupBy("window").agg(F.collect_set("item_id").alias("items"))
+    rows = materialise(rows, "windows")
+    passes = max(1, -(-rows.count() // PASS_WINDOWS))
+    for turn in range(passes):
+        part = rows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == turn).toPandas()
+        by_size = {int(n): own for n, own in part.groupby(part["window"].map(len).astype(int))}
+        yield {n: np.stack(own["window"].to_numpy()).astype(np.int64).view(np.uint64) for n, own in by_size.items()}, {n: [sorted(x) for x in own["items"]] for n, own in by_size.items()}
+    discard(rows)
 
 
 def search(index: DataFrame, items: DataFrame, size: int | None = 10, slop: int | None = None) -> DataFrame:
     """Match every item (item_id string, text) against the index: exact windows of ``size``
-    words, or with ``slop`` all words of a window near each other. One row for each document:
-    block, ord, doc_id, n_words, spans (flat start/end word positions), items (sorted)."""
-    found = None
-    passes = 0
-    for windows, owners in query_passes(items, size):
-        part = index.mapInArrow(matcher(windows, owners, slop), MATCH_SCHEMA)
-        found = part if found is None else found.unionByName(part)
-        passes += 1
-    if passes > 1:
-        found = found.groupBy("block", "ord").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-    return found
+    words, or with ``slop`` all words of a window near each other. One row for each document that
+    has a match: block, ord, spans (flat start/end word positions), items (sorted)."""
+    context = index.sparkSession.sparkContext
+    found = [materialise(index.mapInArrow(matcher(context.broadcast(part), slop), MATCH_SCHEMA), "matches") for part in query_passes(items, size)]
+    if len(found) == 1:
+        return found[0]
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("block", "ord").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def covered(spans: np.ndarray) -> int:
@@ -223,7 +215,8 @@ def covered(spans: np.ndarray) -> int:
 def report_batches(batches):
     for batch in batches:
         rows = batch.to_pydict()
-        hits = [covered(np.asarray(s, np.int64)) for s in rows["spans"]]
+        rows["items"] = [x or [] for x in rows["items"]]
+        hits = [covered(np.asarray(s or [], np.int64)) for s in rows["spans"]]
         digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in rows["items"]]
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["n_words"], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in rows["items"]], pa.int64()), pa.array(digest), pa.array([h > 0 for h in hits])],
@@ -243,15 +236,23 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, size: int = 10
     once; repeated documents are reported each; empty tables give empty or clean reports.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return search(build_index(only(docs, "doc_id", "text")), items, size).mapInArrow(report_batches, REPORT_SCHEMA)
+    index = build_index(only(docs, "doc_id", "text"))
+    found = search(index, items, size)
+    every = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("ord", "x"))
+    every = every.select("block", "ord", F.col("x.doc_ids").alias("doc_id"), F.col("x.n_words").cast("bigint").alias("n_words"))
+    return every.join(found, ["block", "ord"], "left").select("doc_id", "n_words", "spans", "items").mapInArrow(report_batches, REPORT_SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """``docs`` without the rows that hold any benchmark window; clean rows stay untouched, and
     so do rows whose text is null or empty. A row is known by a hash of its id and text."""
     row = F.xxhash64("doc_id", "text")
-    report = decontamination_report(docs.select(row.alias("doc_id"), "text"), benchmark, size)
-    hit = materialise(report.where("contaminated").select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    index = build_index(docs.select(row.alias("doc_id"), "text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    found = search(index, items, size)
+    hit = found.join(index.select("block", F.posexplode("doc_ids").alias("ord", "row")), ["block", "ord"]).select("row").distinct()
+    hit = materialise(hit, "contaminated")
+    discard(index)
     if hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hit = F.broadcast(hit)
     return docs.join(hit, row == hit["row"], "left_anti")
