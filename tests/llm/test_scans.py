@@ -76,16 +76,20 @@ def test_decontamination(spark):
 
 def test_passes_are_merged(spark, monkeypatch):
     docs, items = bench(2)
-    monkeypatch.setattr("verbena.llm.decontamination.PASS_WORDS", 20)
-    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr("verbena.llm.decontamination.PASS_WINDOWS", 3)
+    docs += [(700, items[3][1])] * 2
+    # equal rows in partitions of their own, so that their blocks are equal
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(len(docs)), spark.createDataFrame(items, "item_id bigint, text string")
     assert sorted(map(tuple, decontamination_report(d, b).collect()), key=str) == brute_report(docs, items)
 
 
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x x beta"), (3, "beta alpha"), (4, "alpha")], "doc_id bigint, text string")
     items = spark.createDataFrame([("q", "alpha beta")], "item_id string, text string")
-    near = search(build_index(d), items, size=None, slop=3).collect()
-    assert {r["doc_id"] for r in near if r["items"]} == {1, 3}
+    index = build_index(d)
+    ids = {(r["block"], k): i for r in index.select("block", "doc_ids").collect() for k, i in enumerate(r["doc_ids"])}
+    near = search(index, items, size=None, slop=3).collect()
+    assert {ids[r["block"], r["ord"]] for r in near} == {1, 3}
     exact = search(build_index(d), items, size=None).collect()
     assert not any(r["items"] for r in exact)
 
@@ -241,6 +245,11 @@ def test_shards(spark):
         assert x["size"] == len(raw) + 8 and x["text_crc32"] == zlib.crc32(raw)
     stats = shard_statistics(df, hilbert_shards(df, 8)).collect()
     assert len(stats) == 8
+    # files cut along the curve are narrower than files cut in the order of the ids
+    plain = shard_statistics(df, df.selectExpr("doc_id", "cast(doc_id div 64 as int) as shard")).collect()
+    width = lambda rows, c: sum(x[f"max_{c}"] - x[f"min_{c}"] for x in rows if x[f"max_{c}"] is not None) / len(rows)
+    kinds = lambda rows: sum(x["min_source"] != x["max_source"] for x in rows) / len(rows)
+    assert width(stats, "n_chars") < 0.8 * width(plain, "n_chars") and kinds(stats) < kinds(plain)
     assert hilbert_shards(spark.createDataFrame([], schema)).count() == 0
     assert sorted(x["shard"] for x in hilbert_shards(spark.createDataFrame(rows[:3], schema)).collect()) == [0, 8, 16]
 
@@ -274,6 +283,16 @@ def test_captures(spark, limit):
     assert {r["verdict"] for r in none.collect()} == {"none"}
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_case_root_dots_and_depth(spark, limit):
+    entries = spark.createDataFrame([("Example.COM./De/", "2024-01-01", "block"), ("a.example.com", "2024-01-01", "allow"), ("org", "2024-01-01", "block")], "key string, effective string, action string")
+    urls = ["http://example.com/De/x", "http://example.com/de/x", "http://EXAMPLE.com./De", "http://example.com/Dex", "http://x.a.example.com/other", "http://" + "y." * 300 + "org/" + "z/" * 2000, "http:///De"]
+    rows = [(k, u, "2024-05-05", "x", "y") for k, u in enumerate(urls)]
+    got = judge_captures(spark.createDataFrame(rows, "id int, url string, fetched_on string, url_ string, match_ string"), entries, broadcast_limit=limit)
+    assert got.columns == ["id", "url", "fetched_on", "url_", "match_", "verdict", "matched_key", "valid_from", "valid_to", "host"]
+    assert [r["verdict"] for r in sorted(got.collect())] == ["block", "none", "block", "none", "allow", "block", "none"]
+
+
 def test_intervals(spark):
     entries = spark.createDataFrame([("k", "2024-01-01", "block"), ("k", "2024-02-01", "remove"), ("k", "2024-02-01", "allow"), (None, "2024-01-01", "block"), ("z", "2024-01-01", "odd")], "key string, effective string, action string")
     rows = sorted((str(r["valid_from"]), str(r["valid_to"]), r["action"]) for r in validity_intervals(entries).collect())

@@ -37,7 +37,7 @@ URL_FILTER = f"""
 with entry as (select key, valid_from, max({_RANK}) as rank from (values {_ENTRIES}) t(key, valid_from, action) group by 1, 2),
 span as (select key, valid_from, lead(valid_from) over (partition by key order by valid_from) as valid_to, rank from entry),
 page as (select page_id, url, (date '2024-01-01' + ((page_id * 37) % 366)::int)::date as day,
-  regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1) as host,
+  rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '.') as host,
   list_filter(string_split(regexp_extract(url, '^[^:]*://[^/?#]*(/[^?#]*)?', 1), '/'), lambda s: s <> '') as seg from pages),
 host as (select page_id, day, seg, array_to_string(string_split(host, '.')[i:], '.') as h from page, unnest(range(1, len(string_split(host, '.')) + 1)) t(i) where host <> ''),
 probe as (select page_id, day, h || case when j > 0 then '/' || array_to_string(seg[1:j], '/') else '' end as key from host, unnest(range(0, len(seg) + 1)) t(j)),
