@@ -13,9 +13,11 @@ Strings of ``length`` bytes that start at two places are found in three steps.
    boundary separates then share at least ``length`` bytes.
 3. The covered bytes are joined to their documents and removed.
 
-The surroundings of an anchor that has very many are dealt into blocks, each with a transform of
-its own; the strings that a block has found to be alone, and one of each kind that repeats in it,
-then meet those of the other blocks by 128-bit hashes, so no place holds all of them.
+The surroundings of an anchor that has very many are sorted, once by what follows the anchor and
+once backward by what precedes it, and trimmed to what each shares with another; those that have
+become equal are settled by their count. If many are left, they are dealt into blocks, each with a
+transform of its own; the strings that a block has found to be alone, and one of each kind that
+repeats in it, then meet those of the other blocks by 128-bit hashes. No place holds all of them.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ LENGTH = 400
 #: Bytes of an anchor; a shorter string cannot be one.
 GRAM = 200
 CHUNK_BYTES = 2 << 20
-#: Bytes of one transform, and the different surroundings of an anchor that a block holds on average.
+#: Bytes of one transform, and the different surroundings of an anchor that one holds at most, or a
+#: block on average.
 TEXT_BYTES = 1 << 18
 MAX_SURROUNDINGS = 1_000
 #: Place bits beside the hash in the window minimum; longer documents are read in pieces.
@@ -104,23 +107,71 @@ def anchor_rows(length: int, gram: int):
     return run
 
 
-PIECE_SCHEMA = "gram bigint, block int, doc_id bigint, doc_print bigint, start bigint, many boolean, piece binary"
+PIECE_SCHEMA = "gram bigint, hot boolean, doc_id bigint, doc_print bigint, start bigint, many boolean, piece binary, place int"
 
 
 def cut_pieces(batches):
-    """The surroundings asked for (``wanted``) of each document, with the block of their anchor that
-    they go to (of one block only: -1)."""
+    """The surroundings asked for (``wanted``) of each document, and where the anchor is in them."""
     for batch in batches:
-        out = [[] for _ in range(7)]
+        out = [[] for _ in range(8)]
         for doc_id, doc_print, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             raw = text.encode()
             for w in wanted:
                 s = w["pos"] - w["before"]
-                block = hash((doc_print, s, w["gram"])) % w["blocks"] if w["blocks"] > 1 else -1
-                for k, v in enumerate((w["gram"], block, doc_id, doc_print, s, w["many"], raw[s : w["pos"] + w["behind"]])):
+                for k, v in enumerate((w["gram"], w["hot"], doc_id, doc_print, s, w["many"], raw[s : w["pos"] + w["behind"]], w["before"])):
                     out[k].append(v)
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["gram", "block", "doc_id", "doc_print", "start", "many", "piece"])
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["gram", "hot", "doc_id", "doc_print", "start", "many", "piece", "place"])
+
+
+SIDE_SCHEMA = "gram bigint, side binary, doc_id bigint, doc_print bigint, start bigint, many boolean, piece binary, place int"
+
+
+def common_lengths(grams: np.ndarray, sides: list[bytes]) -> np.ndarray:
+    """For each row but the last, the bytes that its side shares with the next one's (of one gram)."""
+    sizes = np.array([len(x) for x in sides])
+    width = int(sizes.max(initial=0))
+    table = np.zeros((len(sides), width + 1), np.uint8)
+    table[np.repeat(np.arange(len(sides)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.frombuffer(b"".join(sides), np.uint8)
+    differ = table[1:] != table[:-1]
+    differ[:, -1] = True
+    return np.where(grams[1:] == grams[:-1], np.minimum(differ.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1])), 0)
+
+
+def trimmed_sides(length: int, gram: int, behind: bool):
+    """Of pieces sorted by gram and side: each cut, ``behind`` the anchor or before it, to what it
+    shares with a neighbour; those that are too short then go. What the first and the last of a
+    partition share beyond it is not known, so they stay as they are on that side."""
+
+    def cut(rows, best):
+        for (key, _, doc_id, doc_print, start, many, piece, place), n in zip(rows, best.tolist(), strict=True):
+            if behind:
+                piece = piece[: place + gram + n]
+                side = piece[:place][::-1]
+            else:
+                piece, start, place, side = piece[place - n :], start + place - n, n, None
+            if len(piece) >= length:
+                yield key, side, doc_id, doc_print, start, many, piece, place
+
+    def packed(rows):
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["gram", "side", "doc_id", "doc_print", "start", "many", "piece", "place"])
+
+    def run(batches):
+        held, before = [], 1 << 30  # the last row, and what it shares with the one before it
+        for batch in batches:
+            rows = held + list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            if not rows:
+                continue
+            shared = np.r_[before, common_lengths(np.array([r[0] for r in rows]), [r[1] for r in rows])]
+            best = np.minimum(np.maximum(shared[:-1], shared[1:]), [len(r[1]) for r in rows[:-1]])
+            yield packed(list(cut(rows[:-1], best)))
+            held, before = rows[-1:], int(shared[-1])
+        if held:
+            yield packed(list(cut(held, np.array([len(held[0][1])]))))
+
+    return run
 
 
 def sorted_classes(key: np.ndarray, bits: int):
@@ -343,13 +394,25 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max
     often = around.where("times > 1").select("gram", "around")
     equal = found.join(often, ["gram", "around"]).select("doc_id", "doc_print", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("behind")).alias("stop"))
     # different surroundings of one anchor
-    wanted = around.join(shared.select("gram", F.ceil(F.col("kinds") / max_surroundings).cast("int").alias("blocks")), "gram").select("blocks", "gram", (F.col("times") > 1).alias("many"), "place.*")
-    asked = wanted.groupBy("doc_id", "doc_print").agg(F.collect_list(F.struct("gram", "pos", "before", "behind", "many", "blocks")).alias("wanted"))
+    wanted = around.join(shared.select("gram", (F.col("kinds") > max_surroundings).alias("hot")), "gram").select("hot", "gram", (F.col("times") > 1).alias("many"), "place.*")
+    asked = wanted.groupBy("doc_id", "doc_print").agg(F.collect_list(F.struct("gram", "pos", "before", "behind", "many", "hot")).alias("wanted"))
     same = (keyed["doc_print"] == asked["doc_print"]) & keyed["doc_id"].eqNullSafe(asked["doc_id"])
     with_text = keyed.join(asked, same).select(keyed["doc_id"], keyed["doc_print"], keyed["text"], asked["wanted"])
-    pieces = with_text.mapInArrow(cut_pieces, PIECE_SCHEMA)
-    worked = materialise(pieces.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(transform_groups(length), SPAN_SCHEMA), "worked")
-    different = worked.where("h1 is null").select("doc_id", "doc_print", "start", "stop")
+    pieces = materialise(with_text.mapInArrow(cut_pieces, PIECE_SCHEMA), "pieces")
+    told = ("doc_id", "doc_print", "start")
+    # of an anchor with very many: trimmed from both sides, equal ones settled, the rest in blocks
+    hot = pieces.where("hot").select("gram", F.substring("piece", F.col("place") + gram + 1, F.lit(length)).alias("side"), *told, "many", "piece", "place")
+    for behind in (True, False):
+        hot = hot.repartitionByRange("gram", "side", *told).sortWithinPartitions("gram", "side", *told).mapInArrow(trimmed_sides(length, gram, behind), SIDE_SCHEMA)
+    hot = materialise(hot, "trimmed")
+    kinds = materialise(hot.groupBy("gram", "place", "piece").agg(F.count("*").alias("n"), F.bool_or("many").alias("many"), F.min(F.struct(*told)).alias("one")), "kinds")
+    again = hot.where("not many").join(kinds.where("n > 1 or many").select("gram", "place", "piece"), ["gram", "place", "piece"], "left_semi").select("doc_id", "doc_print", "start", (F.col("start") + F.length("piece")).alias("stop"))
+    left = kinds.groupBy("gram").agg(F.count("*").alias("left")).where("left > 1").select("gram", F.ceil(F.col("left") / max_surroundings).cast("int").alias("blocks"))
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("piece"), F.col("blocks")).cast("int")).otherwise(-1)
+    dealt = kinds.join(left, "gram").select("gram", block.alias("block"), "one.*", (F.col("many") | (F.col("n") > 1)).alias("many"), "piece")
+    dealt = dealt.unionByName(pieces.where("not hot").select("gram", F.lit(-1).alias("block"), *told, "many", "piece"))
+    worked = materialise(dealt.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(transform_groups(length), SPAN_SCHEMA), "worked")
+    different = worked.where("h1 is null").select("doc_id", "doc_print", "start", "stop").unionByName(again)
     # strings of the blocks: one that another block has too repeats
     spot = F.struct("doc_id", "doc_print", "start")
     strings = worked.where("h1 is not null")
@@ -359,7 +422,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max
     # neighbouring anchors cover nearly the same bytes: equal rows go before they are gathered
     ranges = spans.groupBy("doc_id", "doc_print").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     ranges = materialise(ranges, "ranges")
-    discard(found, around, worked)
+    discard(found, around, pieces, hot, kinds, worked)
     return keyed, ranges
 
 
