@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import re
 from typing import Any
 
 import numpy as np
@@ -23,6 +24,10 @@ from verbena.expr import FUNCTIONS, Attr, Call, Col, Expr, Item, Method, Op, Ran
 HIDDEN = "__"
 ROW = "__row"
 RESERVED_ROWNAMES = "__rowname"
+#: Rows whose keys are looked at to cut an order into ranges; a frame with fewer is one range.
+SAMPLE = 2_048
+#: Bounds that are compared at once: first every so many, then those between two of them.
+BOUNDS = 16
 
 
 class ColumnNotExistingError(KeyError):
@@ -40,8 +45,9 @@ def session() -> SparkSession:
 class Frame:
     """An immutable frame. ``order``: (column, descending) pairs that give the row order."""
 
-    def __init__(self, df: DataFrame, groups=(), rowwise: bool = False, order=(), drop: bool = True):
+    def __init__(self, df: DataFrame, groups=(), rowwise: bool = False, order=(), drop: bool = True, ranges=None):
         self.df, self.groups, self.rowwise, self.order, self.drop = df, list(groups), rowwise, list(order), drop
+        self.ranges = dict(ranges or {})  # of orders already cut into ranges: the column with their numbers
 
     # ------------------------------------------------------------ structure
     @property
@@ -60,9 +66,10 @@ class Frame:
         return self.df.schema[name].dataType
 
     def with_(self, df: DataFrame | None = None, **changes) -> Frame:
-        state = {"groups": self.groups, "rowwise": self.rowwise, "order": self.order, "drop": self.drop} | changes
+        state = {"groups": self.groups, "rowwise": self.rowwise, "order": self.order, "drop": self.drop, "ranges": self.ranges if df is None else {}} | changes
         df = self.df if df is None else df
         have = set(df.columns)
+        state["ranges"] = {k: c for k, c in state["ranges"].items() if c is None or c in have}
         state["groups"] = [g for g in state["groups"] if g in have]
         if any(o not in have for o, _ in state["order"]):
             state["order"] = []
@@ -73,10 +80,15 @@ class Frame:
         return self.with_(self.df.select(*columns, *[quoted(h) for h in self.hidden]), **changes)
 
     def ordered(self) -> Frame:
-        """The frame with a row order: its own, or the order in which its source is read."""
+        """The frame with a row order: its own, or the order in which its source is read. Behind a
+        shuffle there is none that would be the same in two branches of a plan; then rows are
+        ordered by their content."""
         if self.order:
             return self
-        return self.with_(self.df.withColumn(ROW, F.monotonically_increasing_id()), order=[(ROW, False)])
+        if is_scan(self.df):
+            return self.with_(self.df.withColumn(ROW, F.monotonically_increasing_id()), order=[(ROW, False)])
+        keys = [quoted(x.name) for x in self.df.schema if not has_map(x.dataType)] or [F.lit(0)]
+        return self.with_(self.df.withColumn(CONTENT, F.xxhash64(*keys)), order=[(CONTENT, False)])
 
     def sort_columns(self, reverse: bool = False) -> list[Column]:
         return [(quoted(o).desc_nulls_last() if d != reverse else quoted(o).asc_nulls_last()) for o, d in self.order]
@@ -94,15 +106,25 @@ class Frame:
         """Add the 0-based position of every row: positions inside ranges of the order plus the
         rows of the ranges before, so no task holds all rows."""
         own = self.ordered()
-        if own.order == [(ROW, False)] and not self.order:
-            dealt = own.df  # read order: partitions are in order already
-        else:
-            dealt = own.df.repartitionByRange(*own.sort_columns()).sortWithinPartitions(*own.sort_columns())
-        parts = dealt.withColumn("__pid", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        counts = parts.groupBy("__pid").agg(F.count("*").alias("__n"))
-        starts = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__start"))
-        out = parts.join(F.broadcast(starts), "__pid").withColumn(name, F.col("__start") + F.col("__at")).drop("__pid", "__at", "__start")
-        return own.with_(out.select(*own.df.columns, name), order=[(name, False)] if name.startswith(HIDDEN) else own.order)
+        keys = [(quoted(o), d) for o, d in own.order]
+        part = range_number(own.df, keys)
+        if not self.order and own.order == [(ROW, False)]:  # just numbered, without gaps
+            place = quoted(ROW).bitwiseAND(F.lit((1 << 33) - 1))
+            counts = own.df.groupBy(part.alias("__pid")).agg(F.count("*").alias("__n"))
+            starts = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__start"))
+            parts = own.df.withColumn("__pid", part).join(F.broadcast(starts), "__pid")
+            out = parts.select(*[quoted(c) for c in own.df.columns if c != name], (F.col("__start") + place).alias(name))
+            return own.with_(out, order=[(name, False)] if name.startswith(HIDDEN) else own.order)
+        inside = Window.partitionBy() if part is None else Window.partitionBy("__pid")
+        parts = own.df if part is None else own.df.withColumn("__pid", part)
+        parts = parts.withColumn(name, (F.row_number().over(inside.orderBy(*own.sort_columns())) - 1).cast("bigint"))
+        if part is not None:
+            # counted from the same deterministic ranges, in a branch that reads the keys alone
+            counts = own.df.select(part.alias("__pid")).groupBy("__pid").agg(F.count("*").alias("__n"))
+            starts = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__start"))
+            parts = parts.join(F.broadcast(starts), "__pid").withColumn(name, F.col("__start") + quoted(name))
+        columns = [c for c in own.df.columns if c != name]
+        return own.with_(parts.select(*map(quoted, columns), quoted(name)), order=[(name, False)] if name.startswith(HIDDEN) else own.order)
 
     # ------------------------------------------------------------ actions
     def visible(self) -> DataFrame:
@@ -134,6 +156,64 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+# ---------------------------------------------------------------- ranges of an order
+#: Hidden order by content.
+CONTENT = "__content"
+
+
+def has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return has_map(kind.elementType)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.StructType) and any(has_map(x.dataType) for x in kind))
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether a plan only reads, filters and projects a source: then its partitions and the rows
+    in them are the same whenever it runs."""
+    names = re.findall(r"^[ :|+-]*'?(\w+)", df._jdf.queryExecution().analyzed().toString(), re.MULTILINE)
+    return set(names) <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range", "SubqueryAlias", "View", "StreamingRelation", "StreamingRelationV2", "EventTimeWatermark"}
+
+
+def stands_before(a: Column, b: Column, down: bool) -> Column:
+    """Whether a key comes before another; missing ones come last either way."""
+    return F.coalesce(a.isNotNull() & (b.isNull() | ((a > b) if down else (a < b))), F.lit(False))
+
+
+def range_number(df: DataFrame, keys: list[tuple[Column, bool]]) -> Column | None:
+    """The number of the range of an order in which a row lies, as an expression of its keys alone,
+    so that two branches of a plan agree on it; None where the frame is small, or a stream. The
+    bounds come from a sample of the keys. Rows with equal keys lie in one range."""
+    if df.isStreaming:
+        return None
+    names = [f"k{i}" for i in range(len(keys))]
+    if [str(k) for k, _ in keys] == [str(quoted(ROW))] and f"monotonically_increasing_id() AS {ROW}#" in df._jdf.queryExecution().analyzed().toString():
+        return F.shiftright(quoted(ROW), 33)  # the partition that was read
+    seen = df.select(*[k.alias(n) for (k, _), n in zip(keys, names, strict=True)])
+    if any(isinstance(x.dataType, (T.StructType, T.ArrayType, T.MapType)) for x in seen.schema):
+        return None
+    order = [F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_last() for (_, d), n in zip(keys, names, strict=True)]
+    sample = seen.orderBy(F.rand(1)).limit(SAMPLE).orderBy(*order).collect()
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(sample) // 8)
+    if len(sample) < SAMPLE or parts < 2:
+        return None
+    picks = list(dict.fromkeys(sample[len(sample) * i // parts] for i in range(1, parts)))
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(x.dataType).alias(x.name) for v, x in zip(row, seen.schema, strict=True)]) for row in picks])
+
+    def reached(b: Column) -> Column:
+        """Whether a row's key is not before a bound."""
+        out, same = F.lit(False), F.lit(True)
+        for (k, d), n in zip(keys, names, strict=True):
+            out = out | (same & stands_before(k, b.getField(n), d))
+            same = same & k.eqNullSafe(b.getField(n))
+        return ~out
+
+    coarse = F.array(*[F.get(bounds, F.lit(i)) for i in range(BOUNDS - 1, len(picks), BOUNDS)]) if len(picks) >= BOUNDS else None
+    if coarse is None:
+        return F.size(F.filter(bounds, reached)).cast("bigint")
+    whole = F.size(F.filter(coarse, reached)) * BOUNDS
+    return (whole + F.size(F.filter(F.slice(bounds, whole + 1, F.lit(BOUNDS)), reached))).cast("bigint")
+
+
 def is_table(x: Any) -> bool:
     return isinstance(x, (Frame, DataFrame, pd.DataFrame))
 
@@ -272,12 +352,17 @@ class Context:
     def group_window(self):
         return Window.partitionBy(*(self.partition() or [F.lit(0)])) if self.frame.groups else Window.partitionBy()
 
-    def order_columns(self, reverse: bool = False) -> list[Column]:
+    def order_keys(self) -> list[tuple[Column, bool]]:
+        """The keys of the row order (or of the one asked for) and whether they descend."""
+        if self.df.isStreaming:
+            raise OrderRequiredError("ranking, offset and cumulative functions need all rows in order; a stream has none")
         if self.explicit_order is not None:
-            keys = self.explicit_order
-            return [sort_key(self, k, reverse) for k in keys]
+            return [key_of(self, k) for k in self.explicit_order]
         self.frame = self.frame.ordered()
-        return self.frame.sort_columns(reverse)
+        return [(quoted(o), d) for o, d in self.frame.order]
+
+    def order_columns(self, reverse: bool = False) -> list[Column]:
+        return [k.desc_nulls_last() if d != reverse else k.asc_nulls_last() for k, d in self.order_keys()]
 
     def order_window(self, reverse: bool = False):
         return Window.partitionBy(*self.partition()).orderBy(*self.order_columns(reverse))
@@ -285,10 +370,85 @@ class Context:
     def running(self):
         return self.order_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    def range_column(self) -> Column | None:
+        """Without groups: the number of the range of the order in which each row lies, a column
+        of the frame; None with groups, or where one range is enough."""
+        if self.frame.groups or self.frame.rowwise:
+            return None
+        keys = self.order_keys()
+        known = str([(str(k), d) for k, d in keys])
+        if known not in self.frame.ranges:
+            part = range_number(self.df, keys)
+            name = None if part is None else self.hoist(part)
+            column = None if name is None else self.frame.df.columns[-1]
+            self.frame = self.frame.with_(ranges=self.frame.ranges | {known: column})
+        name = self.frame.ranges[known]
+        return None if name is None else quoted(name)
+
+    def inside(self, part: Column):
+        """The window of a range, in order."""
+        return Window.partitionBy(part).orderBy(*self.order_columns())
+
+    def carried(self, part: Column, column: Column, merge, back: bool = False) -> Column:
+        """An aggregate of all ranges before each row's own (behind it, with ``back``):
+        ``merge(x, over)`` makes one of the aggregates of the ranges. One row for each range is
+        broadcast."""
+        name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
+        each = self.df.select(part.alias("__pid"), "*").groupBy("__pid").agg(column.alias("__x"))
+        order = F.col("__pid").desc() if back else F.col("__pid").asc()
+        ahead = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        sums = each.select(F.col("__pid").alias("__of"), merge(F.col("__x"), lambda x: x.over(ahead)).alias(name))
+        df = self.df.join(F.broadcast(sums), part == F.col("__of")).drop("__of")
+        self.frame = self.frame.with_(df, ranges=self.frame.ranges)
+        return quoted(name)
+
+    def running_value(self, aggregate, value: Column, merge) -> Column:
+        """An aggregate of all rows up to each one; over a whole table by ranges."""
+        part = self.range_column()
+        if part is None:
+            return aggregate(value).over(self.running())
+        value = self.hoist(value)
+        local = self.hoist(aggregate(value).over(self.inside(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        before = self.carried(part, aggregate(value), lambda x, over: over(aggregate(x)))
+        return merge(before, local)
+
+    def nearest(self, value: Column, back: bool = False) -> Column:
+        """The last value that is not missing up to each row (the next one, with ``back``)."""
+        pick = F.first if back else F.last
+        part = self.range_column()
+        frame = (Window.currentRow, Window.unboundedFollowing) if back else (Window.unboundedPreceding, Window.currentRow)
+        if part is None:
+            return pick(value, ignorenulls=True).over(self.order_window().rowsBetween(*frame))
+        value = self.hoist(value)
+        local = self.hoist(pick(value, ignorenulls=True).over(self.inside(part).rowsBetween(*frame)))
+        place = self.hoist(F.row_number().over(self.inside(part)))
+        extreme = F.min_by if back else F.max_by
+        far = self.carried(part, extreme(value, F.when(value.isNotNull(), place)), lambda x, over: over(F.last(x, ignorenulls=True)), back)
+        return F.coalesce(local, far)
+
+    def shifted(self, value: Column, n: int, back: bool) -> tuple[Column, Column]:
+        """(the value n rows back or ahead, whether there is such a row)."""
+        move = F.lag if back else F.lead
+        part = self.range_column()
+        if part is None:
+            window = self.order_window()
+            return move(value, n).over(window), move(F.lit(1), n).over(window).isNotNull()
+        value = self.hoist(value)
+        place = self.hoist(F.row_number().over(self.inside(part)))
+        rows = self.hoist(F.count(F.lit(1)).over(Window.partitionBy(part)))
+        near = self.hoist(move(value, n).over(self.inside(part)))
+        # places from the end of a range that is looked across, 1 the nearest one
+        edge = self.hoist(rows - place + 1 if back else place)
+        cut = F.sort_array(F.collect_list(F.when(edge <= n, F.struct(edge.alias("e"), value.alias("v")))))
+        ends = self.carried(part, F.transform(cut, lambda x: x.getField("v")), lambda x, over: F.flatten(F.reverse(over(F.collect_list(x)))), not back)
+        at = n - (place if back else rows - place + 1)
+        inside = at < 0
+        return F.when(inside, near).otherwise(F.get(ends, at.cast("int"))), inside | (at < F.coalesce(F.size(ends), F.lit(0)))
+
     def hoist(self, col: Column) -> Column:
         """Compute a column before the others: window functions do not nest."""
         name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
-        self.frame = self.frame.with_(self.frame.df.withColumn(name, col))
+        self.frame = self.frame.with_(self.frame.df.withColumn(name, col), ranges=self.frame.ranges)
         return quoted(name)
 
     def over_group(self, col: Column) -> Column:
@@ -298,13 +458,16 @@ class Context:
             return col.over(self.group_window())
         name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
         one = self.frame.df.agg(col.alias(name))
-        self.frame = self.frame.with_(self.frame.df.crossJoin(F.broadcast(one)))
+        self.frame = self.frame.with_(self.frame.df.crossJoin(F.broadcast(one)), ranges=self.frame.ranges)
         return quoted(name)
 
     def position(self) -> Column:
         """The 0-based position of each row in its group."""
-        if self.frame.groups or self.explicit_order is not None:
+        if self.frame.groups:
             return self.hoist((F.row_number().over(self.order_window()) - 1).cast("bigint"))
+        if self.explicit_order is not None:
+            one = F.lit(1).cast("bigint")
+            return self.hoist(self.running_value(F.sum, one, lambda a, b: F.coalesce(a, F.lit(0)) + b) - 1)
         self.frame = self.frame.ordered()
         order = self.frame.order
         name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
@@ -394,14 +557,20 @@ def combined(values: list[Val]) -> str:
     return "const"
 
 
-def sort_key(ctx: Context, x: Any, reverse: bool = False) -> Column:
-    """A sort column; missing values come last either way."""
+def key_of(ctx: Context, x: Any) -> tuple[Column, bool]:
+    """A sort key and whether it descends."""
     down = False
     while isinstance(x, Call) and x.name == "desc":
         x, down = x.args[0], not down
     if isinstance(x, str):
         x = Col(x)
-    col = factor_rank(ctx.val(x))
+    v = ctx.val(x)
+    return factor_rank(Val(ctx.hoist(v.col), v.form, False, v.levels) if v.window else v), down
+
+
+def sort_key(ctx: Context, x: Any, reverse: bool = False) -> Column:
+    """A sort column; missing values come last either way."""
+    col, down = key_of(ctx, x)
     return col.desc_nulls_last() if down != reverse else col.asc_nulls_last()
 
 

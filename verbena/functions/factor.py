@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from verbena.expr import function
 from verbena.frame import Context, Val, clean, missing
+from verbena.options import few
 
 
 class Factor(list):
@@ -44,8 +45,8 @@ def present(ctx: Context, col: Column) -> list[tuple[Any, int, Any]]:
     """(value, rows, first position) of each distinct value."""
     ctx.frame = ctx.frame.ordered()
     key = F.struct(*[F.col(f"`{o}`") for o, _ in ctx.frame.order])
-    rows = ctx.df.groupBy(col.alias("v")).agg(F.count("*").alias("n"), F.min(key).alias("k")).orderBy("k").collect()
-    return [(r["v"], r["n"], i) for i, r in enumerate(rows) if not missing(r["v"])]
+    rows = ctx.df.groupBy(col.alias("v")).agg(F.count("*").alias("n"), F.min(key).alias("k")).orderBy("k")
+    return [(r["v"], r["n"], i) for i, r in enumerate(few(rows, "distinct values")) if not missing(r["v"])]
 
 
 def plain_levels(values, by_appearance: bool = False) -> list:
@@ -110,7 +111,7 @@ def level_function(compute, name: str | None = None, default_levels: bool = True
         def counts():
             total = F.count("*") if w is None else F.sum(ctx.col(w))
             out: Counter = Counter({k: 0 for k in levels})
-            out.update({r["v"]: r["n"] for r in ctx.df.groupBy(v.col.alias("v")).agg(total.alias("n")).collect() if r["v"] is not None})
+            out.update({r["v"]: r["n"] for r in few(ctx.df.groupBy(v.col.alias("v")).agg(total.alias("n")), "distinct values") if r["v"] is not None})
             return out
 
         mapping, new, ordered = compute(levels, ordered, counts, *args, **kwargs)
@@ -301,7 +302,7 @@ def reorder(name: str, n_values: int, builtin, doc: str):
         else:
             fn = named_function(_fun)
             total = inner.col(Call(fn.__name__, tuple(args), kwargs) if isinstance(fn, Function) else fn(*args, **kwargs))
-        rows = {r["v"]: r["s"] for r in inner.df.groupBy(v.col.alias("v")).agg(total.alias("s")).collect()}
+        rows = {r["v"]: r["s"] for r in few(inner.df.groupBy(v.col.alias("v")).agg(total.alias("s")), "distinct values")}
         known = levels_of(ctx, v)
         have = sorted((k for k in known if rows.get(k) is not None), key=lambda k: rows[k], reverse=_desc)
         return Val(v.col, v.form, v.window, (have + [k for k in known if k not in have], bool(v.levels and v.levels[1])))
@@ -557,7 +558,7 @@ def fct_cross(ctx, *fs, sep=":", keep_empty=False):
     for i, known in enumerate(reversed(levels)):
         product = [f"{k}{sep if i else ''}{p}" for p in product for k in known]
     if not keep_empty:
-        have = {r[0] for r in ctx.df.select(col).distinct().collect()}
+        have = {r[0] for r in few(ctx.df.select(col).distinct(), "distinct values")}
         product = [k for k in product if k in have]
     return Val(col, "row", False, (product, False))
 

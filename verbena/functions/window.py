@@ -6,29 +6,75 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from verbena.expr import Call, Symbol, f, function
-from verbena.frame import Context, Val, sort_key
+from verbena.frame import Context, Frame, Val
 
 
-def rank_window(ctx: Context, x, na_last: str):
-    """Window ordered by ``x`` inside the group; missing values apart if they keep their place."""
+def rank_key(ctx: Context, x) -> tuple[Column, bool]:
+    """What is ranked, and whether from the greatest."""
     down = isinstance(x, Call) and x.name == "desc"
     value = ctx.row(x.args[0] if down else x)
+    return value, down
+
+
+def grouped_ranks(ctx: Context, value: Column, down: bool, na_last: str) -> dict:
+    """Ranks inside groups, all over one window: missing values are behind (before, for ``top``)
+    the others and count only where they are ranked."""
     parts = ctx.partition()
-    if na_last == "keep":
-        key = value.desc() if down else value.asc()
-        return Window.partitionBy(*parts, value.isNull()).orderBy(key), value
     first = na_last == "top"
     key = (value.desc_nulls_first() if first else value.desc_nulls_last()) if down else (value.asc_nulls_first() if first else value.asc_nulls_last())
-    return Window.partitionBy(*parts).orderBy(key), None
-
-
-def ranking(name: str, make, kind: str = "bigint"):
+    window = Window.partitionBy(*parts).orderBy(key)
+    seen = F.count(value) if na_last == "keep" else F.count(F.lit(1))
+    return {
+        "rank": F.rank().over(window).cast("bigint"),
+        "dense": F.dense_rank().over(window).cast("bigint"),
+        "upto": seen.over(window.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "number": F.row_number().over(window).cast("bigint"),
+        "all": seen.over(Window.partitionBy(*parts)),
+    }
+
+
+def table_ranks(ctx: Context, value: Column, down: bool, na_last: str) -> dict:
+    """Ranks over a whole table: values are counted, the distinct ones numbered by ranges, and
+    joined back, so that neither the rows nor those of a frequent value come together."""
+    value = ctx.hoist(value)
+    frame = ctx.frame
+    counted = frame.df.select(value.alias("__v")).groupBy("__v").agg(F.count("*").alias("__c"))
+    if na_last == "keep":
+        counted = counted.where("__v is not null")
+    inner = Context(Frame(counted, order=[("__v", down)]))
+    if na_last == "top":
+        inner.frame = Frame(counted.withColumn("__n", F.col("__v").isNotNull()), order=[("__n", False), ("__v", down)])
+    upto = inner.hoist(inner.running_value(F.sum, F.col("__c"), lambda a, b: F.coalesce(a, F.lit(0)) + b))
+    dense = inner.hoist(inner.running_value(F.sum, F.lit(1).cast("bigint"), lambda a, b: F.coalesce(a, F.lit(0)) + b))
+    table = inner.df.select("__v", F.col("__c"), upto.alias("__upto"), dense.alias("__dense"))
+    total = counted.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__all"))
+    own = frame.df.join(table, value.eqNullSafe(F.col("__v")), "left").join(F.broadcast(total))
+    named = {n: f"__t{sum(c.startswith('__t') for c in frame.df.columns) + i}" for i, n in enumerate(("__upto", "__dense", "__c", "__all"))}
+    ctx.frame = frame.with_(own.select(*[F.col(f"`{c}`") for c in frame.df.columns], *[F.col(o).alias(n) for o, n in named.items()]))
+    at = {o: F.col(n) for o, n in named.items()}
+    return {"rank": at["__upto"] - at["__c"] + 1, "dense": at["__dense"], "upto": at["__upto"], "all": at["__all"]}
+
+
+#: From the parts of ``grouped_ranks``.
+RANKS = {
+    "min_rank": lambda r: r["rank"],
+    "dense_rank": lambda r: r["dense"],
+    "percent_rank": lambda r: F.when(r["all"] > 1, (r["rank"] - 1) / (r["all"] - 1).cast("double")).otherwise(0.0),
+    "cume_dist": lambda r: r["upto"] / r["all"].cast("double"),
+}
+
+
+def ranking(name: str):
     def lower(ctx, x=f, *, na_last="keep"):
         if na_last not in ("keep", "top", "bottom"):
             raise ValueError("na_last is keep, top or bottom")
-        window, value = rank_window(ctx, row_order(ctx) if isinstance(x, Symbol) else x, na_last)
-        out = make().over(window).cast(kind)
-        return Val(out if value is None else F.when(value.isNotNull(), out), "row", True)
+        if isinstance(x, Symbol):
+            value, down = row_order(ctx), False
+        else:
+            value, down = rank_key(ctx, x)
+        whole = not ctx.frame.groups and not ctx.df.isStreaming
+        out = RANKS[name]((table_ranks if whole else grouped_ranks)(ctx, value, down, na_last))
+        return Val(F.when(value.isNotNull(), out) if na_last == "keep" else out, "row", True)
 
     lower.__doc__ = f"{name} of the values inside the group; missing ones by ``na_last``."
     function("window", f"{name}_", always=False)(lower)
@@ -51,18 +97,23 @@ def row_order(ctx: Context):
     return order_key(ctx, None)
 
 
-min_rank = ranking("min_rank", F.rank)
-dense_rank = ranking("dense_rank", F.dense_rank)
-percent_rank = ranking("percent_rank", F.percent_rank, "double")
-cume_dist = ranking("cume_dist", F.cume_dist, "double")
+min_rank, dense_rank, percent_rank, cume_dist = map(ranking, RANKS)
+
+
+def number_by(ctx: Context, x) -> Column:
+    """1-based number of each row in the order of a key."""
+    if isinstance(x, Symbol):
+        return ctx.position() + 1
+    before, ctx.explicit_order = ctx.explicit_order, [x]
+    try:
+        return ctx.position() + 1
+    finally:
+        ctx.explicit_order = before
 
 
 def _row_number(ctx, x=f):
     """1-based number of the row by ``x``, else in row order."""
-    if isinstance(x, Symbol):
-        return Val(ctx.position() + 1)
-    window = Window.partitionBy(*ctx.partition()).orderBy(sort_key(ctx, x))
-    return Val(F.row_number().over(window).cast("bigint"), "row", True)
+    return Val(number_by(ctx, x), "row", True)
 
 
 row_number_ = function("window", "row_number_")(_row_number)
@@ -71,10 +122,14 @@ row_number = function("window", "row_number", always=True)(_row_number)
 
 def _ntile(ctx, x=f, *, n=None):
     """1-based buckets of about equal size, larger ones first; missing values have none."""
-    if isinstance(x, Symbol):
-        return Val(F.ntile(n).over(ctx.order_window()).cast("bigint"), "row", True)
-    window, value = rank_window(ctx, x, "keep")
-    return Val(F.when(value.isNotNull(), F.ntile(n).over(window)).cast("bigint"), "row", True)
+    value = None if isinstance(x, Symbol) else rank_key(ctx, x)[0]
+    at = ctx.hoist(number_by(ctx, x)) - 1
+    seen = F.count(F.lit(1) if value is None else value)
+    size = ctx.hoist(seen.over(Window.partitionBy(*ctx.partition()))) if ctx.frame.groups else ctx.over_group(seen)
+    small, more = F.floor(size / n).cast("bigint"), (size % n).cast("bigint")
+    wide = more * (small + 1)
+    out = F.when(at < wide, F.floor(at / (small + 1)) + 1).otherwise(more + F.floor((at - wide) / F.greatest(small, F.lit(1))) + 1).cast("bigint")
+    return Val(out if value is None else F.when(value.isNotNull(), out), "row", True)
 
 
 ntile_ = function("window", "ntile_")(_ntile)
@@ -88,25 +143,25 @@ for _name in ("min_rank", "dense_rank", "percent_rank", "cume_dist"):
 @function("window")
 def rank(ctx, x, na_last=True, ties_method="average"):
     """Ranks with a choice for ties: average, first, last, random, max or min."""
-    value = ctx.row(x)
-    parts = ctx.partition()
-    nulls = value.asc_nulls_last() if na_last else value.asc_nulls_first()
-    if na_last == "keep":
-        parts, nulls = [*parts, value.isNull()], value.asc()
-    ordered = Window.partitionBy(*parts).orderBy(nulls)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*parts, value))
-    if ties_method == "average":
-        out = F.rank().over(ordered) + (ties - 1) / F.lit(2.0)
-    elif ties_method == "min":
-        out = F.rank().over(ordered).cast("bigint")
-    elif ties_method == "max":
-        out = F.rank().over(ordered) + ties - 1
-    elif ties_method == "random":
-        out = F.row_number().over(Window.partitionBy(*parts).orderBy(nulls, F.rand(_seed()))).cast("bigint")
+    value, down = rank_key(ctx, x)
+    missing = na_last if na_last == "keep" else "bottom" if na_last else "top"
+    if ties_method in ("average", "min", "max"):
+        r = (grouped_ranks if ctx.frame.groups else table_ranks)(ctx, value, down, missing)
+        out = (r["rank"] + r["upto"]) / F.lit(2.0) if ties_method == "average" else (r["rank"] if ties_method == "min" else r["upto"])
+        return Val(F.when(value.isNotNull(), out) if missing == "keep" else out, "row", True)
+    value = ctx.hoist(value)
+    ctx.frame = ctx.frame.ordered()
+    if ties_method == "random":
+        rest = [Val(ctx.hoist(F.xxhash64(F.lit(_seed()), *[c for c, _ in ctx.order_keys()])))]
     else:
-        keys = ctx.order_columns(reverse=ties_method == "last")
-        out = F.row_number().over(Window.partitionBy(*parts).orderBy(nulls, *keys)).cast("bigint")
-    return Val(F.when(value.isNotNull(), out) if na_last == "keep" else out, "row", True)
+        rest = [Call("desc", (Val(c),)) if d != (ties_method == "last") else Val(c) for c, d in ctx.order_keys()]
+    first = [Val(F.when(value.isNull(), 0).otherwise(1))] if missing == "top" else []
+    held, ctx.explicit_order = ctx.explicit_order, [*first, Call("desc", (Val(value),)) if down else Val(value), *rest]
+    try:
+        out = ctx.position() + 1
+    finally:
+        ctx.explicit_order = held
+    return Val(F.when(value.isNotNull(), out) if missing == "keep" else out, "row", True)
 
 
 def _seed() -> int:
@@ -118,46 +173,53 @@ def _seed() -> int:
 @function("window")
 def consecutive_id(ctx, x, *more):
     """Number of the run, from 1; a run ends when any argument changes."""
-    cols = [ctx.row(v) for v in (x, *more)]
-    window = ctx.order_window()
-    changed = F.lit(False)
-    for v in cols:
-        changed = changed | ~v.eqNullSafe(F.lag(v).over(window))
-    start = F.row_number().over(window) == 1
-    flag = ctx.hoist(F.when(changed & ~start, 1).otherwise(0))
-    return Val(F.sum(flag).over(ctx.running()).cast("bigint") + 1, "row", True)
+    changed, inner = F.lit(False), F.lit(True)
+    for v in [ctx.row(v) for v in (x, *more)]:
+        before, inner = ctx.shifted(v, 1, True)
+        changed = changed | ~v.eqNullSafe(before)
+    flag = ctx.hoist(F.when(changed & inner, 1).otherwise(0).cast("bigint"))
+    return Val(ctx.running_value(F.sum, flag, lambda a, b: F.coalesce(a, F.lit(0)) + b).cast("bigint") + 1, "row", True)
 
 
-def shifted(ctx, x, n, default, order_by, fn) -> Val:
+def moved(ctx, x, n, default, order_by, back: bool) -> Val:
     value = ctx.row(x)
-    if order_by is not None:
-        window = Window.partitionBy(*ctx.partition()).orderBy(sort_key(ctx, order_by))
-    else:
-        window = ctx.order_window()
-    kind = ctx.dtype(value)
-    fill = None if default is None else ctx.col(default).cast(kind)
-    out = fn(value, n).over(window)
-    if fill is not None:  # a missing value inside stays missing
-        out = F.when(fn(F.lit(1), n).over(window).isNull(), fill).otherwise(out)
+    held, ctx.explicit_order = ctx.explicit_order, [order_by] if order_by is not None else ctx.explicit_order
+    try:
+        out, there = ctx.shifted(value, n, back) if n > 0 else (value, F.lit(True))
+    finally:
+        ctx.explicit_order = held
+    if default is not None:  # a missing value inside stays missing
+        out = F.when(~there, ctx.col(default).cast(ctx.dtype(value))).otherwise(out)
     return Val(out, "row", True)
 
 
 @function("window")
 def lead(ctx, x, n=1, default=None, order_by=None):
     """The value n rows ahead."""
-    return shifted(ctx, x, n, default, order_by, F.lead)
+    return moved(ctx, x, n, default, order_by, False)
 
 
 @function("window")
 def lag(ctx, x, n=1, default=None, order_by=None):
     """The value n rows back."""
-    return shifted(ctx, x, n, default, order_by, F.lag)
+    return moved(ctx, x, n, default, order_by, True)
+
+
+#: How an aggregate of the rows before a range and one of its own rows make one.
+MERGE = {
+    F.sum: lambda a, b: F.coalesce(a + b, a, b),
+    F.product: lambda a, b: F.coalesce(a * b, a, b),
+    F.min: F.least,
+    F.max: F.greatest,
+    F.bool_and: lambda a, b: F.coalesce(a & b, a, b),
+    F.bool_or: lambda a, b: F.coalesce(a | b, a, b),
+}
 
 
 def cumulative(name: str, make):
     def lower(ctx, x, *args, **kwargs):
         value = ctx.row(x)
-        out = make(value).over(ctx.running())
+        out = ctx.running_value(make, value, MERGE[make])
         return Val(F.when(value.isNotNull(), out), "row", True)
 
     lower.__doc__ = f"Cumulative {name[3:]} in row order; missing values are skipped and stay missing."
@@ -174,27 +236,35 @@ cummax = cumulative("cummax", F.max)
 def cummean(ctx, x, na_rm=False):
     """Cumulative mean; from a missing value on it is missing unless ``na_rm``."""
     value = ctx.row(x)
-    window = ctx.running()
-    out = F.avg(value).over(window)
-    return Val(out if na_rm else F.when(~F.bool_or(value.isNull()).over(window), out), "row", True)
+    if ctx.range_column() is None:
+        out = F.avg(value).over(ctx.running())
+    else:
+        total = ctx.hoist(ctx.running_value(F.sum, value.cast("double"), MERGE[F.sum]))
+        out = total / ctx.hoist(ctx.running_value(F.sum, F.when(value.isNotNull(), F.lit(1)).otherwise(0), MERGE[F.sum]))
+    if na_rm:
+        return Val(out, "row", True)
+    out = ctx.hoist(out)
+    return Val(F.when(~ctx.running_value(F.bool_or, value.isNull(), MERGE[F.bool_or]), out), "row", True)
+
+
+def until(ctx, x, stop, name: bool):
+    """``name`` from where a value settles the answer, the opposite while none is missing."""
+    value = ctx.row(x).cast("boolean")
+    settled = ctx.hoist(ctx.running_value(stop, value, MERGE[stop]))
+    gap = ctx.running_value(F.bool_or, value.isNull(), MERGE[F.bool_or])
+    return Val(F.when(F.coalesce(settled == F.lit(name), F.lit(False)), F.lit(name)).when(~gap, F.lit(not name)), "row", True)
 
 
 @function("window")
 def cumall(ctx, x):
     """True up to the first false value."""
-    value = ctx.row(x).cast("boolean")
-    window = ctx.running()
-    out = F.when(~F.coalesce(F.bool_and(value).over(window), F.lit(True)), F.lit(False)).when(~F.bool_or(value.isNull()).over(window), F.lit(True))
-    return Val(out, "row", True)
+    return until(ctx, x, F.bool_and, False)
 
 
 @function("window")
 def cumany(ctx, x):
     """True from the first true value on."""
-    value = ctx.row(x).cast("boolean")
-    window = ctx.running()
-    out = F.when(F.coalesce(F.bool_or(value).over(window), F.lit(False)), F.lit(True)).when(~F.bool_or(value.isNull()).over(window), F.lit(False))
-    return Val(out, "row", True)
+    return until(ctx, x, F.bool_or, True)
 
 
 def _diff_plain(x, lag=1, differences=1):
@@ -210,7 +280,7 @@ def diff(ctx, x, lag=1, differences=1):
     the result is shorter; in a frame the first rows are missing."""
     value = ctx.row(x)
     for _ in range(differences):
-        value = ctx.hoist(value - F.lag(value, lag).over(ctx.order_window()))
+        value = ctx.hoist(value - ctx.shifted(value, lag, True)[0])
     return Val(value, "row", True)
 
 

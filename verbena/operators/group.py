@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verbena.expr import verb
 from verbena.frame import Frame, as_frame, quoted
 from verbena.operators.select import resolve
+from verbena.options import get_option
 from verbena.operators.summarise import aggregate, grouped_keys
 
 
@@ -113,8 +114,13 @@ def n_groups(_data):
 
 
 def keys_in_order(_data: Frame) -> list[dict]:
-    keys = group_keys.run(_data)
-    return [dict(zip(_data.groups, r, strict=True)) for r in keys.collect()]
+    """The keys of all groups, for functions that work on one group after the other; more than the
+    option ``max_groups`` of them are an error."""
+    most = get_option("max_groups")
+    rows = group_keys.run(_data).visible().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} groups: give group_modify() a _schema, or raise the option max_groups")
+    return [dict(zip(_data.groups, r, strict=True)) for r in rows]
 
 
 def one_group(_data: Frame, key: dict, keep: bool) -> Frame:
@@ -134,10 +140,11 @@ def group_split(_data, *args, _keep=False, **kwargs):
 
 
 def called(fn, frame: Frame, key: dict, args, kwargs):
-    try:
-        return fn(frame, key, *args, **kwargs) if fn.__code__.co_argcount > 1 + len(args) else fn(frame, *args, **kwargs)
-    except AttributeError:
-        return fn(frame, *args, **kwargs)
+    """``fn`` of a group, and of its key if it has a place for one."""
+    code = getattr(fn, "__code__", None)
+    if code is not None and code.co_argcount > 1 + len(args):
+        return fn(frame, key, *args, **kwargs)
+    return fn(frame, *args, **kwargs)
 
 
 @verb
@@ -157,13 +164,19 @@ def group_modify(_data, _f, *args, _keep=False, _schema=None, **kwargs):
         drop = [] if _keep else keys
 
         def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+            if hidden:  # rows are put in order inside their group
+                rows = rows.sort_values(hidden, ascending=ascending, kind="stable", ignore_index=True)
             out = _f(rows.drop(columns=drop), *args, **kwargs)
             for k, v in zip(reversed(keys), reversed(key), strict=True):
                 out.insert(0, k, v)
             return out
 
         fields = ", ".join([*(f"`{k}` {_data.dtype(k).simpleString()}" for k in keys), _schema])
-        return Frame(_data.visible().groupBy(*map(quoted, keys)).applyInPandas(run, fields), groups=keys)
+        hidden = [o for o, _ in _data.order]
+        drop += hidden
+        ascending = [not d for _, d in _data.order]
+        rows = _data.df.select(*map(quoted, _data.columns), *map(quoted, hidden)) if hidden else _data.df.select(*map(quoted, _data.columns))
+        return Frame(rows.groupBy(*map(quoted, keys)).applyInPandas(run, fields), groups=keys)
     from verbena.operators.sets import bind_rows
 
     parts = []

@@ -81,7 +81,7 @@ def expand_across(frame: Frame, call: Call) -> dict[str, Any]:
                 shown = glue.format(_col=n, _fn=0 if key is None else key, _fn1=(0 if key is None else key) + 1 if not isinstance(key, str) else key, _fn0=0 if key is None else key)
             else:
                 shown = n if key is None else f"{n}_{key}"
-            out[shown] = applied_to(fn, Col(n), [bound_column(a, n) for a in args], {k: bound_column(v, n) for k, v in kwargs.items()})
+            out[shown] = bound_column(applied_to(fn, Col(n), [bound_column(a, n) for a in args], {k: bound_column(v, n) for k, v in kwargs.items()}), n)
     return out
 
 
@@ -150,7 +150,7 @@ def computed(frame: Frame, name: str, x: Any) -> Frame:
     if name in out.df.columns:
         df = out.df.select(*[col if c == name else quoted(c) for c in out.df.columns])
     else:
-        df = out.df.select("*", col)
+        return out.with_(out.df.select("*", col), ranges=out.ranges)
     return out.with_(df)
 
 

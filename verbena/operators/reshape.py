@@ -15,8 +15,9 @@ from verbena.frame import Context, Frame, Val, as_frame, frame_of, is_float, is_
 from verbena.functions.aggregate import na
 from verbena.functions.factor import attach, column_levels
 from verbena.names import repair_names
-from verbena.operators.mutate import applied_to, computed, expanded
+from verbena.operators.mutate import applied_to, computed, expanded, without_scratch
 from verbena.operators.select import resolve
+from verbena.options import few
 
 CASTS = {int: "bigint", float: "double", str: "string", bool: "boolean", "int": "bigint", "float": "double", "str": "string", "bool": "boolean"}
 
@@ -120,10 +121,10 @@ def pivot_wider(_data, id_cols=None, names_from="name", names_prefix="", names_s
     own = _data
     if names_sort or not own.order:
         keys = own.df.select(*map(quoted, names)).distinct()
-        found = sorted((tuple(r) for r in keys.collect()), key=lambda r: tuple((v is None, v) for v in r)) if names_sort else [tuple(r) for r in keys.orderBy(*map(quoted, names)).collect()]
+        found = sorted((tuple(r) for r in few(keys, "new columns")), key=lambda r: tuple((v is None, v) for v in r)) if names_sort else [tuple(r) for r in few(keys.orderBy(*map(quoted, names)), "new columns")]
     else:
         first = own.df.groupBy(*map(quoted, names)).agg(F.min(F.struct(*[quoted(o) for o, _ in own.order])).alias("__f")).orderBy("__f")
-        found = [tuple(r)[: len(names)] for r in first.collect()]
+        found = [tuple(r)[: len(names)] for r in few(first, "new columns")]
     columns = []
 
     def made(value: str, key: tuple) -> str:
@@ -445,18 +446,18 @@ def complete(data, *args, fill=None, explict=True, explicit=None):
 def fill(_data, *columns, _direction="down"):
     """Missing values from the row before or after, in each group."""
     names = chosen(_data, columns) if columns else [c for c in _data.columns if c not in _data.groups]
-    own = _data.ordered()
-    window = Window.partitionBy(*map(quoted, own.groups)).orderBy(*own.sort_columns())
-    past = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    future = window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ctx = Context(own)
+    if _direction not in ("down", "up", "downup", "updown"):
+        raise ValueError("_direction is down, up, downup or updown")
+    ctx = Context(_data.ordered())
 
     def filled(c: str) -> Column:
         x = F.when(~na(ctx, quoted(c)), quoted(c))
-        down, up = F.last(x, ignorenulls=True).over(past), F.first(x, ignorenulls=True).over(future)
-        return {"down": down, "up": up, "downup": F.coalesce(down, up), "updown": F.coalesce(up, down)}[_direction]
+        steps = [ctx.hoist(ctx.nearest(x, back=way == "up")) for way in ("down", "up") if way in _direction]
+        return F.coalesce(*(reversed(steps) if _direction == "updown" else steps))
 
-    return own.keep(*[filled(c).alias(c) if c in names else quoted(c) for c in own.columns])
+    made = {c: filled(c) for c in names}
+    columns = [c for c in _data.columns if not c.startswith("__")]
+    return without_scratch(ctx.frame.keep(*[made[c].alias(c) if c in names else quoted(c) for c in columns]))
 
 
 # ---------------------------------------------------------------- strings to columns

@@ -8,9 +8,10 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from verbena.expr import Call, Col, Expr, Op, Range, RangeList, function, verb
-from verbena.frame import Context, Frame, literal, quoted
+from verbena.frame import Context, Frame, Val, literal, quoted
 from verbena.functions.aggregate import na
 from verbena.functions.random import next_seed
+from verbena.functions.window import table_ranks
 from verbena.operators.mutate import computed, expanded, without_scratch
 from verbena.operators.select import resolve
 
@@ -160,7 +161,7 @@ def edge(_data: Frame, n, prop, tail: bool) -> Frame:
     n, prop = amount(n, prop)
     if prop is None and not _data.groups and n >= 0:
         own = _data.ordered()
-        rows = own.df.orderBy(*own.sort_columns(tail)).limit(n) if (tail or own.order != [("__row", False)] or _data.order) else own.df.limit(n)
+        rows = own.df.orderBy(*own.sort_columns(tail)).limit(n) if tail or _data.order else own.df.limit(n)
         return own.with_(rows)
     frame, at = row_position(_data, tail)
     ctx = Context(frame)
@@ -189,16 +190,26 @@ def extreme(_data: Frame, order_by, n, prop, with_ties, down: bool) -> Frame:
     key = value.desc_nulls_last() if down else value.asc_nulls_last()
     with_ties = True if with_ties is None else with_ties
     parts = ctx.partition()
-    if with_ties is True:
+    if not parts and with_ties is True:
+        rank = table_ranks(ctx, value, down, "bottom")["rank"]
+    elif not parts and prop is None:
+        keys = [key, *ctx.order_columns(reverse=with_ties == "last")]
+        return without_scratch(ctx.frame.with_(ctx.df.orderBy(*keys).limit(n)))
+    elif with_ties is True:
         rank = F.rank().over(Window.partitionBy(*parts).orderBy(key))
-    else:
+    elif parts:
         rank = F.row_number().over(Window.partitionBy(*parts).orderBy(key, *ctx.order_columns(reverse=with_ties == "last")))
-    frame = ctx.frame.with_(ctx.frame.df.withColumn("__rank", rank))
+    else:
+        rest = [Call("desc", (Val(c),)) if d != (with_ties == "last") else Val(c) for c, d in ctx.order_keys()]
+        ctx.explicit_order = [Call("desc", (Val(value),)) if down else Val(value), *rest]
+        rank = ctx.position() + 1
+        ctx.explicit_order = None
     if prop is None:
-        df = frame.df.where(F.col("__rank") <= n)  # known before the shuffle: a group limit
+        most = F.lit(n)  # known before the shuffle: a group limit
     else:
-        size = F.count(F.lit(1)).over(Window.partitionBy(*parts))
-        df = frame.df.withColumn("__size", size).where(F.col("__rank") <= F.floor(F.col("__size") * prop)).drop("__size")
+        most = F.floor(group_size_of(ctx) * prop)
+    frame = ctx.frame.with_(ctx.frame.df.withColumn("__rank", rank))
+    df = frame.df.where(F.col("__rank") <= most)
     order = [("__rank", False), *[o for o in frame.order]]
     return without_scratch(frame.with_(df, order=order))
 
@@ -223,7 +234,9 @@ def slice_sample(_data, n=1, prop=None, weight_by=None, replace=False, random_st
     own = _data.ordered()
     ctx = Context(own)
     if not replace:
-        key = F.rand(seed) if weight_by is None else -F.log(1 - F.rand(seed)) / ctx.row(weight_by).cast("double")
+        # of the row's place (or content) alone, so that two branches of a plan draw alike
+        even = (F.pmod(F.xxhash64(F.lit(seed), *[c for c, _ in ctx.order_keys()]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        key = even if weight_by is None else -F.log(even) / ctx.row(weight_by).cast("double")
         frame = ctx.frame.with_(ctx.frame.df.withColumn("__draw", key))
         if prop is None and not _data.groups:
             return own.with_(frame.df.orderBy("__draw").limit(n).drop("__draw"))
@@ -238,8 +251,19 @@ def slice_sample(_data, n=1, prop=None, weight_by=None, replace=False, random_st
         size = group_size_of(ctx)
         out = kept(ctx.frame, at <= (F.floor(size * prop) if prop is not None else F.lit(n)))
         return out.with_(out.df.drop("__draw"))
-    weight = literal(1.0) if weight_by is None else ctx.row(weight_by).cast("double")
-    frame = ctx.frame.with_(ctx.frame.df.withColumn("__w", weight))
+    if weight_by is None:  # every draw is a position
+        own, at = row_position(own)
+        frame = own.with_(own.df.withColumn("__place", at))
+        groups = frame.df.groupBy(*map(quoted, _data.groups)).agg(F.count("*").alias("__size"))
+        total = F.lit(n) if prop is None else F.floor(F.col("__size") * prop)
+        draws = groups.where(total > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), total.cast("int"))))
+        draws = draws.select(*[quoted(g).alias(f"__of_{g}") for g in _data.groups], F.floor(F.rand(seed) * F.col("__size")).alias("__drawn"))
+        same = F.col("__place") == F.col("__drawn")
+        for g in _data.groups:
+            same = same & quoted(g).eqNullSafe(quoted(f"__of_{g}"))
+        out = frame.df.join(draws, same).select(*[quoted(c) for c in own.df.columns if c != "__at0"])
+        return own.with_(out)
+    frame = ctx.frame.with_(ctx.frame.df.withColumn("__w", ctx.row(weight_by).cast("double")))
     window = Window.partitionBy(*map(quoted, _data.groups)).orderBy(*frame.sort_columns()) if _data.groups else Window.orderBy(*frame.sort_columns())
     frame = frame.with_(frame.df.withColumn("__to", F.sum("__w").over(window)))
     groups = frame.df.groupBy(*map(quoted, _data.groups)).agg(F.sum("__w").alias("__all"), F.count("*").alias("__size"))

@@ -22,7 +22,9 @@ def _key(name: str) -> str:
     return name.replace(".", "_")
 
 
-OPTIONS = Options(allow_conflict_names=False, backends=[], dplyr_summarise_inform=True, nan_is_na=False)
+#: ``max_levels``: distinct values that become factor levels or column names on the driver, at most;
+#: ``max_groups``: groups that a function is called on one after the other, at most.
+OPTIONS = Options(allow_conflict_names=False, backends=[], dplyr_summarise_inform=True, nan_is_na=False, max_levels=100_000, max_groups=10_000)
 
 
 def load(*paths: Path) -> None:
@@ -68,5 +70,14 @@ def get_option(name: str, default: Any = None) -> Any:
     return OPTIONS.get(_key(name), default)
 
 
+def few(df, what: str) -> list:
+    """The rows of a DataFrame that the driver needs, ``max_levels`` at most; more are an error."""
+    most = OPTIONS["max_levels"]
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}; the option max_levels raises the limit")
+    return rows
+
+
 def add_option(name: str, default: Any = None) -> None:
     OPTIONS[_key(name)] = default

@@ -2,49 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from verbena import all as v
 from verbena.all import f
-from verbena.expr import Call, Col, function
-from verbena.frame import Frame, Val
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query: a function of a table getter that gives a frame."""
-
-    def wrap(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = fn(lambda name: Frame(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
-            df = out.df if isinstance(out, Frame) else out
-            return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("__")])
-
-        run.__name__ = name
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return fn
-
-    return wrap
-
-
-def rounded(frame: Frame, **digits: int) -> Frame:
-    """Floating point sums depend on their order; both sides are rounded."""
-    return v.mutate(frame, **{c: Call("round_half_up", (Col(c), d)) for c, d in digits.items()})
-
-
-@function("row")
-def round_half_up(ctx, x, digits):
-    """Decimal rounding, halves away from zero, as SQL does."""
-    value = ctx.val(x)
-    return Val(F.round(value.col, digits), value.form, value.window)
-
+from verbena.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 
 # ---------------------------------------------------------------- filter and projection
 @query("filter_basic", "select l_orderkey, l_quantity from lineitem where l_quantity > 45 and l_returnflag = 'R'")
@@ -427,17 +387,7 @@ def _(t):
     return orders >> v.group_modify(lambda rows: rows[["o_totalprice"]].max().to_frame().T.rename(columns={"o_totalprice": "top"}), _schema="top double")
 
 
-@query("slice_sample")
-def _(t):
-    return t("events") >> v.group_by(f.event_type) >> v.slice_sample(n=5, random_state=7)
-
+# the queries of single functions register themselves
+from verbena.plans import function_queries, window_queries  # noqa: E402
 
-@query("random_columns")
-def _(t):
-    v.set_seed(1)
-    return t("nation") >> v.mutate(a=v.rnorm(1), b=v.runif(1, 2, 3), c=v.rexp(1, 2), d=v.rpois(1, 3))
-
-
-@query("special_functions")
-def _(t):
-    return t("part") >> v.transmute(p_partkey=f.p_partkey, a=v.digamma(f.p_size), b=v.bessel_j(f.p_size, 1), c=v.gamma(f.p_size), d=v.choose(f.p_size, 2))
+__all__ = ["ORACLE_SQL", "QUERIES", "function_queries", "window_queries"]
