@@ -8,7 +8,7 @@
 from __future__ import annotations
 
 import ctypes
-import gc
+import os
 import tempfile
 import uuid
 
@@ -26,12 +26,15 @@ _powers: dict[int, list[np.ndarray]] = {}
 
 # ---------------------------------------------------------------- scratch tables
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names. Where none is set there has to be one machine
+    alone (a local master): then it is a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="verbena-"))
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "verbena"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
 
@@ -72,9 +75,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(fn):
+    """A function of batches whose worker gives freed memory back when its task ends."""
+
+    def run(batches):
+        yield from fn(batches)
+        trim()
+
+    return run
+
+
 def trim() -> None:
     """Give freed memory back to the system: a worker process goes on to other stages."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if release is not None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import LOWER, NONSPACE, discard, doc_chunks, materialise, signed, split_words, text_buffers
+from verbena.llm._common import LOWER, NONSPACE, discard, doc_chunks, materialise, signed, split_words, text_buffers, tidied
 
 #: Words that sequential exchange moves first, the classes it moves them between, and its sweeps.
 CLUSTERED, CLASSES, SWEEPS = 1_000, 48, 6
@@ -182,7 +182,7 @@ def bigrams(rows: DataFrame, shared, vocabulary: Vocabulary) -> np.ndarray:
     parameters alone."""
     size, slice_rows = vocabulary.end + 1, 16
     schema = "slice int, counts binary"
-    sums = rows.mapInArrow(bigram_counter(shared, slice_rows), schema).repartition("slice").mapInArrow(add_tables, schema)
+    sums = rows.mapInArrow(tidied(bigram_counter(shared, slice_rows)), schema).repartition("slice").mapInArrow(tidied(add_tables), schema)
     table = np.zeros((size, size), np.int64)
     for row in sums.collect():
         part = np.frombuffer(zlib.decompress(row["counts"]), np.int64).reshape(-1, size)
@@ -466,7 +466,7 @@ def class_pairs(k: int):
 def class_bigrams(filled: DataFrame, k: int) -> np.ndarray:
     """Counts of class pairs over all training documents."""
     schema = "slice int, counts binary"
-    sums = filled.where("not held_out").select("classes").mapInArrow(class_pairs(k), schema).coalesce(1).mapInArrow(add_tables, schema).collect()
+    sums = filled.where("not held_out").select("classes").mapInArrow(tidied(class_pairs(k)), schema).coalesce(1).mapInArrow(tidied(add_tables), schema).collect()
     return sum((np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(k, k) for r in sums), np.zeros((k, k), np.int64))
 
 
@@ -504,7 +504,7 @@ def train(rows: DataFrame) -> Trained:
     spark = rows.sparkSession
     context = spark.sparkContext
     schema = "word bigint, surface int, c bigint"
-    counts = materialise(rows.mapInArrow(count_words, schema).groupBy("word").agg(F.min("surface").alias("surface"), F.sum("c").alias("c")), "words")
+    counts = materialise(rows.mapInArrow(tidied(count_words), schema).groupBy("word").agg(F.min("surface").alias("surface"), F.sum("c").alias("c")), "words")
     ends = rows.where("train").count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, types = sums["n"] + ends, sums["v"] + (ends > 0)
@@ -529,8 +529,8 @@ def train(rows: DataFrame) -> Trained:
     # every other word of the training part chooses its class by its neighbours
     first = context.broadcast((*vocabulary.state(), of))
     begun = context.broadcast((joint, learnt, class_mass(k, sums)))
-    contexts = rows.mapInArrow(context_counter(first), "word bigint, surface int, contexts binary").repartition("word").sortWithinPartitions("word")
-    chosen = materialise(contexts.mapInArrow(chooser(begun), "word bigint, class int, c bigint"), "classes")
+    contexts = rows.mapInArrow(tidied(context_counter(first)), "word bigint, surface int, contexts binary").repartition("word").sortWithinPartitions("word")
+    chosen = materialise(contexts.mapInArrow(tidied(chooser(begun)), "word bigint, class int, c bigint"), "classes")
     words = chosen.unionByName(placed)
     sums = {r["class"]: (r["n"], r["v"]) for r in words.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     found = chosen.where(often).select("word", "class").toPandas()
@@ -543,12 +543,12 @@ def train(rows: DataFrame) -> Trained:
 def sequenced(rows: DataFrame, trained: Trained) -> DataFrame:
     """The class of every token of every row, with its word counts."""
     shared = rows.sparkSession.sparkContext.broadcast((*trained.vocabulary.state(), trained.classes, trained.learnt))
-    sequences = materialise(rows.mapInArrow(sequencer(shared), SEQUENCE_SCHEMA), "sequences")
+    sequences = materialise(rows.mapInArrow(tidied(sequencer(shared)), SEQUENCE_SCHEMA), "sequences")
     rare = sequences.select("row_key", F.explode(F.arrays_zip("places", "rare")).alias("x")).select("row_key", F.col("x.places").alias("place"), F.col("x.rare").alias("word"))
     rare = rare.join(trained.words, "word").groupBy("row_key").agg(F.collect_list(F.struct("place", "class")).alias("x"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("more"), F.count("*").alias("seen"))
     joined = sequences.drop("places", "rare").join(rare, "row_key", "left")
     joined = joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("own") + F.coalesce("more", F.lit(0.0))).alias("own"), "classes", F.col("x.place").alias("places"), F.col("x.class").alias("found"))
-    filled = materialise(joined.mapInArrow(fill, FILLED_SCHEMA), "filled")
+    filled = materialise(joined.mapInArrow(tidied(fill), FILLED_SCHEMA), "filled")
     discard(sequences)
     return filled
 
@@ -567,6 +567,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast((class_bigrams(filled, trained.k), trained.learnt, trained.mass))
     divisor = math.log10(trained.tokens + trained.types + 1)
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    out = filled.mapInArrow(scorer(model, divisor, trained.ends), schema)
+    out = filled.mapInArrow(tidied(scorer(model, divisor, trained.ends)), schema)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import ALNUM, LOWER, discard, doc_chunks, materialise, only, signed, small_batches, split_words, text_buffers, trim
+from verbena.llm._common import ALNUM, LOWER, discard, doc_chunks, materialise, only, signed, small_batches, split_words, text_buffers, tidied
 
 BLOCK_SCHEMA = "doc_ids array<bigint>, n_words array<int>, terms binary, starts binary, postings binary"
 MATCH_SCHEMA = "block bigint, ord int, spans array<int>, items array<string>"
@@ -58,7 +58,6 @@ def index_batches(batches):
                 + [pa.array([x.tobytes()], pa.binary()) for x in (terms, starts, gaps)],
                 names=["doc_ids", "n_words", "terms", "starts", "postings"],
             )
-    trim()
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,7 +68,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     an empty index, and columns other than the two named are ignored.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(index_batches, BLOCK_SCHEMA).select(F.monotonically_increasing_id().alias("block"), "*"), "postings")
+    return materialise(rows.mapInArrow(tidied(index_batches), BLOCK_SCHEMA).select(F.monotonically_increasing_id().alias("block"), "*"), "postings")
 
 
 class Block:
@@ -177,7 +176,7 @@ def window_rows(size: int | None):
 def query_passes(items: DataFrame, size: int | None):
     """The query set in parts of about PASS_WINDOWS: ({length: windows}, {length: item lists}). The
     windows are a table; the driver holds one part at a time."""
-    rows = items.mapInArrow(window_rows(size), WINDOW_SCHEMA).groupBy("window").agg(F.collect_set("item_id").alias("items"))
+    rows = items.mapInArrow(tidied(window_rows(size)), WINDOW_SCHEMA).groupBy("window").agg(F.collect_set("item_id").alias("items"))
     rows = materialise(rows, "windows")
     passes = max(1, -(-rows.count() // PASS_WINDOWS))
     for turn in range(passes):
@@ -192,7 +191,11 @@ def search(index: DataFrame, items: DataFrame, size: int | None = 10, slop: int
     words, or with ``slop`` all words of a window near each other. One row for each document that
     has a match: block, ord, spans (flat start/end word positions), items (sorted)."""
     context = index.sparkSession.sparkContext
-    found = [materialise(index.mapInArrow(matcher(context.broadcast(part), slop), MATCH_SCHEMA), "matches") for part in query_passes(items, size)]
+    found = []
+    for part in query_passes(items, size):
+        shared = context.broadcast(part)
+        found.append(materialise(index.mapInArrow(tidied(matcher(shared, slop)), MATCH_SCHEMA), "matches"))
+        shared.destroy()
     if len(found) == 1:
         return found[0]
     every = found[0]
@@ -240,7 +243,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, size: int = 10
     found = search(index, items, size)
     every = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("ord", "x"))
     every = every.select("block", "ord", F.col("x.doc_ids").alias("doc_id"), F.col("x.n_words").cast("bigint").alias("n_words"))
-    return every.join(found, ["block", "ord"], "left").select("doc_id", "n_words", "spans", "items").mapInArrow(report_batches, REPORT_SCHEMA)
+    return every.join(found, ["block", "ord"], "left").select("doc_id", "n_words", "spans", "items").mapInArrow(tidied(report_batches), REPORT_SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:

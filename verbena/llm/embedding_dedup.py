@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import connected_components, discard, materialise
+from verbena.llm._common import connected_components, discard, materialise, tidied
 
 #: Vectors that a bucket holds on average if they are spread evenly, and that one block holds.
 BUCKET = 200
@@ -232,7 +232,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     members = materialise(once.select("vec_id", "print1", "print2").join(classes.select("print1", "print2", "rep", "copies"), ["print1", "print2"]).select("vec_id", "rep", "copies"), "vector-members")
     discard(once)
     k, tables = table_sizes(classes.count(), threshold)
-    points = classes.select("rep", "copies", "embedding").mapInArrow(keyed(k, tables, width), "rep bigint, copies bigint, raw binary, size int, keys array<bigint>")
+    points = classes.select("rep", "copies", "embedding").mapInArrow(tidied(keyed(k, tables, width)), "rep bigint, copies bigint, raw binary, size int, keys array<bigint>")
     points = materialise(points, "vector-keys")
     buckets = points.select("size", F.posexplode("keys").alias("table", "key"))
     crowded = materialise(buckets.groupBy("table", "size", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK), "crowded")
@@ -244,7 +244,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     low, high = F.least("block", "with"), F.greatest("block", "with")
     side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
     dealt = placed.select(F.xxhash64("table", "size", "key", low, high).alias("unit"), "table", "size", "key", low.alias("low"), high.alias("high"), side.alias("side"), "rep", "copies", "raw", F.slice("keys", 1, F.col("table") + 1).alias("keys"))
-    found = dealt.repartition("unit").sortWithinPartitions("unit", "table", "size", "key", "low", "high", "side").mapInArrow(link_units(threshold, width), LINK_SCHEMA)
+    found = dealt.repartition("unit").sortWithinPartitions("unit", "table", "size", "key", "low", "high", "side").mapInArrow(tidied(link_units(threshold, width)), LINK_SCHEMA)
     found = materialise(found, "links")
     counts = found.where("other is null").groupBy("rep").agg(F.sum("n_links").alias("beyond"))
     groups = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vectors")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbena.llm._common import LOWER, NONSPACE, connected_components, discard, doc_chunks, materialise, mix, signed, small_batches, split_words, text_buffers, trim
+from verbena.llm._common import LOWER, NONSPACE, connected_components, discard, doc_chunks, materialise, mix, signed, small_batches, split_words, text_buffers, tidied
 
 #: The counters are a power of two, one for so many text bytes, between these bounds.
 COUNTER_BYTES = 64
@@ -105,7 +105,6 @@ def counter(size: int, bits: int):
                     n = 0
             add(table, held)
         yield from slice_rows(table, 0)
-        trim()
 
     def add(table, held):
         if held:
@@ -133,7 +132,7 @@ def gram_levels(texts: DataFrame, size: int) -> tuple[bytes, int]:
     compressed). Tasks add up what they read, slices are added up by other tasks as a stream."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (int(total) // COUNTER_BYTES).bit_length()))
-    slices = texts.mapInArrow(counter(size, bits), SLICE_SCHEMA).repartition("slice").mapInArrow(add_slices, SLICE_SCHEMA)
+    slices = texts.mapInArrow(tidied(counter(size, bits)), SLICE_SCHEMA).repartition("slice").mapInArrow(tidied(add_slices), SLICE_SCHEMA)
     table = np.zeros(1 << bits, np.uint8)
     for row in slices.toLocalIterator():  # at most 2**bits / SLICE rows
         table[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
@@ -169,7 +168,6 @@ def prefixer(shared, bits: int, size: int, percent: int):
                 out[4].append(signed(grams[order[: n - least_share(n, percent) + 1]]) if n else grams.view(np.int64))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names=["doc_id", "n", "print1", "print2", "parity", "prefix"])
-        trim()
 
     return prefixes
 
@@ -244,7 +242,7 @@ def linear_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     place = F.col("pos") if turn == 0 else F.xxhash64("rep", F.lit(turn))
     rows = rows.select("token", place.alias("place"), "n", "rep", "component")
     keys = ("token", "place", "rep")
-    beside = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(neighbours(percent), "a bigint, b bigint")
+    beside = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(neighbours(percent)), "a bigint, b bigint")
     hubs = rows.groupBy("token").agg(F.min(F.struct("place", "rep", "n", "component")).alias("hub"))
     led = rows.join(hubs, "token").where(f"component <> hub.component and rep <> hub.rep and least(n, hub.n) * 100 >= greatest(n, hub.n) * {percent}")
     led = led.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
@@ -278,7 +276,6 @@ def packed_texts(batches):
     for batch in batches:
         raw = [(x or "").encode() for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=["homes", "doc_id", "size", "packed"])
-    trim()
 
 
 def compared(size: int, percent: int):
@@ -313,7 +310,6 @@ def compared(size: int, percent: int):
                         break
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        trim()
 
     return compare
 
@@ -367,9 +363,9 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     roles = guests.unionByName(hosts).withColumn("lot", F.when(F.col("guest"), F.col("lot")).otherwise(-1 - F.floor(F.col("place") / HOMES)))
     roles = materialise(roles.groupBy("doc_id", "lot").agg(F.collect_list(F.struct("home", "place", "guest")).alias("homes")), f"{tag}-roles")
     chosen = with_pairs(texts, roles.select("doc_id")).join(roles, "doc_id").select("doc_id", "text", "homes")
-    packed = chosen.mapInArrow(packed_texts, "homes array<struct<home:bigint,place:int,guest:boolean>>, doc_id bigint, size bigint, packed binary")
+    packed = chosen.mapInArrow(tidied(packed_texts), "homes array<struct<home:bigint,place:int,guest:boolean>>, doc_id bigint, size bigint, packed binary")
     packed = packed.select(F.explode("homes").alias("at"), "doc_id", "size", "packed").select("at.*", "doc_id", "size", "packed")
-    found = packed.repartition("home", "place").sortWithinPartitions("home", "place", "guest").mapInArrow(compared(size, percent), "a bigint, b bigint")
+    found = packed.repartition("home", "place").sortWithinPartitions("home", "place", "guest").mapInArrow(tidied(compared(size, percent)), "a bigint, b bigint")
     found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-links")
     discard(kept, dealt, roles)
     return found
@@ -381,7 +377,9 @@ def indexed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     that another class shares (token, pos, n, rep, before)."""
     texts = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels, bits = gram_levels(texts, size)
-    every = materialise(texts.mapInArrow(prefixer(docs.sparkSession.sparkContext.broadcast(levels), bits, size, percent), PREFIX_SCHEMA), "members")
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    every = materialise(texts.mapInArrow(tidied(prefixer(shared, bits, size, percent)), PREFIX_SCHEMA), "members")
+    shared.destroy()
     members = materialise(every.select("doc_id", "n", "print1", "print2"), "prints")
     classes = materialise(
         every.where("n > 0 and doc_id is not null").groupBy("n", "print1", "print2").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")), "classes"
@@ -389,7 +387,7 @@ def indexed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     discard(every)
     rows = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("pos").cast("bigint").alias("pos"), "n", "rep")
     row_schema = "token bigint, pos bigint, n bigint, rep bigint"
-    shared = rows.repartitionByRange("token", "pos", "n", "rep").sortWithinPartitions("token", "pos", "n", "rep").mapInArrow(shared_only, row_schema)
+    shared = rows.repartitionByRange("token", "pos", "n", "rep").sortWithinPartitions("token", "pos", "n", "rep").mapInArrow(tidied(shared_only), row_schema)
     # Positional filter of a single row: n-grams of no other class cannot be shared, so at most
     # its shared n-grams up to here and all behind it are in an intersection.
     before = F.row_number().over(Window.partitionBy("rep").orderBy("pos")) - 1

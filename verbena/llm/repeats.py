@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import discard, doc_chunks, materialise, mix, prefix_hash, signed, text_buffers, trim
+from verbena.llm._common import discard, doc_chunks, materialise, mix, prefix_hash, signed, text_buffers, tidied
 
 LENGTH = 400
 #: Bytes of an anchor; a shorter string cannot be one.
@@ -367,7 +367,6 @@ def transform_groups(length: int):
         yield from closed()
         if held:
             yield span_batch(*repeated_spans(held, length))
-        trim()
 
     return run
 
@@ -386,7 +385,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max
     """(keyed documents, ranges): documents as doc_id, doc_print, text; for each document with
     repeats its ranges, possibly overlapping, as ``spans``."""
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("doc_print"), "text")
-    found = materialise(keyed.mapInArrow(anchor_rows(length, gram), ANCHOR_SCHEMA), "anchors")
+    found = materialise(keyed.mapInArrow(tidied(anchor_rows(length, gram)), ANCHOR_SCHEMA), "anchors")
     place = F.struct("doc_id", "doc_print", "pos", "before", "behind")
     around = materialise(found.groupBy("gram", "around").agg(F.count("*").alias("times"), F.min(place).alias("place")), "around")
     shared = around.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1")
@@ -398,12 +397,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max
     asked = wanted.groupBy("doc_id", "doc_print").agg(F.collect_list(F.struct("gram", "pos", "before", "behind", "many", "hot")).alias("wanted"))
     same = (keyed["doc_print"] == asked["doc_print"]) & keyed["doc_id"].eqNullSafe(asked["doc_id"])
     with_text = keyed.join(asked, same).select(keyed["doc_id"], keyed["doc_print"], keyed["text"], asked["wanted"])
-    pieces = materialise(with_text.mapInArrow(cut_pieces, PIECE_SCHEMA), "pieces")
+    pieces = materialise(with_text.mapInArrow(tidied(cut_pieces), PIECE_SCHEMA), "pieces")
     told = ("doc_id", "doc_print", "start")
     # of an anchor with very many: trimmed from both sides, equal ones settled, the rest in blocks
     hot = pieces.where("hot").select("gram", F.substring("piece", F.col("place") + gram + 1, F.lit(length)).alias("side"), *told, "many", "piece", "place")
     for behind in (True, False):
-        hot = hot.repartitionByRange("gram", "side", *told).sortWithinPartitions("gram", "side", *told).mapInArrow(trimmed_sides(length, gram, behind), SIDE_SCHEMA)
+        hot = hot.repartitionByRange("gram", "side", *told).sortWithinPartitions("gram", "side", *told).mapInArrow(tidied(trimmed_sides(length, gram, behind)), SIDE_SCHEMA)
     hot = materialise(hot, "trimmed")
     kinds = materialise(hot.groupBy("gram", "place", "piece").agg(F.count("*").alias("n"), F.bool_or("many").alias("many"), F.min(F.struct(*told)).alias("one")), "kinds")
     again = hot.where("not many").join(kinds.where("n > 1 or many").select("gram", "place", "piece"), ["gram", "place", "piece"], "left_semi").select("doc_id", "doc_print", "start", (F.col("start") + F.length("piece")).alias("stop"))
@@ -411,7 +410,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("piece"), F.col("blocks")).cast("int")).otherwise(-1)
     dealt = kinds.join(left, "gram").select("gram", block.alias("block"), "one.*", (F.col("many") | (F.col("n") > 1)).alias("many"), "piece")
     dealt = dealt.unionByName(pieces.where("not hot").select("gram", F.lit(-1).alias("block"), *told, "many", "piece"))
-    worked = materialise(dealt.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(transform_groups(length), SPAN_SCHEMA), "worked")
+    worked = materialise(dealt.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(tidied(transform_groups(length)), SPAN_SCHEMA), "worked")
     different = worked.where("h1 is null").select("doc_id", "doc_print", "start", "stop").unionByName(again)
     # strings of the blocks: one that another block has too repeats
     spot = F.struct("doc_id", "doc_print", "start")
@@ -455,4 +454,4 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_s
     keyed, ranges = repeated_ranges(docs, length, gram, max_surroundings)
     same = (keyed["doc_print"] == ranges["doc_print"]) & keyed["doc_id"].eqNullSafe(ranges["doc_id"])
     joined = keyed.join(ranges, same, "left").select(keyed["doc_id"], keyed["text"], ranges["spans"])
-    return joined.mapInArrow(removal_rows, REPORT_SCHEMA)
+    return joined.mapInArrow(tidied(removal_rows), REPORT_SCHEMA)

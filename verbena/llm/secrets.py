@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import small_batches
+from verbena.llm._common import small_batches, tidied
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -177,7 +177,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     exclusive). Null and empty texts have none; each row is scanned by itself, so order,
     repeats and skew of rows do not matter; other columns are ignored. A value is priced and
     covered to its end, however long it is."""
-    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan_batches, SCAN_SCHEMA)
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(scan_batches), SCAN_SCHEMA)
 
 
 def digest_batches(batches):
@@ -202,7 +202,7 @@ DIGEST_SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint,
 
 def secret_digest(docs: DataFrame) -> DataFrame:
     """``find_secrets`` as counts and digests, a row for each document."""
-    return find_secrets(docs).mapInArrow(digest_batches, DIGEST_SCHEMA)
+    return find_secrets(docs).mapInArrow(tidied(digest_batches), DIGEST_SCHEMA)
 
 
 def redact_batches(batches):
@@ -225,4 +225,4 @@ def redact_batches(batches):
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span found replaced by ``[REDACTED]``; overlapping spans become
     one. All rows and columns stay, null texts stay null."""
-    return small_batches(docs).mapInArrow(redact_batches, docs.schema)
+    return small_batches(docs).mapInArrow(tidied(redact_batches), docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import small_batches, trim
+from verbena.llm._common import small_batches, tidied
 
 MARK = "▁"
 #: Piece types of the model file.
@@ -272,7 +272,6 @@ def encoder(data: bytes, threads: int, verify: bool):
                 offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
                 same = pa.array(good) if verify else pa.nulls(j - i, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(sizes), same], names=["doc_id", "ids", "n_tokens", "parity"])
-        trim()
 
     return encode
 
@@ -286,7 +285,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2, verify: bool = True)
     so repeats, ties and skew do not matter; other columns are ignored.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(encoder(model, threads, verify), ENCODE_SCHEMA)
+    return rows.mapInArrow(tidied(encoder(model, threads, verify)), ENCODE_SCHEMA)
 
 
 def decoder(data: bytes):
@@ -301,7 +300,7 @@ def decoder(data: bytes):
 
 def decode(rows: DataFrame, model: bytes) -> DataFrame:
     """doc_id and text of encoded rows (doc_id, ids); null ids give an empty text."""
-    return rows.select("doc_id", "ids").mapInArrow(decoder(model), "doc_id bigint, text string")
+    return rows.select("doc_id", "ids").mapInArrow(tidied(decoder(model)), "doc_id bigint, text string")
 
 
 DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, parity boolean"
@@ -317,7 +316,7 @@ def digest_batches(batches):
 
 def encode_digest(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
     """``encode`` with a digest (ids as 32-bit little endian) in place of the ids."""
-    return encode(docs, model, threads).mapInArrow(digest_batches, DIGEST_SCHEMA)
+    return encode(docs, model, threads).mapInArrow(tidied(digest_batches), DIGEST_SCHEMA)
 
 
 def model_bytes(path: str) -> bytes:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import ALNUM, doc_chunks, materialise, mix, prefix_hash, signed, small_batches, split_words, text_buffers, trim
+from verbena.llm._common import ALNUM, doc_chunks, materialise, mix, prefix_hash, signed, small_batches, split_words, text_buffers, tidied
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_DOCS = 12_000
@@ -302,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     known, strong = np.zeros(0, np.uint64), np.zeros(0, bool)
     if toxic and clean:
-        counts = rows.mapInArrow(feature_counts, "feature bigint, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        counts = rows.mapInArrow(tidied(feature_counts), "feature bigint, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         # far more often in toxic rows than by chance; the strongest MAX_FEATURES of them
         share = toxic / (toxic + clean)
         kept = counts.where((F.col("toxic") >= 3) & (F.col("toxic") > 2 * share * (F.col("toxic") + F.col("clean"))))
@@ -313,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
         known = found["feature"].to_numpy(np.int64).view(np.uint64)
         strong = ((found["g"] > CUE_EVIDENCE) & (found["toxic"] > 0.6 * (found["toxic"] + found["clean"]))).to_numpy()
     model = ChainModel(len(known))
-    windows = materialise(rows.mapInArrow(training_windows(known), WINDOW_SCHEMA), "windows")
+    windows = materialise(rows.mapInArrow(tidied(training_windows(known)), WINDOW_SCHEMA), "windows")
     total = windows.count()
     if total > MAX_WINDOWS:
         windows = windows.where(F.col("part") < int((1 << 20) * MAX_WINDOWS / total))
@@ -324,7 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
         cue = np.r_[strong, False][features].any(axis=2)
         model.fit(features, (cue & (seen["toxic"].to_numpy() == 1)[:, None]).astype(np.int64), mask)
     shared = docs.sparkSession.sparkContext.broadcast((known, *model.state()))
-    calibrate(model, rows.mapInArrow(document_features(shared), "toxic int, most double, total double, several double").toPandas())
+    calibrate(model, rows.mapInArrow(tidied(document_features(shared)), "toxic int, most double, total double, several double").toPandas())
+    shared.destroy()
     return known, model
 
 
@@ -376,7 +377,6 @@ def tagger(shared, with_spans: bool):
                                 spans[i + d].append({"start": int(points[s]) - 1, "end": int(points[e - 1]), "probability": float(p)})
             extra = [pa.array(scores), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "score", "spans"])
-        trim()
 
     return tag
 
@@ -390,7 +390,7 @@ def tag_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, wit
     known, model = fit(rows, labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast((known, *model.state()))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(tagger(shared, with_spans), f"{fields}, {TAG_SCHEMA}")
+    return rows.mapInArrow(tidied(tagger(shared, with_spans)), f"{fields}, {TAG_SCHEMA}")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
