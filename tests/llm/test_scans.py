@@ -1,6 +1,7 @@
 """Decontamination, secrets, sharding, URL lists and tokens against plain versions."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 
 from verbena.llm.decontamination import build_index, covered, decontamination_report, search, without_contaminated
-from verbena.llm.secrets import ASSIGN, find_secrets, guess_cost, redact_secrets, scan, secret_digest
+from verbena.llm.secrets import ASSIGN, RANK, corpus_ranks, find_secrets, guess_cost, redact_secrets, scan, secret_digest
 from verbena.llm.sentencepiece import decode, encode, loaded, model_bytes, parse_model, rebuild
 from verbena.llm.sharding import hilbert_shards, hilbert_stages, shard_statistics
 from verbena.llm.url_filter import EXAMPLE_ENTRIES, judge_captures, validity_intervals
@@ -152,27 +153,28 @@ def test_words_that_only_hold_a_short_one():
     assert scan("pass_" * 100_000) == ([], [])
 
 
-def brute_cost(value):
+def brute_cost(value, ranks=RANK):
     """Every segmentation, priced piece by piece."""
     from functools import lru_cache
 
-    from verbena.llm.secrets import DATE, LOG, NEXT_KEY, RANK, alphabet
+    from verbena.llm.secrets import DATE, LOG, NEXT_KEY, alphabet
 
     low = value.lower()
     plain = low.translate(str.maketrans("4301$@57!", "aeolsasti"))
 
     def prices(j, i):
         out = []
-        for text, extra in ((low[j:i], 0.0), (plain[j:i], LOG(4))):
-            if i - j > 1 and text in RANK:
-                out.append(LOG(RANK[text] + 1) + extra + (LOG(2) if value[j:i] != low[j:i] else 0.0))
+        for text, extra in ((low[j:i], 0.0), (low[j:i][::-1], LOG(2)), (plain[j:i], LOG(4))):
+            if i - j > 1 and text in ranks:
+                out.append(LOG(ranks[text] + 1) + extra + (LOG(2) if value[j:i] != low[j:i] else 0.0))
         m = DATE.match(value, j)
         if m and m.end() == i:
             out.append(LOG(365 * 130) if i - j > 4 else LOG(130))
         if i - j >= 3 and len(set(low[j:i])) == 1:
             out.append(LOG(alphabet(value[j])) + LOG(i - j))
-        elif i - j >= 3 and all(p in NEXT_KEY for p in zip(low[j:i], low[j + 1 : i], strict=False)):
-            out.append(LOG(47) + LOG(i - j) + LOG(2))
+        steps = [NEXT_KEY.get(p) for p in zip(low[j:i], low[j + 1 : i], strict=False)]
+        if i - j >= 3 and None not in steps:
+            out.append(LOG(47) + LOG(i - j) + LOG(2) + LOG(5) * sum(a != b for a, b in itertools.pairwise(steps)))
         for p in (2, 3, 4):
             if i - j >= 2 * p and all(low[k] == low[k - p] for k in range(j + p, i)) and (i == len(value) or low[i] != low[i - p]):
                 out.append(p * LOG(alphabet(value)) + LOG((i - j) / p))
@@ -192,13 +194,38 @@ def brute_cost(value):
     return best(0, "")
 
 
-@pytest.mark.parametrize("value", ["password", "Passw0rd1999", "qwertyqwerty", "aaaaaaaa", "2021-03-04", "zxcvbnm123456", "kJ8#pQ2x", "monkeymonkey", "abcabcabc9"])
+VALUES = ["password", "Passw0rd1999", "qwertyqwerty", "aaaaaaaa", "2021-03-04", "zxcvbnm123456", "kJ8#pQ2x", "monkeymonkey", "abcabcabc9", "drowssap", "1qaz2wsx", "7896321", "x"]
+
+
+@pytest.mark.parametrize("value", VALUES)
 def test_guess_cost(value):
     cost, pieces = guess_cost(value)
-    assert cost <= brute_cost(value) + 0.31 and cost >= brute_cost(value) - 1e-9
+    assert cost == pytest.approx(brute_cost(value), abs=1e-9)
     assert sum(int(p.split(":")[1]) for p in pieces.split("+")) == len(value)
 
 
+def test_guess_cost_of_random_values():
+    r = random.Random(12)
+    ranks = dict(RANK) | {"thorn": 500, "harbour": 900}
+    for _ in range(150):
+        value = "".join(r.choice(["thorn", "Harbour", "xx", "12", "asdf", "lkj", "9", "Q", "!", "1999", "abab"]) for _ in range(r.randint(1, 4)))
+        assert guess_cost(value, ranks)[0] == pytest.approx(brute_cost(value, ranks), abs=1e-9)
+
+
+def test_letters_that_grow_in_lower_case():
+    assert guess_cost("\u0130stanbul\u0130")[0] > 8
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    rows = [(k, "thranduil nornwig " * 50) for k in range(5)] + [(9, "the password is thranduilnornwig and pwd=thranduil7k$Qz!")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ranks = corpus_ranks(df)
+    assert ranks["password"] == 1 and ranks["thranduil"] == len(RANK) + 1 and ranks["nornwig"] == len(RANK) + 2
+    found = {r["doc_id"]: [x["pieces"] for x in r["guess"]] for r in find_secrets(df).collect()}
+    assert [p.split("+")[0] for p in found[9]] == ["word:9"]
+    assert scan(rows[-1][1])[1][0][2] > 8  # without the corpus the first value is a secret too
+
+
 def test_guess_cost_orders_values():
     assert guess_cost("password")[0] < 2 < guess_cost("aaaaaaaaaaaa")[0] < 8 < guess_cost("xK9#mQ2$vL7!")[0]
 
