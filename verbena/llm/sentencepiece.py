@@ -161,15 +161,15 @@ class WordEncoder:
     """Encodes texts through their distinct words, which are encoded once and kept.
 
     New words are joined by a separator and encoded as a multithreaded batch; with
-    ``verify`` the same strings go through the original library and back through the
-    pieces' bytes, so every word form that occurs is compared."""
+    ``verify`` the same strings go through the original library, and the ids back through the
+    library's decoder, so every word form that occurs is compared both ways. No token crosses
+    the start of a word, so what holds for the words of a text holds for the text."""
 
     def __init__(self, data: bytes, threads: int, verify: bool):
         from tokenizers import pre_tokenizers
 
         self.tokenizer, self.threads, self.verify = rebuild(data, 0), threads, verify
         self.original = original(data) if verify else None
-        self.surface = [bytes([int(p[3:5], 16)]) if t == BYTE else p.encode() for p, _, t in parse_model(data)["pieces"]]
         self.tokenizer.normalizer = None
         self.tokenizer.pre_tokenizer = pre_tokenizers.Split(SEPARATOR, "isolated")
         (self.cut,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
@@ -186,8 +186,10 @@ class WordEncoder:
         groups = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
         joined = [SEPARATOR.join(g) for g in groups]
         rows, sizes, good = [], [], []
-        for group, text, got in zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.asarray(got.ids, np.int32)
+        encoded = [x.ids for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        spelled = self.tokenizer.decode_batch(encoded, skip_special_tokens=False) if self.verify else joined
+        for group, text, got, back in zip(groups, joined, encoded, spelled, strict=True):
+            ids = np.asarray(got, np.int32)
             cuts = np.flatnonzero(ids == self.cut)
             rows.append(np.delete(ids, cuts))
             sizes.append(np.diff(np.r_[-1, cuts, len(ids)]) - 1)
@@ -196,7 +198,7 @@ class WordEncoder:
                 blank = text.replace(MARK, " ")
                 # the original puts a marker in front, so the separator goes first
                 theirs = np.asarray(self.original.encode(SEPARATOR + blank, num_threads=self.threads), np.int32)[2:]
-                if not np.array_equal(ids, theirs) or self.spelled(got.ids) != text:
+                if not np.array_equal(ids, theirs) or back != blank[1:]:
                     good[-1][:] = [self.agrees(w, r) for w, r in zip(group, np.split(rows[-1], np.cumsum(sizes[-1])[:-1]), strict=True)]
         for w in odd:
             got = [i for k, part in enumerate(w.split(SEPARATOR)) for i in [self.cut] * (k > 0) + self.tokenizer.encode(part, add_special_tokens=False).ids]
@@ -210,12 +212,9 @@ class WordEncoder:
         self.good = np.concatenate([self.good, *good])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def spelled(self, ids: list[int]) -> str:
-        return b"".join(map(self.surface.__getitem__, ids)).decode(errors="replace")
-
     def agrees(self, word: str, ids: np.ndarray) -> bool:
         blank = word[1:].replace(MARK, " ")
-        return self.original.encode(blank) == ids.tolist() and self.spelled(ids.tolist()) == word
+        return self.original.encode(blank) == ids.tolist() and self.tokenizer.decode(ids.tolist(), skip_special_tokens=False) == blank
 
     def encode(self, texts: list[str]):
         """(ids of all texts end to end, tokens per text, texts whose words all agree)."""
@@ -248,7 +247,9 @@ class TextEncoder:
         rows = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         good = np.ones(len(texts), bool)
         if self.original:
-            good = np.array([a == b for a, b in zip(rows, self.original.encode(texts, num_threads=self.threads), strict=True)], bool)
+            theirs, back = self.original.encode(texts, num_threads=self.threads), self.tokenizer.decode_batch(rows, skip_special_tokens=False)
+            normal = [self.original.decode(x) for x in theirs]
+            good = np.array([a == b and x == y for a, b, x, y in zip(rows, theirs, back, normal, strict=True)], bool)
         return np.array([i for r in rows for i in r], np.int32), np.array([len(r) for r in rows], np.int64), good
 
 
@@ -278,14 +279,18 @@ def encoder(data: bytes, threads: int, verify: bool):
 
 def encode(docs: DataFrame, model: bytes, threads: int = 2, verify: bool = True) -> DataFrame:
     """doc_id, ids, n_tokens and parity of every whole text; parity: the original library gives
-    the same ids, and decoding them gives the normalised text back (null unless ``verify``).
+    the same ids, and the tokenizers decoder makes the normalised text of them (null unless
+    ``verify``).
 
     ``model`` is the content of the model file, read once on the driver (files of this kind
     are a few megabytes at most). Null and empty texts have no tokens; rows are independent,
     so repeats, ties and skew do not matter; other columns are ignored.
     """
-    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidied(encoder(model, threads, verify)), ENCODE_SCHEMA)
+    return read_texts(docs).mapInArrow(tidied(encoder(model, threads, verify)), ENCODE_SCHEMA)
+
+
+def read_texts(docs: DataFrame) -> DataFrame:
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def decoder(data: bytes):
@@ -316,7 +321,8 @@ def digest_batches(batches):
 
 def encode_digest(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
     """``encode`` with a digest (ids as 32-bit little endian) in place of the ids."""
-    return encode(docs, model, threads).mapInArrow(tidied(digest_batches), DIGEST_SCHEMA)
+    run = encoder(model, threads, True)
+    return read_texts(docs).mapInArrow(tidied(lambda batches: digest_batches(run(batches))), DIGEST_SCHEMA)
 
 
 def model_bytes(path: str) -> bytes:
