@@ -352,10 +352,13 @@ class Context:
     def group_window(self):
         return Window.partitionBy(*(self.partition() or [F.lit(0)])) if self.frame.groups else Window.partitionBy()
 
-    def order_keys(self) -> list[tuple[Column, bool]]:
-        """The keys of the row order (or of the one asked for) and whether they descend."""
+    def no_stream(self) -> None:
         if self.df.isStreaming:
             raise OrderRequiredError("ranking, offset and cumulative functions need all rows in order; a stream has none")
+
+    def order_keys(self) -> list[tuple[Column, bool]]:
+        """The keys of the row order (or of the one asked for) and whether they descend."""
+        self.no_stream()
         if self.explicit_order is not None:
             return [key_of(self, k) for k in self.explicit_order]
         self.frame = self.frame.ordered()

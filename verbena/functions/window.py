@@ -11,6 +11,7 @@ from verbena.frame import Context, Frame, Val
 
 def rank_key(ctx: Context, x) -> tuple[Column, bool]:
     """What is ranked, and whether from the greatest."""
+    ctx.no_stream()
     down = isinstance(x, Call) and x.name == "desc"
     value = ctx.row(x.args[0] if down else x)
     return value, down
@@ -72,8 +73,7 @@ def ranking(name: str):
             value, down = row_order(ctx), False
         else:
             value, down = rank_key(ctx, x)
-        whole = not ctx.frame.groups and not ctx.df.isStreaming
-        out = RANKS[name]((table_ranks if whole else grouped_ranks)(ctx, value, down, na_last))
+        out = RANKS[name]((grouped_ranks if ctx.frame.groups else table_ranks)(ctx, value, down, na_last))
         return Val(F.when(value.isNotNull(), out) if na_last == "keep" else out, "row", True)
 
     lower.__doc__ = f"{name} of the values inside the group; missing ones by ``na_last``."
