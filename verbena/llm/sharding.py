@@ -100,17 +100,18 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("
     apart (law ``rows``): doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, law,
     shard, slot (position in the shard), grown_shard (null), hilbert.
 
-    Ties on the curve are broken by doc_id and checksum; repeated rows get slots of their
-    own; a null text has no bytes; null dimensions sort first; with fewer rows than shards
+    Ties on the curve are broken by doc_id, checksum and the order of reading; repeated rows get
+    slots of their own; a null text has no bytes; null dimensions sort first; with fewer rows than shards
     some shards are empty; an empty table gives no rows. The whole curve order is one range
-    partitioned sort on (index, doc_id), so that a hot source or a group of copies is cut
-    like anything else.
+    partitioned sort whose keys no two rows share, so that a hot source, a group of copies or rows
+    without doc_id are cut like anything else.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", *[F.col(d).alias(f"dim{k}") for k, d in enumerate(dims)], (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = materialise(rows, "shard-rows")  # the texts are read once
+    # the texts are read once; with a number of its own every row can be dealt anywhere
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     curve = with_hilbert(rows, [f"dim{k}" for k in range(len(dims))], bits)
-    placed = ranked(curve.select("doc_id", "size", "text_crc32", "hilbert"), ["hilbert", "doc_id", "text_crc32"], "curve")
+    placed = ranked(curve.select("doc_id", "size", "text_crc32", "row", "hilbert"), ["hilbert", "doc_id", "text_crc32", "row"], "curve")
     total = rows.count()
     shard = F.expr(f"(position * {shards}) div {max(total, 1)}")
     start = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
