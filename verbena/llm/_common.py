@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import sys
 import tempfile
 import uuid
 
@@ -21,7 +22,6 @@ MASK64 = (1 << 64) - 1
 #: Bases of two independent polynomial hashes; odd, so that they have inverses modulo 2**64.
 POLY = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
-_powers: dict[int, list[np.ndarray]] = {}
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -98,6 +98,12 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def process_store(name: str) -> dict:
+    """A dictionary for the life of a process. Functions come to a worker by value, anew with every
+    task, and would bring the globals they read along; this one stays where it is."""
+    return sys.__dict__.setdefault("_verbena_held", {}).setdefault(name, {})
+
+
 # ---------------------------------------------------------------- text buffers
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; null counts as empty."""
@@ -127,15 +133,16 @@ def doc_chunks(offsets: np.ndarray, limit: int):
 
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """POLY[which]**i and its inverse for i < n, kept for the next batch."""
-    if which not in _powers or len(_powers[which][0]) < n:
+    store = process_store("powers")
+    if which not in store or len(store[which][0]) < n:
         size = max(n, 1 << 16)
         out = []
         for base in (POLY[which], pow(POLY[which], -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        _powers[which] = out
-    return _powers[which][0][:n], _powers[which][1][:n]
+        store[which] = out
+    return store[which][0][:n], store[which][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

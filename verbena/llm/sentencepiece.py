@@ -7,7 +7,6 @@ encoded by the library's threads; parity with the original library is verified.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import re
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import small_batches, tidied
+from verbena.llm._common import process_store, small_batches, tidied
 
 MARK = "▁"
 #: Piece types of the model file.
@@ -118,16 +117,24 @@ def rebuild(data: bytes, cache: int = 10_000):
     return tokenizer
 
 
-@functools.lru_cache(maxsize=2)
+def once(name: str, key, make):
+    """What ``make`` gives, kept for the last two keys in this process."""
+    store = process_store(name)
+    if key not in store:
+        while len(store) > 1:
+            store.pop(next(iter(store)))
+        store[key] = make()
+    return store[key]
+
+
 def loaded(data: bytes):
-    return rebuild(data)
+    return once("rebuilt", data, lambda: rebuild(data))
 
 
-@functools.lru_cache(maxsize=2)
 def original(data: bytes):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_proto=data)
+    return once("original", data, lambda: sentencepiece.SentencePieceProcessor(model_proto=data))
 
 
 def text_groups(texts: list[str], limit: int = BATCH_CHARS):
@@ -253,9 +260,8 @@ class TextEncoder:
         return np.array([i for r in rows for i in r], np.int32), np.array([len(r) for r in rows], np.int64), good
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_for(data: bytes, threads: int, verify: bool):
-    return (WordEncoder if separable(parse_model(data)) else TextEncoder)(data, threads, verify)
+    return once("encoders", (data, threads, verify), lambda: (WordEncoder if separable(parse_model(data)) else TextEncoder)(data, threads, verify))
 
 
 ENCODE_SCHEMA = "doc_id bigint, ids array<int>, n_tokens bigint, parity boolean"
