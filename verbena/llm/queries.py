@@ -85,5 +85,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION,
     "op5_jaccard_join": sql.JACCARD,
     "op6_url_filter": sql.URL_FILTER,
+    "op9_repeats": sql.REPEATS,
     "op10_embeddings": sql.EMBEDDINGS,
 }

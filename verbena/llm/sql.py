@@ -30,6 +30,19 @@ reach as (select a as x, b as y from edge union select x, b from reach join edge
 select doc.doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc.doc_id, coalesce(low, doc.doc_id)) as component_id
 from doc left join size using (doc_id) left join (select x as doc_id, min(y) as low from reach group by 1) using (doc_id)"""
 
+REPEATS = """
+with doc as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+win as (select r, i, md5(substr(h, 2 * i - 1, 800)) as g from doc, unnest(range(1, n - 398)) t(i) where n >= 400),
+twice as (select g from win group by 1 having count(*) > 1),
+mark as (select r, i, case when i <= lag(i) over (partition by r order by i) + 400 then 0 else 1 end as fresh from win semi join twice using (g)),
+span as (select r, min(i) as s, max(i) + 399 as e from (select *, sum(fresh) over (partition by r order by i) as k from mark) group by r, k),
+gap as (select r, coalesce(lag(e) over (partition by r order by s), 0) + 1 as a, s - 1 as b from span union all select r, max(e) + 1, null from span group by 1),
+kept as (select r, string_agg(substr(h, 2 * a - 1, 2 * (coalesce(b, n) - a + 1)), '' order by a) as text from gap join doc using (r) where a <= coalesce(b, n) group by 1),
+told as (select r, sum(e - s + 1)::bigint as n_removed, count(*) as n_spans from span group by 1)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when n_spans is null then h else coalesce(kept.text, '') end)) as kept_sha256
+from doc left join told using (r) left join kept using (r)"""
+
 _ENTRIES = ", ".join(f"('{k}', date '{d}', '{a}')" for k, d, a in EXAMPLE_ENTRIES)
 _RANK = "case action when 'block' then 3 when 'allow' then 2 else 1 end"
 
