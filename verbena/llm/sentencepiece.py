@@ -8,6 +8,7 @@ encoded by the library's threads; parity with the original library is verified.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 import struct
@@ -151,7 +152,7 @@ def text_groups(texts: list[str], limit: int = BATCH_CHARS):
 #: A control character that separates words handed over together; it is a token of its own.
 SEPARATOR = "\x01"
 #: Words whose ids a worker keeps; then it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 450_000
 #: Words handed to the tokenizer as one string.
 JOINED_WORDS = 2_000
 
@@ -164,6 +165,19 @@ def separable(model: dict) -> bool:
     return bool(not inner and not model["charsmap"] and not model["squeeze"] and model["dummy_prefix"] and model["byte_fallback"] and not any(t == USER for *_, t in pieces))
 
 
+class Numbers(dict):
+    """Numbers words as they are looked up; ``fresh`` has the new ones in order."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class WordEncoder:
     """Encodes texts through their distinct words, which are encoded once and kept.
 
@@ -184,22 +198,41 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat, self.sizes, self.good = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
 
+    def groups(self, words: list[str]):
+        """Runs of words that can be joined; one that holds the separator is alone."""
+        held: list[str] = []
+        for w in words:
+            if SEPARATOR in w:
+                if held:
+                    yield held
+                yield [w]
+                held = []
+            else:
+                held.append(w)
+                if len(held) == JOINED_WORDS:
+                    yield held
+                    held = []
+        if held:
+            yield held
+
     def learn(self, words: list[str]) -> None:
-        odd = [w for w in words if SEPARATOR in w]
-        plain = [w for w in words if SEPARATOR not in w]
-        groups = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
+        groups = list(self.groups(words))
         joined = [SEPARATOR.join(g) for g in groups]
-        rows, sizes, good = [], [], []
         encoded = [x.ids for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         spelled = self.tokenizer.decode_batch(encoded, skip_special_tokens=False) if self.verify else joined
+        rows, sizes, good = [], [], []
         for group, text, got, back in zip(groups, joined, encoded, spelled, strict=True):
             ids = np.asarray(got, np.int32)
-            cuts = np.flatnonzero(ids == self.cut)
-            rows.append(np.delete(ids, cuts))
-            sizes.append(np.diff(np.r_[-1, cuts, len(ids)]) - 1)
+            if len(group) == 1:
+                rows.append(ids)
+                sizes.append(np.array([len(ids)]))
+            else:
+                cuts = np.flatnonzero(ids == self.cut)
+                rows.append(np.delete(ids, cuts))
+                sizes.append(np.diff(np.r_[-1, cuts, len(ids)]) - 1)
             good.append(np.ones(len(group), bool))
             if self.verify:
                 blank = text.replace(MARK, " ")
@@ -207,13 +240,6 @@ class WordEncoder:
                 theirs = np.asarray(self.original.encode(SEPARATOR + blank, num_threads=self.threads), np.int32)[2:]
                 if not np.array_equal(ids, theirs) or back != blank[1:]:
                     good[-1][:] = [self.agrees(w, r) for w, r in zip(group, np.split(rows[-1], np.cumsum(sizes[-1])[:-1]), strict=True)]
-        for w in odd:
-            got = [i for k, part in enumerate(w.split(SEPARATOR)) for i in [self.cut] * (k > 0) + self.tokenizer.encode(part, add_special_tokens=False).ids]
-            rows.append(np.asarray(got, np.int32))
-            sizes.append(np.array([len(got)]))
-            good.append(np.array([not self.verify or self.agrees(w, rows[-1])]))
-        start = len(self.known)
-        self.known.update(zip(plain + odd, range(start, start + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, *rows])
         self.sizes = np.concatenate([self.sizes, *sizes]).astype(np.int64)
         self.good = np.concatenate([self.good, *good])
@@ -228,13 +254,11 @@ class WordEncoder:
         if len(self.known) > KEPT_WORDS:
             self.clear()
         words = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        look = self.known.get
-        at = [k for ws in words for k in map(look, ws)]
-        if None in at:
-            self.learn(list({w for ws in words for w, k in zip(ws, map(look, ws), strict=True) if k is None}))
-            at = [k for ws in words for k in map(look, ws)]
-        at = np.array(at, np.int64)
         ends = np.cumsum([len(ws) for ws in words])
+        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if self.known.fresh:
+            self.learn(self.known.fresh)
+            self.known.fresh = []
         sizes, starts = self.sizes[at], self.starts[at] if len(at) else at
         total = np.r_[0, np.cumsum(sizes)]
         ids = self.flat[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
