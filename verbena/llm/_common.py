@@ -61,17 +61,19 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Rows of an Arrow batch: whole texts are long, and a worker holds a few batches at a time.
+#: Rows and bytes of an Arrow batch: whole texts are long, and a worker holds a few batches at a time.
 BATCH_ROWS = 2_000
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session gives Python workers batches of at most BATCH_ROWS rows from now on
-    (unless the session sets fewer)."""
+    """``df``, whose session gives Python workers batches of at most BATCH_ROWS rows and about
+    BATCH_BYTES bytes (a longer row is alone) from now on, unless the session sets fewer."""
     conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (conf.get(key, None) or "").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
     return df
 
 

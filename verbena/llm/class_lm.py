@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import LOWER, NONSPACE, discard, doc_chunks, materialise, signed, split_words, text_buffers, tidied
+from verbena.llm._common import LOWER, NONSPACE, discard, doc_chunks, materialise, signed, small_batches, split_words, text_buffers, tidied
 
 #: Words that sequential exchange moves first, the classes it moves them between, and its sweeps.
 CLUSTERED, CLASSES, SWEEPS = 1_000, 48, 6
@@ -496,7 +496,7 @@ class Trained:
 def training_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text and whether the row is learnt from."""
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), train.alias("train"))
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), train.alias("train"))
 
 
 def train(rows: DataFrame) -> Trained:

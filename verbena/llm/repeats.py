@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import discard, doc_chunks, materialise, mix, prefix_hash, signed, text_buffers, tidied
+from verbena.llm._common import discard, doc_chunks, materialise, mix, prefix_hash, signed, small_batches, text_buffers, tidied
 
 LENGTH = 400
 #: Bytes of an anchor; a shorter string cannot be one.
@@ -384,7 +384,7 @@ def merge_spans(spans) -> list[tuple[int, int]]:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_surroundings: int = MAX_SURROUNDINGS) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, ranges): documents as doc_id, doc_print, text; for each document with
     repeats its ranges, possibly overlapping, as ``spans``."""
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("doc_print"), "text")
+    keyed = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("doc_print"), "text")
     found = materialise(keyed.mapInArrow(tidied(anchor_rows(length, gram)), ANCHOR_SCHEMA), "anchors")
     place = F.struct("doc_id", "doc_print", "pos", "before", "behind")
     around = materialise(found.groupBy("gram", "around").agg(F.count("*").alias("times"), F.min(place).alias("place")), "around")
