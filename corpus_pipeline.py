@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each result is written as Parquet and read again."""
+    """All stages on ``documents``; each result is written as Parquet and read again.
+
+    Null and empty texts pass every stage and have no tokens; rows without doc_id are never copies;
+    of equal rows that share a doc_id all stay or all go; extra columns go with their rows until
+    the last stage; empty tables give no rows, and without labels or items nothing is dropped.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
