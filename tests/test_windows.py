@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from verbena.all import arrange, cumsum, desc, distinct, f, fill, lag, lead, min_rank, mutate, row_number, slice_sample, transmute
+from verbena.all import arrange, cumsum, desc, distinct, f, fill, group_by, if_else, lag, lead, min_rank, mutate, row_number, slice_sample, transmute
 from verbena.frame import Frame
 
 
@@ -78,3 +78,14 @@ def test_samples_are_repeatable(spark, table):
     assert len(draw(n=50, replace=True)) == 50
     assert len(set(draw(n=9000, replace=True))) < 7000
     assert (frame >> mutate(z=1) >> slice_sample(n=7)).df.count() == 7
+
+
+def test_weighted_draws(spark, table):
+    frame = Frame(spark.read.parquet(table[0])) >> mutate(w=if_else(f.v < 10, 100.0, if_else(f.v < 500, 1.0, 0.0)))
+    drawn = (frame >> slice_sample(n=4000, weight_by=f.w, replace=True, random_state=2)).df.collect()
+    heavy = sum(r["v"] < 10 for r in drawn) / 4000
+    rows = table[1]
+    share = 100 * sum(x[3] < 10 for x in rows) / (100 * sum(x[3] < 10 for x in rows) + sum(10 <= x[3] < 500 for x in rows))
+    assert len(drawn) == 4000 and abs(heavy - share) < 0.04 and all(r["v"] < 500 for r in drawn)
+    per = (frame >> group_by(f.s) >> slice_sample(n=30, weight_by=f.w, replace=True, random_state=2)).df.groupBy("s").count().collect()
+    assert sorted((r["s"], r["count"]) for r in per) == [("p", 30), ("q", 30), ("r", 30)]

@@ -264,17 +264,24 @@ def slice_sample(_data, n=1, prop=None, weight_by=None, replace=False, random_st
         out = frame.df.join(draws, same).select(*[quoted(c) for c in own.df.columns if c != "__at0"])
         return own.with_(out)
     frame = ctx.frame.with_(ctx.frame.df.withColumn("__w", ctx.row(weight_by).cast("double")))
-    window = Window.partitionBy(*map(quoted, _data.groups)).orderBy(*frame.sort_columns()) if _data.groups else Window.orderBy(*frame.sort_columns())
-    frame = frame.with_(frame.df.withColumn("__to", F.sum("__w").over(window)))
-    groups = frame.df.groupBy(*map(quoted, _data.groups)).agg(F.sum("__w").alias("__all"), F.count("*").alias("__size"))
+    # every draw is a point on the line of the weights; the line is cut into cells as long as the
+    # mean weight, so that points and rows meet by cell
+    ctx = Context(frame)
+    at = ctx.hoist(ctx.running_value(F.sum, quoted("__w"), lambda a, b: F.coalesce(a, F.lit(0.0)) + b))
+    frame = ctx.frame.with_(ctx.frame.df.withColumn("__to", at))
+    groups = frame.df.groupBy(*map(quoted, _data.groups)).agg(F.sum("__w").alias("__all"), F.count("*").alias("__size")).where("__all > 0")
     total = F.lit(n) if prop is None else F.floor(F.col("__size") * prop)
-    draws = groups.withColumn("__i", F.explode(F.sequence(F.lit(1), total.cast("int")))).where(total > 0).withColumn("__u", F.rand(seed) * F.col("__all"))
-    draws = draws.select(*[quoted(g).alias(f"__of_{g}") for g in _data.groups], "__i", "__u")
-    same = F.expr("__u <= __to and __u > __to - __w")
+    of = [quoted(g).alias(f"__of_{g}") for g in _data.groups]
+    same = F.lit(True)
     for g in _data.groups:
         same = same & quoted(g).eqNullSafe(quoted(f"__of_{g}"))
-    out = frame.df.join(draws, same).select(*map(quoted, own.df.columns))
-    return own.with_(out)
+    step = F.col("__all") / F.col("__size")
+    draws = groups.where(total > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), total.cast("int")))).withColumn("__u", F.rand(seed) * F.col("__all"))
+    draws = draws.select(*of, "__i", "__u", F.floor(F.col("__u") / step).alias("__cell"))
+    rows = frame.df.where("__w > 0").join(groups.select(*of, step.alias("__step")), same)
+    rows = rows.drop(*[f"__of_{g}" for g in _data.groups]).withColumn("__cell", F.explode(F.sequence(F.floor((F.col("__to") - F.col("__w")) / F.col("__step")), F.floor(F.col("__to") / F.col("__step")))))
+    met = rows.alias("r").join(draws.alias("d"), same & (F.col("r.__cell") == F.col("d.__cell")) & F.expr("__u < __to and __u >= __to - __w"))
+    return own.with_(met.select(*[F.col(f"r.`{c}`") for c in own.df.columns]))
 
 
 @verb(plain=1)
