@@ -114,9 +114,11 @@ def lgamma_column(x: Column) -> Column:
         return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(total)
 
     x = x.cast("double")
-    mirrored = F.lit(math.log(math.pi)) - F.log(F.abs(F.sin(F.lit(math.pi) * x))) - right(1 - x)
+    # the series stands in the expression once: of the mirrored argument left of one half
+    value = right(F.when(x < 0.5, 1 - x).otherwise(x))
     pole = (x <= 0) & (x == F.floor(x))
-    return F.when(pole, F.lit(INF)).when(x.isin(1.0, 2.0), F.lit(0.0)).when(x < 0.5, mirrored).otherwise(right(F.when(x >= 0.5, x).otherwise(F.lit(1.0))))
+    mirror = F.when(x < 0.5, F.lit(math.log(math.pi)) - F.log(F.abs(F.sin(F.lit(math.pi) * x))))
+    return F.when(pole, F.lit(INF)).when(x.isin(1.0, 2.0), F.lit(0.0)).otherwise(F.coalesce(mirror - value, value))
 
 
 def gamma_column(x: Column) -> Column:
