@@ -488,7 +488,8 @@ class Trained:
     """What training gives: ``words`` (word, class, c) of the whole training part, distributed;
     its most frequent words with their classes as arrays; tokens and types of every class."""
 
-    def __init__(self, words, vocabulary, classes, learnt, k, mass, tokens, types, ends):
+    def __init__(self, words, vocabulary, classes, learnt, k, mass, tokens, types, ends, scratch=()):
+        self.scratch = scratch  # the tables that ``words`` reads
         self.words, self.vocabulary, self.classes, self.learnt, self.k = words, vocabulary, classes, learnt, k
         self.mass, self.tokens, self.types, self.ends = mass, tokens, types, ends
 
@@ -537,7 +538,8 @@ def train(rows: DataFrame) -> Trained:
     classes = np.zeros(len(vocabulary.words), np.uint16)
     classes[vocabulary.lookup(found["word"].to_numpy(np.int64).view(np.uint64))] = found["class"].to_numpy()
     classes[vocabulary.lookup(seeds)] = top_class
-    return Trained(words, vocabulary, classes, learnt, k, class_mass(k, sums), tokens, types, ends)
+    discard(counts)
+    return Trained(words, vocabulary, classes, learnt, k, class_mass(k, sums), tokens, types, ends, (chosen,))
 
 
 def sequenced(rows: DataFrame, trained: Trained) -> DataFrame:
@@ -564,6 +566,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     rows = training_rows(docs)
     trained = train(rows)
     filled = sequenced(rows, trained)
+    discard(*trained.scratch)
     model = docs.sparkSession.sparkContext.broadcast((class_bigrams(filled, trained.k), trained.learnt, trained.mass))
     divisor = math.log10(trained.tokens + trained.types + 1)
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import ALNUM, doc_chunks, materialise, mix, prefix_hash, signed, small_batches, split_words, text_buffers, tidied
+from verbena.llm._common import ALNUM, discard, doc_chunks, materialise, mix, prefix_hash, signed, small_batches, split_words, text_buffers, tidied
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_DOCS = 12_000
@@ -315,9 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
     model = ChainModel(len(known))
     windows = materialise(rows.mapInArrow(tidied(training_windows(known)), WINDOW_SCHEMA), "windows")
     total = windows.count()
-    if total > MAX_WINDOWS:
-        windows = windows.where(F.col("part") < int((1 << 20) * MAX_WINDOWS / total))
-    seen = windows.toPandas()
+    seen = windows.where(F.col("part") < int((1 << 20) * min(1.0, MAX_WINDOWS / max(total, 1)))).toPandas()
     if len(seen):
         features = np.stack(seen["features"].to_numpy()).reshape(len(seen), SPAN, 1 + len(STARTS))
         mask = np.arange(SPAN) < seen["places"].to_numpy()[:, None]
@@ -326,6 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
     shared = docs.sparkSession.sparkContext.broadcast((known, *model.state()))
     calibrate(model, rows.mapInArrow(tidied(document_features(shared)), "toxic int, most double, total double, several double").toPandas())
     shared.destroy()
+    discard(rows, windows)
     return known, model
 
 
