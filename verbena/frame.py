@@ -45,9 +45,15 @@ def session() -> SparkSession:
 class Frame:
     """An immutable frame. ``order``: (column, descending) pairs that give the row order."""
 
-    def __init__(self, df: DataFrame, groups=(), rowwise: bool = False, order=(), drop: bool = True, ranges=None):
+    def __init__(self, df: DataFrame, groups=(), rowwise: bool = False, order=(), drop: bool = True, known=None, base=None, parts=None):
         self.df, self.groups, self.rowwise, self.order, self.drop = df, list(groups), rowwise, list(order), drop
-        self.ranges = dict(ranges or {})  # of orders already cut into ranges: the column with their numbers
+        #: What a verb has computed on the way: a key -> names of hidden columns (or None).
+        self.known: dict[str, tuple[str, ...] | None] = dict(known or {})
+        #: A plan of the same rows from which ``df`` only differs by added columns: sums over all rows
+        #: are taken from it, so that the columns added before are not computed again for them.
+        self.base: DataFrame | None = base
+        #: The expressions of range numbers, by the same keys.
+        self.parts: dict[str, Column] = dict(parts or {})
 
     # ------------------------------------------------------------ structure
     @property
@@ -66,10 +72,10 @@ class Frame:
         return self.df.schema[name].dataType
 
     def with_(self, df: DataFrame | None = None, **changes) -> Frame:
-        state = {"groups": self.groups, "rowwise": self.rowwise, "order": self.order, "drop": self.drop, "ranges": self.ranges if df is None else {}} | changes
+        state = {"groups": self.groups, "rowwise": self.rowwise, "order": self.order, "drop": self.drop} | ({"known": self.known, "base": self.base, "parts": self.parts} if df is None else {}) | changes
         df = self.df if df is None else df
         have = set(df.columns)
-        state["ranges"] = {k: c for k, c in state["ranges"].items() if c is None or c in have}
+        state["known"] = {k: c for k, c in state.get("known", {}).items() if c is None or have.issuperset(c)}
         state["groups"] = [g for g in state["groups"] if g in have]
         if any(o not in have for o, _ in state["order"]):
             state["order"] = []
@@ -90,6 +96,18 @@ class Frame:
         keys = [quoted(x.name) for x in self.df.schema if not has_map(x.dataType)] or [F.lit(0)]
         return self.with_(self.df.withColumn(CONTENT, F.xxhash64(*keys)), order=[(CONTENT, False)])
 
+    def added(self, df: DataFrame, **known) -> Frame:
+        """The same rows with more columns."""
+        return self.with_(df, known=self.known | known, base=self.df if self.base is None else self.base, parts=self.parts)
+
+    def source(self, *columns: Column) -> DataFrame:
+        """The plan from which these columns can be computed with the least of what was added."""
+        if self.base is None or self.base is self.df:
+            return self.df
+        read = self.df.select(*columns)._jdf.queryExecution().analyzed().references().mkString("\n")
+        names = {re.sub(r"#\d+L?$", "", x) for x in read.split("\n") if x}
+        return self.base if names <= set(self.base.columns) else self.df
+
     def sort_columns(self, reverse: bool = False) -> list[Column]:
         return [(quoted(o).desc_nulls_last() if d != reverse else quoted(o).asc_nulls_last()) for o, d in self.order]
 
@@ -110,7 +128,7 @@ class Frame:
         part = range_number(own.df, keys)
         if not self.order and own.order == [(ROW, False)]:  # just numbered, without gaps
             place = quoted(ROW).bitwiseAND(F.lit((1 << 33) - 1))
-            counts = own.df.groupBy(part.alias("__pid")).agg(F.count("*").alias("__n"))
+            counts = own.source(part).groupBy(part.alias("__pid")).agg(F.count("*").alias("__n"))
             starts = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__start"))
             parts = own.df.withColumn("__pid", part).join(F.broadcast(starts), "__pid")
             out = parts.select(*[quoted(c) for c in own.df.columns if c != name], (F.col("__start") + place).alias(name))
@@ -120,7 +138,7 @@ class Frame:
         parts = parts.withColumn(name, (F.row_number().over(inside.orderBy(*own.sort_columns())) - 1).cast("bigint"))
         if part is not None:
             # counted from the same deterministic ranges, in a branch that reads the keys alone
-            counts = own.df.select(part.alias("__pid")).groupBy("__pid").agg(F.count("*").alias("__n"))
+            counts = own.source(part).select(part.alias("__pid")).groupBy("__pid").agg(F.count("*").alias("__n"))
             starts = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__start"))
             parts = parts.join(F.broadcast(starts), "__pid").withColumn(name, F.col("__start") + quoted(name))
         columns = [c for c in own.df.columns if c != name]
@@ -373,85 +391,102 @@ class Context:
     def running(self):
         return self.order_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def range_column(self) -> Column | None:
-        """Without groups: the number of the range of the order in which each row lies, a column
-        of the frame; None with groups, or where one range is enough."""
+    def range_column(self) -> tuple[Column, Column] | None:
+        """Without groups: (column, expression) of the number of the range of the order in which each
+        row lies; None with groups, or where one range is enough."""
         if self.frame.groups or self.frame.rowwise:
             return None
         keys = self.order_keys()
-        known = str([(str(k), d) for k, d in keys])
-        if known not in self.frame.ranges:
-            part = range_number(self.df, keys)
-            name = None if part is None else self.hoist(part)
-            column = None if name is None else self.frame.df.columns[-1]
-            self.frame = self.frame.with_(ranges=self.frame.ranges | {known: column})
-        name = self.frame.ranges[known]
-        return None if name is None else quoted(name)
-
-    def inside(self, part: Column):
+        mark = f"range of {[(str(k), d) for k, d in keys]}"
+        if mark not in self.frame.known:
+            part = range_number(self.frame.source(*[k for k, _ in keys]), keys)
+            name = None if part is None else (self.fresh(),)
+            df = self.df if part is None else self.df.withColumn(name[0], part)
+            self.frame = self.frame.added(df, **{mark: name})
+            if part is not None:
+                self.frame.parts[mark] = part
+        if self.frame.known[mark] is None:
+            return None
+        column = quoted(self.frame.known[mark][0])
+        return column, self.frame.parts.get(mark, column)
+
+    def inside(self, part: Column, back: bool = False):
         """The window of a range, in order."""
-        return Window.partitionBy(part).orderBy(*self.order_columns())
-
-    def carried(self, part: Column, column: Column, merge, back: bool = False) -> Column:
-        """An aggregate of all ranges before each row's own (behind it, with ``back``):
-        ``merge(x, over)`` makes one of the aggregates of the ranges. One row for each range is
-        broadcast."""
-        name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
-        each = self.df.select(part.alias("__pid"), "*").groupBy("__pid").agg(column.alias("__x"))
-        order = F.col("__pid").desc() if back else F.col("__pid").asc()
-        ahead = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return Window.partitionBy(part).orderBy(*self.order_columns(back))
+
+    def branch(self, part: Column, value: Column, back: bool = False) -> DataFrame:
+        """(__pid, __v, __e) of every row: range, value, and place from the end of the range (from
+        its start, with ``back``)."""
+        keys = self.order_keys()
+        own = self.frame.source(part, value, *[k for k, _ in keys])
+        rows = own.select(part.alias("__pid"), value.alias("__v"), *[k.alias(f"__o{i}") for i, (k, _) in enumerate(keys)])
+        order = [F.col(f"__o{i}").desc_nulls_last() if d == back else F.col(f"__o{i}").asc_nulls_last() for i, (_, d) in enumerate(keys)]
+        if not back:
+            order = [F.col(f"__o{i}").asc_nulls_first() if d else F.col(f"__o{i}").desc_nulls_first() for i, (_, d) in enumerate(keys)]
+        return rows.withColumn("__e", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
+
+    def carried(self, column: Column, each: DataFrame, merge, back: bool = False) -> Column:
+        """What all ranges before each row's own (behind it, with ``back``) give together; ``each``
+        has (__pid, __x) of every range, ``merge(x, over)`` makes one of them. One row for each range
+        is broadcast."""
+        name = self.fresh()
+        ahead = Window.orderBy(F.col("__pid").desc() if back else F.col("__pid").asc()).rowsBetween(Window.unboundedPreceding, -1)
         sums = each.select(F.col("__pid").alias("__of"), merge(F.col("__x"), lambda x: x.over(ahead)).alias(name))
-        df = self.df.join(F.broadcast(sums), part == F.col("__of")).drop("__of")
-        self.frame = self.frame.with_(df, ranges=self.frame.ranges)
+        self.frame = self.frame.added(self.df.join(F.broadcast(sums), column == F.col("__of"), "left").drop("__of"))
         return quoted(name)
 
     def running_value(self, aggregate, value: Column, merge) -> Column:
         """An aggregate of all rows up to each one; over a whole table by ranges."""
-        part = self.range_column()
-        if part is None:
+        found = self.range_column()
+        if found is None:
             return aggregate(value).over(self.running())
-        value = self.hoist(value)
-        local = self.hoist(aggregate(value).over(self.inside(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        before = self.carried(part, aggregate(value), lambda x, over: over(aggregate(x)))
-        return merge(before, local)
+        column, part = found
+        local = self.hoist(aggregate(value).over(self.inside(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        each = self.frame.source(part, value).select(part.alias("__pid"), value.alias("__v")).groupBy("__pid").agg(aggregate(F.col("__v")).alias("__x"))
+        return merge(self.carried(column, each, lambda x, over: over(aggregate(x))), local)
 
     def nearest(self, value: Column, back: bool = False) -> Column:
         """The last value that is not missing up to each row (the next one, with ``back``)."""
         pick = F.first if back else F.last
-        part = self.range_column()
         frame = (Window.currentRow, Window.unboundedFollowing) if back else (Window.unboundedPreceding, Window.currentRow)
-        if part is None:
+        found = self.range_column()
+        if found is None:
             return pick(value, ignorenulls=True).over(self.order_window().rowsBetween(*frame))
-        value = self.hoist(value)
-        local = self.hoist(pick(value, ignorenulls=True).over(self.inside(part).rowsBetween(*frame)))
-        place = self.hoist(F.row_number().over(self.inside(part)))
-        extreme = F.min_by if back else F.max_by
-        far = self.carried(part, extreme(value, F.when(value.isNotNull(), place)), lambda x, over: over(F.last(x, ignorenulls=True)), back)
+        column, part = found
+        local = self.hoist(pick(value, ignorenulls=True).over(self.inside(column).rowsBetween(*frame)))
+        each = self.branch(part, value, back).where("__v is not null").groupBy("__pid").agg(F.min_by("__v", "__e").alias("__x"))
+        ranges = self.frame.source(part).select(part.alias("__pid")).distinct()
+        far = self.carried(column, ranges.join(each, "__pid", "left"), lambda x, over: over(F.last(x, ignorenulls=True)), back)
         return F.coalesce(local, far)
 
     def shifted(self, value: Column, n: int, back: bool) -> tuple[Column, Column]:
         """(the value n rows back or ahead, whether there is such a row)."""
         move = F.lag if back else F.lead
-        part = self.range_column()
-        if part is None:
+        found = self.range_column()
+        if found is None:
             window = self.order_window()
             return move(value, n).over(window), move(F.lit(1), n).over(window).isNotNull()
-        value = self.hoist(value)
-        place = self.hoist(F.row_number().over(self.inside(part)))
-        rows = self.hoist(F.count(F.lit(1)).over(Window.partitionBy(part)))
-        near = self.hoist(move(value, n).over(self.inside(part)))
-        # places from the end of a range that is looked across, 1 the nearest one
-        edge = self.hoist(rows - place + 1 if back else place)
-        cut = F.sort_array(F.collect_list(F.when(edge <= n, F.struct(edge.alias("e"), value.alias("v")))))
-        ends = self.carried(part, F.transform(cut, lambda x: x.getField("v")), lambda x, over: F.flatten(F.reverse(over(F.collect_list(x)))), not back)
+        column, part = found
+        place = self.hoist(F.row_number().over(self.inside(column)))
+        rows = self.hoist(F.count(F.lit(1)).over(Window.partitionBy(column)))
+        near = self.hoist(move(value, n).over(self.inside(column)))
+        # the n rows at the end of each range that is looked at, the nearest one first
+        cut = F.sort_array(F.collect_list(F.struct("__e", "__v")))
+        each = self.branch(part, value, not back).where(F.col("__e") <= n).groupBy("__pid").agg(F.transform(cut, lambda x: x.getField("__v")).alias("__x"))
+        ends = self.carried(column, each, lambda x, over: F.flatten(F.reverse(over(F.collect_list(x)))), not back)
         at = n - (place if back else rows - place + 1)
         inside = at < 0
         return F.when(inside, near).otherwise(F.get(ends, at.cast("int"))), inside | (at < F.coalesce(F.size(ends), F.lit(0)))
 
+    def fresh(self) -> str:
+        """A name for a hidden column."""
+        taken = [int(x[3:]) for x in self.frame.df.columns if x.startswith("__t") and x[3:].isdigit()]
+        return f"__t{max(taken, default=-1) + 1}"
+
     def hoist(self, col: Column) -> Column:
         """Compute a column before the others: window functions do not nest."""
-        name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
-        self.frame = self.frame.with_(self.frame.df.withColumn(name, col), ranges=self.frame.ranges)
+        name = self.fresh()
+        self.frame = self.frame.added(self.frame.df.withColumn(name, col))
         return quoted(name)
 
     def over_group(self, col: Column) -> Column:
@@ -459,9 +494,9 @@ class Context:
         rows, one aggregate that is broadcast back, so that no task sees all of them."""
         if self.frame.groups:
             return col.over(self.group_window())
-        name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
-        one = self.frame.df.agg(col.alias(name))
-        self.frame = self.frame.with_(self.frame.df.crossJoin(F.broadcast(one)), ranges=self.frame.ranges)
+        name = self.fresh()
+        one = self.frame.source(col).agg(col.alias(name))
+        self.frame = self.frame.added(self.frame.df.crossJoin(F.broadcast(one)))
         return quoted(name)
 
     def position(self) -> Column:
@@ -473,8 +508,8 @@ class Context:
             return self.hoist(self.running_value(F.sum, one, lambda a, b: F.coalesce(a, F.lit(0)) + b) - 1)
         self.frame = self.frame.ordered()
         order = self.frame.order
-        name = f"__t{sum(x.startswith('__t') for x in self.frame.df.columns)}"
-        self.frame = self.frame.ordinal(name).with_(order=order)
+        name = self.fresh()
+        self.frame = self.frame.added(self.frame.ordinal(name).df).with_(order=order)
         return quoted(name)
 
     def dtype(self, col: Column) -> T.DataType:

@@ -36,24 +36,29 @@ def grouped_ranks(ctx: Context, value: Column, down: bool, na_last: str) -> dict
 
 def table_ranks(ctx: Context, value: Column, down: bool, na_last: str) -> dict:
     """Ranks over a whole table: values are counted, the distinct ones numbered by ranges, and
-    joined back, so that neither the rows nor those of a frequent value come together."""
-    value = ctx.hoist(value)
-    frame = ctx.frame
-    counted = frame.df.select(value.alias("__v")).groupBy("__v").agg(F.count("*").alias("__c"))
-    if na_last == "keep":
-        counted = counted.where("__v is not null")
-    inner = Context(Frame(counted, order=[("__v", down)]))
-    if na_last == "top":
-        inner.frame = Frame(counted.withColumn("__n", F.col("__v").isNotNull()), order=[("__n", False), ("__v", down)])
-    upto = inner.hoist(inner.running_value(F.sum, F.col("__c"), lambda a, b: F.coalesce(a, F.lit(0)) + b))
-    dense = inner.hoist(inner.running_value(F.sum, F.lit(1).cast("bigint"), lambda a, b: F.coalesce(a, F.lit(0)) + b))
-    table = inner.df.select("__v", F.col("__c"), upto.alias("__upto"), dense.alias("__dense"))
-    total = counted.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__all"))
-    own = frame.df.join(table, value.eqNullSafe(F.col("__v")), "left").join(F.broadcast(total))
-    named = {n: f"__t{sum(c.startswith('__t') for c in frame.df.columns) + i}" for i, n in enumerate(("__upto", "__dense", "__c", "__all"))}
-    ctx.frame = frame.with_(own.select(*[F.col(f"`{c}`") for c in frame.df.columns], *[F.col(o).alias(n) for o, n in named.items()]))
-    at = {o: F.col(n) for o, n in named.items()}
-    return {"rank": at["__upto"] - at["__c"] + 1, "dense": at["__dense"], "upto": at["__upto"], "all": at["__all"]}
+    joined back, so that neither the rows nor those of a frequent value come together. All ranks of
+    one value in a verb share the numbers."""
+    mark = f"ranks of {value} {down} {na_last}"
+    if mark not in ctx.frame.known:
+        frame = ctx.frame
+        counted = frame.source(value).select(value.alias("__v")).groupBy("__v").agg(F.count("*").alias("__c"))
+        if na_last == "keep":
+            counted = counted.where("__v is not null")
+        inner = Context(Frame(counted, order=[("__v", down)]))
+        if na_last == "top":
+            inner.frame = Frame(counted.withColumn("__n", F.col("__v").isNotNull()), order=[("__n", False), ("__v", down)])
+        add = lambda a, b: F.coalesce(a, F.lit(0)) + b
+        upto = inner.hoist(inner.running_value(F.sum, F.col("__c"), add))
+        dense = inner.hoist(inner.running_value(F.sum, F.lit(1).cast("bigint"), add))
+        table = inner.df.select("__v", "__c", upto.alias("__upto"), dense.alias("__dense"))
+        total = counted.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__all"))
+        own = frame.df.join(table, value.eqNullSafe(F.col("__v")), "left").join(F.broadcast(total))
+        first = int(ctx.fresh()[3:])
+        names = [f"__t{first + i}" for i in range(4)]
+        df = own.select(*[F.col(f"`{c}`") for c in frame.df.columns], *[F.col(o).alias(n) for o, n in zip(("__upto", "__dense", "__c", "__all"), names, strict=True)])
+        ctx.frame = frame.added(df, **{mark: tuple(names)})
+    upto, dense, count, every = (F.col(n) for n in ctx.frame.known[mark])
+    return {"rank": upto - count + 1, "dense": dense, "upto": upto, "all": every}
 
 
 #: From the parts of ``grouped_ranks``.

@@ -150,7 +150,7 @@ def computed(frame: Frame, name: str, x: Any) -> Frame:
     if name in out.df.columns:
         df = out.df.select(*[col if c == name else quoted(c) for c in out.df.columns])
     else:
-        return out.with_(out.df.select("*", col), ranges=out.ranges)
+        return out.added(out.df.select("*", col))
     return out.with_(df)
 
 
