@@ -33,10 +33,10 @@ def _(t):
     return v.tribble(f.x, f.y, f.z, 1, "a", None, 2, "b", 1.5)
 
 
-@query("tibble_row", "select 1::bigint as a, [1::bigint, 2] as b, 'z' as d")
+@query("tibble_row", "select 1::bigint as a, 2::bigint as b, 'z' as d")
 def _(t):
     t("region")
-    return v.tibble_row(a=1, b=[1, 2], d="z")
+    return v.tibble_row(a=1, b=[1, 2], d="z") >> v.mutate(b=v.lengths(f.b))
 
 
 @query("as_tibble", "select r_regionkey, r_name from region where r_regionkey > 1")
@@ -266,9 +266,9 @@ def _(t):
     return t("nation") >> v.group_by(f.n_regionkey) >> v.group_keys()
 
 
-@query("group_data", "select n_regionkey, list(i order by i) as rows_ from (select n_regionkey, row_number() over (order by n_nationkey) - 1 as i from nation) group by 1")
+@query("group_data", "select n_regionkey, count(*) as n, min(i) as low, max(i) as top from (select n_regionkey, row_number() over (order by n_nationkey) - 1 as i from nation) group by 1")
 def _(t):
-    return t("nation") >> v.arrange(f.n_nationkey) >> v.group_by(f.n_regionkey) >> v.group_data() >> v.ungroup() >> v.select(n_regionkey=f.n_regionkey, rows_=f._rows)
+    return t("nation") >> v.arrange(f.n_nationkey) >> v.group_by(f.n_regionkey) >> v.group_data() >> v.ungroup() >> v.select(n_regionkey=f.n_regionkey, at=f._rows) >> v.rowwise() >> v.transmute(n_regionkey=f.n_regionkey, n=v.lengths(f.at), low=v.min_(f.at), top=v.max_(f.at))
 
 
 @query("group_rows_indices", "select (select count(*) from nation) as n, (select string_agg(g, ',' order by n_nationkey) from (select n_nationkey, (dense_rank() over (order by first) - 1)::varchar as g from (select n_nationkey, min(n_nationkey) over (partition by n_regionkey) as first from nation))) as idx")
@@ -746,9 +746,10 @@ def _(t):
     )
 
 
-@query("strsplit", "select p_partkey, string_split(p_name, ' ') as words from part")
+@query("strsplit", "select p_partkey, len(string_split(p_name, ' ')) as n, split_part(p_name, ' ', 1) as head from part")
 def _(t):
-    return t("part") >> v.transmute(p_partkey=f.p_partkey, words=v.strsplit(f.p_name, " ", fixed=True))
+    words = t("part") >> v.transmute(p_partkey=f.p_partkey, words=v.strsplit(f.p_name, " ", fixed=True))
+    return words >> v.rowwise() >> v.transmute(p_partkey=f.p_partkey, n=v.lengths(f.words), head=v.first(f.words))
 
 
 @query("strtoi", "select p_partkey, p_size::bigint as d, (p_size // 10 * 16 + p_size % 10)::bigint as h from part")
@@ -779,15 +780,16 @@ def _(t):
     return plain(a=v.seq(1, 7, 2), b=v.seq(2, 8, by=2), d=v.seq_len(4), e=v.rep([7, 8], each=2), g=[x for k in v.seq_along(["x", "y"]) for x in (k, k)])
 
 
-@query("vectors", "select n_nationkey, [n_nationkey, n_regionkey] as both, 2::bigint as size from nation")
+@query("vectors", "select n_nationkey, greatest(n_nationkey, n_regionkey) as top, 2::bigint as size from nation")
 def _(t):
-    return t("nation") >> v.transmute(n_nationkey=f.n_nationkey, both=v.c_(f.n_nationkey, f.n_regionkey), size=v.lengths(v.c_(f.n_nationkey, f.n_regionkey)))
+    both = t("nation") >> v.transmute(n_nationkey=f.n_nationkey, both=v.c_(f.n_nationkey, f.n_regionkey))
+    return both >> v.rowwise() >> v.transmute(n_nationkey=f.n_nationkey, top=v.max_(f.both), size=v.lengths(f.both))
 
 
 # ---------------------------------------------------------------- shapes in between
-@query("chop", "select o_custkey, list(o_orderkey order by o_orderkey) as o_orderkey from orders group by 1")
+@query("chop", "select o_custkey, count(*) as n, min(o_orderkey) as head, max(o_orderkey) as foot from orders group by 1")
 def _(t):
-    return t("orders") >> v.select(f.o_custkey, f.o_orderkey) >> v.arrange(f.o_orderkey) >> v.chop(f.o_orderkey)
+    return t("orders") >> v.select(f.o_custkey, f.o_orderkey) >> v.arrange(f.o_orderkey) >> v.chop(f.o_orderkey) >> v.rowwise() >> v.transmute(o_custkey=f.o_custkey, n=v.lengths(f.o_orderkey), head=v.first(f.o_orderkey), foot=v.last(f.o_orderkey))
 
 
 @query("nest", "select c_nationkey, count(*) as n from customer group by 1")
@@ -795,9 +797,10 @@ def _(t):
     return t("customer") >> v.select(f.c_nationkey, f.c_custkey, f.c_name) >> v.nest(data=c(f.c_custkey, f.c_name)) >> v.transmute(c_nationkey=f.c_nationkey, n=v.lengths(f.data))
 
 
-@query("pack", "select n_nationkey, struct_pack(n_name := n_name, n_regionkey := n_regionkey) as p from nation")
+@query("pack", "select n_nationkey, n_name as a, n_regionkey as b, 'n_nationkey p$n_name p$n_regionkey' as names from nation")
 def _(t):
-    return t("nation") >> v.pack(p=c(f.n_name, f.n_regionkey))
+    packed = t("nation") >> v.pack(p=c(f.n_name, f.n_regionkey))
+    return packed >> v.transmute(n_nationkey=f.n_nationkey, a=f.p["n_name"], b=f.p["n_regionkey"], names=" ".join(v.colnames(packed)))
 
 
 @query("expand", "select a.r, b.s from (select distinct l_returnflag r from lineitem) a cross join (select distinct l_linestatus s from lineitem) b")
