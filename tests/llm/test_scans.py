@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from verbena.llm.decontamination import build_index, covered, decontamination_report, search, without_contaminated
-from verbena.llm.secrets import ASSIGN, RANK, corpus_ranks, find_secrets, guess_cost, redact_secrets, scan, secret_digest
+from verbena.llm.secrets import ASSIGN, CONTEXT, RANK, contexts, corpus_ranks, find_secrets, guess_cost, redact_secrets, scan, secret_digest
 from verbena.llm.sentencepiece import decode, encode, loaded, model_bytes, parse_model, rebuild
 from verbena.llm.sharding import hilbert_shards, hilbert_stages, shard_statistics
 from verbena.llm.url_filter import EXAMPLE_ENTRIES, judge_captures, validity_intervals
@@ -148,6 +148,14 @@ def test_credential_names(name):
     assert [x[:2] for x in guess] == [(4 + len(name), 14 + len(name))]
 
 
+def test_contexts_through_hints():
+    r = random.Random(9)
+    parts = ["password", "pass_", "PIN", "my-token", "login", "api_key", "apikey", "secret", "keys", "x", " ", "=", ": ", " is ", "'", '"', "abc123", "é", "-", "_", ",", "value9$", "\n"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        assert [m.span(1) for m in contexts(text)] == [m.span(1) for m in CONTEXT.finditer(text)], text
+
+
 def test_words_that_only_hold_a_short_one():
     assert scan("shipping: northeastern, the compass is unbreakable, secretary: Zweigenbaum") == ([], [])
     assert scan("pass_" * 100_000) == ([], [])
@@ -221,6 +229,8 @@ def test_words_of_the_corpus_are_cheap(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     ranks = corpus_ranks(df)
     assert ranks["password"] == 1 and ranks["thranduil"] == len(RANK) + 1 and ranks["nornwig"] == len(RANK) + 2
+    few = corpus_ranks(spark.createDataFrame([(1, " ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"))], "doc_id bigint, text string"), size=100)
+    assert 50 < len(few) - len(RANK) < 160  # all as frequent as each other: a share
     found = {r["doc_id"]: [x["pieces"] for x in r["guess"]] for r in find_secrets(df).collect()}
     assert [p.split("+")[0] for p in found[9]] == ["word:9"]
     assert scan(rows[-1][1])[1][0][2] > 8  # without the corpus the first value is a secret too

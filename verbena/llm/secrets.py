@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm._common import LOWER, doc_chunks, small_batches, split_words, text_buffers, tidied
+from verbena.llm._common import LOWER, discard, doc_chunks, materialise, small_batches, split_words, text_buffers, tidied
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,6 +37,9 @@ CONTEXT = re.compile(
     r"""["']?(?:\x20*[:=]\x20*|\x20+(?:is|was|to|as)\x20+)["']?([^\s"'<>,;]{4,})""",
     re.I | re.A,
 )
+#: What every context has in its name; names are looked at only where this occurs.
+HINT = re.compile("pwd|pass|pin|token|login|secret|credential|key", re.I | re.A)
+NAME = re.compile(r"[\w-]+", re.A)
 #: A value that takes fewer than 10**GUESS_LEAST guesses is a placeholder or a word, not a secret.
 GUESS_LEAST = 8.0
 
@@ -181,6 +184,21 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> tuple[float, str]:
     return cost, "+".join(f"{k}:{p}" for k, p in merged)
 
 
+def contexts(text: str):
+    """The matches of CONTEXT, leftmost and non-overlapping, found through the names with a hint."""
+    done = 0
+    for hint in HINT.finditer(text):
+        start = hint.start()
+        if start < done:
+            continue
+        while start > done and NAME.match(text, start - 1):
+            start -= 1
+        match = CONTEXT.match(text, start)
+        done = match.end() if match else NAME.match(text, start).end()
+        if match:
+            yield match
+
+
 def scan(text: str | None, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, float, str]]]:
     """(base spans, guess-cost spans) of one text: start, end and kind or cost and segmentation."""
     if not text:
@@ -190,7 +208,7 @@ def scan(text: str | None, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     guessed = []
-    for m in CONTEXT.finditer(text):
+    for m in contexts(text):
         value = m[1].rstrip(".!?:)]}")
         cost, pieces = guess_cost(value, ranks)
         if cost >= GUESS_LEAST:
@@ -238,14 +256,27 @@ def letter_rows(held: dict[bytes, int]) -> pa.RecordBatch:
 
 
 def corpus_ranks(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> dict[str, int]:
-    """The dictionary: the fixed words by rank, then the ``size`` most frequent words of letters in
-    all texts (ties by the alphabet). A word counts in every text, so that a secret of letters
+    """The dictionary: the fixed words by rank, then about the ``size`` most frequent words of
+    letters in all texts: those above a step of a logarithmic scale of the counts, found from the
+    number of words at each step (so tasks send on only what is kept), and of the step in which
+    the bound lies a share by hash. A word counts in every text, so that a secret of letters
     alone that is copied very often would become one; words with digits or marks never do."""
     texts = small_batches(docs).select(F.col(text_col).cast("string").alias("text"))
-    counts = texts.mapInArrow(tidied(count_letters), "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = materialise(texts.mapInArrow(tidied(count_letters), "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "letters")
+    step = F.floor(F.log2("c") * 16).cast("int")
+    steps = {r["step"]: r["n"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    total, least, share = 0, 0, 1.0
+    for s in sorted(steps, reverse=True):
+        least = s
+        if total + steps[s] > size:
+            share = (size - total) / steps[s]
+            break
+        total += steps[s]
+    cut = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
     ranks = dict(RANK)
-    for row in counts.orderBy(F.desc("c"), "word").limit(size).collect():
+    for row in sorted(counts.where((step > least) | ((step == least) & cut)).collect(), key=lambda r: (-r["c"], r["word"])):
         ranks.setdefault(row["word"], len(ranks) + 1)
+    discard(counts)
     return ranks
 
 
