@@ -93,6 +93,28 @@ def test_pipeline(spark, tmp_path):
     assert not any("24be64439e" in (r["text"] or "") for r in corpus_pipeline.secrets(spark, docs, str(tmp_path)).collect())
 
 
+def test_extra_columns_pass_the_stages(spark, tmp_path):
+    rows, _ = write_tables(spark, str(tmp_path))
+    extra = ["score", "spans", "row", "copy", "place", "hit", "block", "toxic", "__slot", "label", "extra_1"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.where("doc_id is not null").limit(60).collect():
+            assert [r[c] for c in extra] == [f"{c}{r['doc_id']}" for c in extra]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    write_tables(spark, str(tmp_path / "full"))
+    for name, empty in (("labels", {"labels"}), ("benchmark", {"benchmark"}), ("all", {"documents", "labels", "benchmark"})):
+        for table in ("documents", "labels", "benchmark"):
+            df = spark.read.parquet(f"{tmp_path}/full/{table}.parquet")
+            (df.limit(0) if table in empty else df.limit(40)).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        n = corpus_pipeline.run(spark, f"{tmp_path}/{name}").count()
+        assert (n == 0) == (name == "all")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):

@@ -18,6 +18,7 @@ In place of a recursive suffix filter two bounds are used that need no whole set
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -463,10 +464,11 @@ def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """``docs`` with one document of each group, the one with the smallest doc_id; of rows that
     share that id all stay. Documents without words or without id all stay."""
     rest = materialise(jaccard_groups(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    slot, bit = filter_place(docs["doc_id"].cast("bigint"))
-    marked = docs.join(F.broadcast(filter_bits(rest)), slot == F.col("__slot"), "left")
-    doubtful = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    own = uuid.uuid4().hex  # names that no column of ``docs`` has
+    slot, bit = filter_place(F.col("doc_id").cast("bigint"))
+    marked = docs.withColumn(f"place {own}", slot).withColumn(f"bit {own}", bit).join(F.broadcast(filter_bits(rest).toDF(f"place {own}", f"bits {own}")), f"place {own}", "left")
+    doubtful = F.coalesce(F.col(f"`bits {own}`").bitwiseAND(F.col(f"`bit {own}`")) != 0, F.lit(False))
     # most rows stay where they are; only those whose bit is set meet the exact list
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    clear, met = marked.where(~doubtful).select(*own), marked.where(doubtful).select(*own)
-    return clear.unionByName(met.join(rest.toDF("__copy"), F.col("doc_id") == F.col("__copy"), "left_anti"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    clear, met = marked.where(~doubtful).select(*columns), marked.where(doubtful).select(*columns)
+    return clear.unionByName(met.join(rest.toDF(f"copy {own}"), F.col("doc_id") == F.col(f"`copy {own}`"), "left_anti"))

@@ -400,6 +400,8 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those whose score reaches the threshold."""
-    out = tag_toxic(docs, labels, with_spans=False)
-    return out.where(F.col("score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without those whose score reaches the threshold; all columns stay as they are,
+    also ones named score or spans."""
+    apart = {c: c if c in ("doc_id", "text") else f"extra_{i}" for i, c in enumerate(docs.columns)}
+    out = tag_toxic(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in apart.items()]), labels, with_spans=False)
+    return out.where(F.col("score") < THRESHOLD).select(*[F.col(n).alias(c) for c, n in apart.items()])
