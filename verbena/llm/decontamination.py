@@ -24,7 +24,7 @@ BLOCK_SCHEMA = "doc_ids array<bigint>, n_words array<int>, terms binary, starts
 MATCH_SCHEMA = "block bigint, ord int, spans array<int>, items array<string>"
 WINDOW_SCHEMA = "window array<bigint>, item_id string"
 #: Text bytes that make one block of the index.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Windows that one pass over the index takes along, about (80 bytes each at ten words); a larger
 #: query set is matched in several passes whose matches are merged.
 PASS_WINDOWS = 400_000
