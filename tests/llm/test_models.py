@@ -4,14 +4,17 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from verbena.llm._common import NONSPACE, split_words
-from verbena.llm.class_lm import PRIOR, SURFACE, exchange, lm_scores, surface_classes, train, training_rows
+from verbena.llm.class_lm import PRIOR, SURFACE, chooser, exchange, lm_scores, surface_classes, train, training_rows
 from verbena.llm.toxicity import ChainModel, fit, tag_toxic, toxicity_report
 
 
@@ -194,6 +197,23 @@ def test_words_beyond_the_clustered_ones_learn_classes(spark, monkeypatch):
         assert odd and straight and sum(straight) / len(straight) > 1 + sum(got[k]["score"] / got[k]["n_tokens"] for k in odd) / len(odd)
 
 
+def test_words_choose_in_bounded_memory():
+    # a batch whose words all stand beside every class, each word in two rows
+    r, learnt, n = np.random.default_rng(6), 48, 400
+    k = learnt + SURFACE + 1
+    shared = SimpleNamespace(value=(r.integers(0, 50, (k, k)).astype(float), learnt, np.full(k, 5000.0)))
+    words = np.repeat(np.sort(r.choice(1 << 40, n, replace=False)), 2)
+    contexts = [(np.arange(2 * k) | r.integers(1, 9, 2 * k) << 16).astype(np.int64).tobytes() for _ in words]
+    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.repeat(r.integers(0, SURFACE, n), 2).astype(np.int32)), pa.array(contexts, pa.binary())], names=["word", "surface", "contexts"])
+    tracemalloc.start()
+    whole = pa.Table.from_batches(chooser(shared)([batch])).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(whole) == n
+    assert whole == pa.Table.from_batches(chooser(shared)(batch.slice(i, 1) for i in range(2 * n))).to_pylist()
+    assert peak < 40 << 20
+
+
 def test_exchange_raises_the_likelihood():
     r = np.random.default_rng(1)
     n = 24

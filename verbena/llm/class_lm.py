@@ -33,6 +33,8 @@ PRIOR = 20.0
 CHUNK_BYTES = 2 << 20
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
+#: Context entries that are weighed against all learnt classes at once (a word is never split).
+ENTRIES = 1 << 14
 
 # The last byte of a word (sentence marks, clause marks, other ASCII punctuation)
 # and the lead bytes of its letters (two bytes up to Latin, other two bytes, three, four).
@@ -344,9 +346,15 @@ def chooser(shared):
             chosen = np.where(gain[np.arange(len(best)), best] > stay + math.log10(learnt + 1), best, own)
         return pa.RecordBatch.from_arrays([pa.array(words[first]), pa.array(chosen.astype(np.int32)), pa.array(c.astype(np.int64))], names=["word", "class", "c"])
 
+    def merged(words, surface, sizes, entries):
+        """The rows of one word as one row: no more entries than there are contexts."""
+        codes, inverse = np.unique(entries & 0xFFFF, return_inverse=True)
+        times = np.bincount(inverse, weights=entries >> 16, minlength=len(codes)).astype(np.int64)
+        return words[:1], surface[:1], np.array([len(codes)], np.int64), codes | times << 16
+
     def run(batches):
         model = ClassModel(*shared.value)
-        kept = None  # the rows of the last word, which the next batch may go on with
+        kept = None  # the last word, which the next batch may go on with
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -356,11 +364,14 @@ def chooser(shared):
             if kept is not None:
                 part = tuple(np.concatenate(x) for x in zip(kept, part, strict=True))
             words, surface, sizes, entries = part
-            cut = int(np.searchsorted(words, words[-1]))
-            at = int(sizes[:cut].sum())
-            if cut:
-                yield choose(words[:cut], surface[:cut], sizes[:cut], entries[:at], model)
-            kept = words[cut:], surface[cut:], sizes[cut:], entries[at:]
+            first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+            at = np.r_[0, np.cumsum(sizes)][first]
+            # whole words, all but the last one
+            for i, j in doc_chunks(at, ENTRIES):
+                s, e = first[i], first[j]
+                yield choose(words[s:e], surface[s:e], sizes[s:e], entries[at[i] : at[j]], model)
+            s = first[-1]
+            kept = merged(words[s:], surface[s:], sizes[s:], entries[at[-1] :])
         if kept is not None:
             yield choose(*kept, model)
 
