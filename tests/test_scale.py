@@ -1,10 +1,12 @@
 """Steps whose time or memory must not outgrow the rows, against plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from verbena.all import arrange, f, fill, group_by, ungroup
+from verbena.all import arrange, f, fill, group_by, inner_join, left_join, right_join, ungroup
 from verbena.frame import Frame
 
 
@@ -41,3 +43,21 @@ def test_fill_from_behind_reads_each_row_once(spark, table, groups, way):
             both = (up,) if way == "up" else (down, up) if way == "downup" else (up, down)
             want[x[0]] = next((s[x[0]] for s in both if s[x[0]] is not None), None)
     assert {r["id"]: r["v"] for r in out.df.select("id", "v").collect()} == want
+
+
+@pytest.mark.parametrize("join", [inner_join, left_join, right_join])
+def test_rows_with_many_matches_are_dealt_evenly(spark, tmp_path, join):
+    """One file is read by one task, which would make all pairs alone."""
+    sides = {"x": [(i, i % 4 or None) for i in range(400)], "y": [(i, i % 5 or None) for i in range(300)]}
+    for name, rows in sides.items():
+        spark.createDataFrame(rows, f"{name} bigint, k bigint").coalesce(1).write.parquet(str(tmp_path / name))
+    x, y = (Frame(spark.read.parquet(str(tmp_path / name))) for name in sides)
+    out = join(x, y, by="k", na_matches="never").df
+    want = Counter((a, b) for a, p in sides["x"] for b, q in sides["y"] if p is not None and p == q)
+    if join is left_join:
+        want.update((a, None) for a, p in sides["x"] if p is None)
+    if join is right_join:
+        want.update((None, b) for b, q in sides["y"] if q in (None, 4))
+    assert Counter((r["x"], r["y"]) for r in out.select("x", "y").collect()) == want
+    shares = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(shares) >= 4 and max(shares) < sum(want.values()) / 2
