@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from verbena.all import arrange, f, fill, group_by, inner_join, left_join, right_join, ungroup
 from verbena.frame import Frame
+from verbena.functions import math as math_functions
 
 
 def plan(frame: Frame) -> str:
@@ -61,3 +63,16 @@ def test_rows_with_many_matches_are_dealt_evenly(spark, tmp_path, join):
     assert Counter((r["x"], r["y"]) for r in out.select("x", "y").collect()) == want
     shares = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert len(shares) >= 4 and max(shares) < sum(want.values()) / 2
+
+
+def test_bessel_functions_compute_each_pair_once(monkeypatch):
+    calls = []
+    plain = math_functions.quadrature
+    monkeypatch.setattr(math_functions, "quadrature", lambda *args: calls.append(1) or plain(*args))
+    x, nu = [0.5, 2.0, 0.5, -0.0, 0.0, 2.0] * 200, [0.0, 1.5, 0.5, 0.0, 0.0, 1.5] * 200
+    for fn in (math_functions.bessel_j_values, math_functions.bessel_i_values, math_functions.bessel_y_values, math_functions.bessel_k_values):
+        calls.clear()
+        got = fn(np.array(x), np.array(nu))
+        assert len(calls) <= 10  # two for each of five pairs
+        assert got.tolist() == [fn([a], [b])[0] for a, b in zip(x[:6], nu[:6], strict=True)] * 200
+    assert math_functions.bessel_j_values(np.array([[1.0, 2.0], [2.0, 1.0]]), 0).shape == (2, 2) and math_functions.bessel_k_values(np.array([]), np.array([])).shape == (0,)
