@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verbena.all import arrange, f, fill, group_by, inner_join, left_join, right_join, ungroup
+from verbena.all import arrange, cume_dist, dense_rank, desc, f, fill, group_by, inner_join, left_join, min_rank, percent_rank, rank, right_join, transmute, ungroup
 from verbena.frame import Frame
 from verbena.functions import math as math_functions
 
@@ -76,3 +76,36 @@ def test_bessel_functions_compute_each_pair_once(monkeypatch):
         assert len(calls) <= 10  # two for each of five pairs
         assert got.tolist() == [fn([a], [b])[0] for a, b in zip(x[:6], nu[:6], strict=True)] * 200
     assert math_functions.bessel_j_values(np.array([[1.0, 2.0], [2.0, 1.0]]), 0).shape == (2, 2) and math_functions.bessel_k_values(np.array([]), np.array([])).shape == (0,)
+
+
+@pytest.mark.parametrize("values", [30, 6000])
+@pytest.mark.parametrize("missing", ["keep", "top", "bottom"])
+def test_ranks_in_large_groups(spark, tmp_path, values, missing):
+    """Rows of one group are not sorted by one task: with few values they are counted, with many
+    their values are numbered by ranges."""
+    r = random.Random(values)
+    rows = [(i, r.choice(["p", "p", "q", None]), r.choice([None, *[r.randrange(values) / 2 for _ in range(9)], -0.0])) for i in range(9000)]
+    spark.createDataFrame(rows, "id bigint, s string, v double").repartition(5).write.parquet(str(tmp_path / "t"))
+    frame = Frame(spark.read.parquet(str(tmp_path / "t"))) >> group_by(f.s)
+    held = {"na_last": missing}
+    out = frame >> transmute(id=f.id, lo=min_rank(f.v, **held), de=dense_rank(f.v, **held), cu=cume_dist(f.v, **held), pe=percent_rank(f.v, **held), down=min_rank(desc(f.v), **held), av=rank(f.v, na_last={"keep": "keep", "top": False, "bottom": True}[missing]))
+    assert "Window [rank(" not in plan(out)
+    want = {}
+    for key in ("p", "q", None):
+        part = [x for x in rows if x[1] == key and (missing != "keep" or x[2] is not None)]
+        place = {}
+        for down in (False, True):
+            order = sorted({x[2] for x in part if x[2] is not None}, reverse=down)
+            order = [None, *order] if missing == "top" else [*order, None]
+            counts = Counter(x[2] for x in part)
+            before, dense = 0, 0
+            for v in order:
+                if counts[v]:
+                    dense += 1
+                    place[v, down] = (before + 1, dense, before + counts[v])
+                    before += counts[v]
+        for x in part:
+            lo, de, upto = place[x[2], False]
+            want[x[0]] = (lo, de, upto / len(part), (lo - 1) / (len(part) - 1), place[x[2], True][0], (lo + upto) / 2)
+    got = {x["id"]: (x["lo"], x["de"], x["cu"], x["pe"], x["down"], x["av"]) for x in out.df.collect()}
+    assert got == {i: want.get(i, (None,) * 6) for i in range(9000)}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verbena.expr import Call, Symbol, f, function
-from verbena.frame import Context, Frame, Val
+from verbena.frame import Context, Frame, Val, large_groups, range_number
 
 
 def rank_key(ctx: Context, x) -> tuple[Column, bool]:
@@ -34,25 +35,27 @@ def grouped_ranks(ctx: Context, value: Column, down: bool, na_last: str) -> dict
     }
 
 
-def table_ranks(ctx: Context, value: Column, down: bool, na_last: str) -> dict:
-    """Ranks over a whole table: values are counted, the distinct ones numbered by ranges, and
-    joined back, so that neither the rows nor those of a frequent value come together. All ranks of
-    one value in a verb share the numbers."""
-    mark = f"ranks of {value} {down} {na_last}"
+def counted_ranks(ctx: Context, value: Column, down: bool, na_last: str) -> dict:
+    """Ranks over a whole table, or in groups of which some are large: values are counted, the
+    distinct ones numbered by ranges, and joined back, so that neither the rows nor those of a group
+    or of a frequent value come together. All ranks of one value in a verb share the numbers."""
+    mark = f"ranks of {value} {down} {na_last} in {ctx.frame.groups}"
     if mark not in ctx.frame.known:
-        frame = ctx.frame
-        counted = frame.source(value).select(value.alias("__v")).groupBy("__v").agg(F.count("*").alias("__c"))
+        frame, parts = ctx.frame, ctx.partition()
+        of = [f"__g{i}" for i in range(len(parts))]
+        counted = frame.source(value, *parts).select(*[g.alias(n) for g, n in zip(parts, of, strict=True)], value.alias("__v")).groupBy(*of, "__v").agg(F.count("*").alias("__c"))
+        order = [(n, False) for n in of]
         if na_last == "keep":
             counted = counted.where("__v is not null")
-        inner = Context(Frame(counted, order=[("__v", down)]))
         if na_last == "top":
-            inner.frame = Frame(counted.withColumn("__n", F.col("__v").isNotNull()), order=[("__n", False), ("__v", down)])
-        add = lambda a, b: F.coalesce(a, F.lit(0)) + b
-        upto = inner.hoist(inner.running_value(F.sum, F.col("__c"), add))
-        dense = inner.hoist(inner.running_value(F.sum, F.lit(1).cast("bigint"), add))
-        table = inner.df.select("__v", "__c", upto.alias("__upto"), dense.alias("__dense"))
-        total = counted.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__all"))
-        own = frame.df.join(table, value.eqNullSafe(F.col("__v")), "left").join(F.broadcast(total))
+            counted, order = counted.withColumn("__n", F.col("__v").isNotNull()), [*order, ("__n", False)]
+        table = running_counts(Frame(counted, order=[*order, ("__v", down)]), of)
+        same = value.eqNullSafe(F.col("__v"))
+        for g, n in zip(parts, of, strict=True):
+            same = same & g.eqNullSafe(F.col(n))
+        own = frame.df.join(table, same, "left")
+        if not parts:
+            own = own.join(F.broadcast(counted.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__all"))))
         first = int(ctx.fresh()[3:])
         names = [f"__t{first + i}" for i in range(4)]
         df = own.select(*[F.col(f"`{c}`") for c in frame.df.columns], *[F.col(o).alias(n) for o, n in zip(("__upto", "__dense", "__c", "__all"), names, strict=True)])
@@ -61,6 +64,45 @@ def table_ranks(ctx: Context, value: Column, down: bool, na_last: str) -> dict:
     return {"rank": upto - count + 1, "dense": dense, "upto": upto, "all": every}
 
 
+def running_counts(counted: Frame, of: list[str]) -> DataFrame:
+    """Of every value (in its group, whose columns are ``of``): __c, the running sum of it (__upto) and
+    number of values (__dense); with groups the sum of all (__all) too."""
+    if not of:
+        inner = Context(counted)
+        add = lambda a, b: F.coalesce(a, F.lit(0)) + b
+        upto = inner.hoist(inner.running_value(F.sum, F.col("__c"), add))
+        dense = inner.hoist(inner.running_value(F.sum, F.lit(1).cast("bigint"), add))
+        return inner.df.select("__v", "__c", upto.alias("__upto"), dense.alias("__dense"))
+    order = counted.sort_columns()[len(of) :]
+    part = range_number(counted.df, [(F.col(n), d) for n, d in counted.order])
+    window = Window.partitionBy(*([] if part is None else ["__pid"]), *of).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto, dense = F.sum("__c").over(window), F.count(F.lit(1)).over(window)
+    if part is None:
+        return counted.df.select(*of, "__v", "__c", upto.alias("__upto"), dense.alias("__dense"), F.sum("__c").over(Window.partitionBy(*of)).alias("__all"))
+    inside = counted.df.withColumn("__pid", part).select("__pid", *of, "__v", "__c", upto.alias("__u"), dense.alias("__d"))
+    # of every range and group, what lies in the ranges before
+    each = counted.df.select(part.alias("__of"), *[F.col(n).alias(f"__of_{n}") for n in of], "__c").groupBy("__of", *[f"__of_{n}" for n in of]).agg(F.sum("__c").alias("__su"), F.count(F.lit(1)).alias("__sd"))
+    groups = Window.partitionBy(*[f"__of_{n}" for n in of])
+    ahead = groups.orderBy("__of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.select("__of", *[f"__of_{n}" for n in of], (F.sum("__su").over(ahead) - F.col("__su")).alias("__bu"), (F.sum("__sd").over(ahead) - F.col("__sd")).alias("__bd"), F.sum("__su").over(groups).alias("__all"))
+    same = F.col("__pid") == F.col("__of")
+    for n in of:
+        same = same & F.col(n).eqNullSafe(F.col(f"__of_{n}"))
+    return inside.join(each, same).select(*of, "__v", "__c", (F.col("__bu") + F.col("__u")).alias("__upto"), (F.col("__bd") + F.col("__d")).alias("__dense"), "__all")
+
+
+def ranks_of(ctx: Context, value: Column, down: bool, na_last: str) -> dict:
+    """Ranks by windows where every group fits a task, else by counts of the values."""
+    if not ctx.frame.groups:
+        return counted_ranks(ctx, value, down, na_last)
+    parts = ctx.partition()
+    mark = f"large groups of {ctx.frame.groups}"
+    if mark not in ctx.frame.known:
+        ctx.frame = ctx.frame.added(ctx.df, **{mark: () if large_groups(ctx.frame.source(*parts), parts) else None})
+    plain = any(isinstance(x.dataType, (T.StructType, T.ArrayType, T.MapType)) for x in ctx.df.select(value.alias("v"), *parts).schema)
+    return (grouped_ranks if plain or ctx.frame.known[mark] is None else counted_ranks)(ctx, value, down, na_last)
+
+
 #: From the parts of ``grouped_ranks``.
 RANKS = {
     "min_rank": lambda r: r["rank"],
@@ -78,7 +120,7 @@ def ranking(name: str):
             value, down = row_order(ctx), False
         else:
             value, down = rank_key(ctx, x)
-        out = RANKS[name]((grouped_ranks if ctx.frame.groups else table_ranks)(ctx, value, down, na_last))
+        out = RANKS[name](ranks_of(ctx, value, down, na_last))
         return Val(F.when(value.isNotNull(), out) if na_last == "keep" else out, "row", True)
 
     lower.__doc__ = f"{name} of the values inside the group; missing ones by ``na_last``."
@@ -151,7 +193,7 @@ def rank(ctx, x, na_last=True, ties_method="average"):
     value, down = rank_key(ctx, x)
     missing = na_last if na_last == "keep" else "bottom" if na_last else "top"
     if ties_method in ("average", "min", "max"):
-        r = (grouped_ranks if ctx.frame.groups else table_ranks)(ctx, value, down, missing)
+        r = ranks_of(ctx, value, down, missing)
         out = (r["rank"] + r["upto"]) / F.lit(2.0) if ties_method == "average" else (r["rank"] if ties_method == "min" else r["upto"])
         return Val(F.when(value.isNotNull(), out) if missing == "keep" else out, "row", True)
     value = ctx.hoist(value)

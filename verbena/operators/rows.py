@@ -11,7 +11,7 @@ from verbena.expr import Call, Col, Expr, Op, Range, RangeList, function, verb
 from verbena.frame import Context, Frame, Val, literal, quoted
 from verbena.functions.aggregate import na
 from verbena.functions.random import next_seed
-from verbena.functions.window import table_ranks
+from verbena.functions.window import counted_ranks
 from verbena.operators.mutate import computed, expanded, without_scratch
 from verbena.operators.select import resolve
 
@@ -191,7 +191,7 @@ def extreme(_data: Frame, order_by, n, prop, with_ties, down: bool) -> Frame:
     with_ties = True if with_ties is None else with_ties
     parts = ctx.partition()
     if not parts and with_ties is True:
-        rank = table_ranks(ctx, value, down, "bottom")["rank"]
+        rank = counted_ranks(ctx, value, down, "bottom")["rank"]
     elif not parts and prop is None:
         keys = [key, *ctx.order_columns(reverse=with_ties == "last")]
         return without_scratch(ctx.frame.with_(ctx.df.orderBy(*keys).limit(n)))
