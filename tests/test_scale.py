@@ -109,3 +109,14 @@ def test_ranks_in_large_groups(spark, tmp_path, values, missing):
             want[x[0]] = (lo, de, upto / len(part), (lo - 1) / (len(part) - 1), place[x[2], True][0], (lo + upto) / 2)
     got = {x["id"]: (x["lo"], x["de"], x["cu"], x["pe"], x["down"], x["av"]) for x in out.df.collect()}
     assert got == {i: want.get(i, (None,) * 6) for i in range(9000)}
+
+
+def test_ties_in_large_groups(spark, table):
+    path, rows = table
+    out = Frame(spark.read.parquet(path)) >> group_by(f.s) >> transmute(id=f.id, lo=rank(f.k, ties_method="min", na_last="keep"), hi=rank(f.k, ties_method="max", na_last="keep"), av=rank(f.k, na_last="keep"))
+    assert "windowspecdefinition(s#" not in plan(out)
+    known = [(x[2], x[1]) for x in rows if x[1] is not None]
+    for x in out.df.collect():
+        s, k = rows[x["id"]][2], rows[x["id"]][1]
+        lo, hi = sum(a == s and b < k for a, b in known) + 1 if k is not None else None, sum(a == s and b <= k for a, b in known) if k is not None else None
+        assert (x["lo"], x["hi"], x["av"]) == (lo, hi, None if k is None else (lo + hi) / 2)
