@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verbena.all import arrange, cume_dist, dense_rank, desc, f, fill, group_by, inner_join, left_join, min_rank, percent_rank, rank, right_join, transmute, ungroup
+from verbena.all import arrange, cume_dist, dense_rank, desc, f, fill, group_by, inner_join, left_join, min_rank, percent_rank, rank, right_join, row_number, slice_, slice_head, slice_sample, transmute, ungroup
 from verbena.frame import Frame
 from verbena.functions import math as math_functions
 
@@ -120,3 +120,44 @@ def test_ties_in_large_groups(spark, table):
         s, k = rows[x["id"]][2], rows[x["id"]][1]
         lo, hi = sum(a == s and b < k for a, b in known) + 1 if k is not None else None, sum(a == s and b <= k for a, b in known) if k is not None else None
         assert (x["lo"], x["hi"], x["av"]) == (lo, hi, None if k is None else (lo + hi) / 2)
+
+
+@pytest.mark.parametrize("keys", [(), ("k", "id"), ("-k", "id")])
+def test_positions_in_large_groups(spark, table, keys):
+    path, rows = table
+    frame = Frame(spark.read.parquet(path))
+    if keys:
+        frame = frame >> arrange(*[desc(f[k[1:]]) if k[0] == "-" else f[k] for k in keys])
+        sign = -1 if keys[0] == "-k" else 1
+        order = sorted(rows, key=lambda x: (x[1] is None, sign * (x[1] or 0), x[0]))
+    else:
+        order = [rows[r["id"]] for r in frame.ordinal("at").df.orderBy("at").collect()]
+    want, seen = {}, Counter()
+    for x in order:
+        seen[x[2]] += 1
+        want[x[0]] = seen[x[2]]
+    grouped = frame >> group_by(f.s)
+    out = grouped >> transmute(id=f.id, rn=row_number())
+    assert "windowspecdefinition(s#" not in plan(out)
+    assert {r["id"]: r["rn"] for r in out.df.collect()} == want
+    head, some = grouped >> slice_head(n=7), grouped >> slice_(3, 1200)
+    assert "windowspecdefinition(s#" not in plan(head)
+    assert {r["id"] for r in head.df.collect()} == {i for i, at in want.items() if at <= 7}
+    assert {r["id"] for r in some.df.collect()} == {i for i, at in want.items() if at in (4, 1201)}
+
+
+def test_draws_in_large_groups(spark, table):
+    path, rows = table
+    frame = Frame(spark.read.parquet(path)) >> group_by(f.s)
+    sizes = Counter(x[2] for x in rows)
+    for n, prop in ((25_000, None), (None, 1.5)):
+        out = frame >> slice_sample(n=n, prop=prop, replace=True, random_state=3)
+        assert "windowspecdefinition(s#" not in plan(out) and "rightHint=(strategy=merge)" in plan(out)  # draws are not broadcast
+        got = out.df.collect()
+        assert Counter(r["s"] for r in got) == {k: n or int(c * prop) for k, c in sizes.items()}
+        assert all(rows[r["id"]] == (r["id"], r["k"], r["s"], r["v"]) for r in got)
+        for k, c in sizes.items():  # as many rows are never drawn as chance has it
+            missed = (1 - len({r["id"] for r in got if r["s"] == k}) / c) - (1 - 1 / c) ** (n or int(c * prop))
+            assert abs(missed) < 0.05
+    again = [sorted(r["id"] for r in (frame >> slice_sample(n=500, replace=True, random_state=s)).df.collect()) for s in (1, 1, 2)]
+    assert again[0] == again[1] != again[2]

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbena.expr import Call, Col, Expr, Op, Range, RangeList, function, verb
-from verbena.frame import Context, Frame, Val, literal, quoted
+from verbena.frame import Context, Frame, Val, group_positions, literal, quoted
 from verbena.functions.aggregate import na
 from verbena.functions.random import next_seed
 from verbena.functions.window import counted_ranks
 from verbena.operators.mutate import computed, expanded, without_scratch
 from verbena.operators.select import resolve
 
+#: Draws with putting back that are numbered at once.
+DRAWS = 10_000
+
 
 def _desc_plain(x):
     return sorted(x, reverse=True) if isinstance(x, (list, tuple)) else -x
@@ -78,6 +81,9 @@ def row_position(frame: Frame, reverse: bool = False) -> tuple[Frame, Column]:
     """The 0-based position of each row in its group."""
     own = frame.ordered()
     if own.groups:
+        made = None if reverse else group_positions(own, [(quoted(o), d) for o, d in own.order], "__at0")
+        if made is not None:
+            return own.with_(made), quoted("__at0")
         window = Window.partitionBy(*map(quoted, own.groups)).orderBy(*own.sort_columns(reverse))
         return own, (F.row_number().over(window) - 1).cast("bigint")
     out = own.ordinal("__at0").with_(order=own.order)
@@ -226,6 +232,18 @@ def slice_max(_data, order_by, n=1, prop=None, with_ties=None):
     return extreme(_data, order_by, n, prop, with_ties, True)
 
 
+def draws_of(groups: DataFrame, names: list[str], total: Column, seed: int) -> DataFrame:
+    """One row for each draw with putting back: the group, its number __i, and __even between 0 and 1
+    that depends on both alone. They are numbered in pieces, dealt over the tasks; as plans take them
+    to be as few as the groups, joins must not broadcast them."""
+    last = total.cast("bigint")
+    pieces = groups.where(total > 0).withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((last - 1) / DRAWS).cast("bigint"))))
+    pieces = pieces.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    draws = pieces.withColumn("__i", F.explode(F.sequence(F.col("__piece") * DRAWS + 1, F.least(last, (F.col("__piece") + 1) * DRAWS))))
+    bits = F.xxhash64(F.lit(seed), F.lit("draw"), F.col("__i"), *map(quoted, names))
+    return draws.withColumn("__even", (F.pmod(bits, F.lit(1 << 52)) + 0.5) / float(1 << 52))
+
+
 @verb
 def slice_sample(_data, n=1, prop=None, weight_by=None, replace=False, random_state=None):
     """Rows at random, per group; with weights by exponential keys; with putting back every
@@ -256,12 +274,12 @@ def slice_sample(_data, n=1, prop=None, weight_by=None, replace=False, random_st
         frame = own.with_(own.df.withColumn("__place", at))
         groups = frame.df.groupBy(*map(quoted, _data.groups)).agg(F.count("*").alias("__size"))
         total = F.lit(n) if prop is None else F.floor(F.col("__size") * prop)
-        draws = groups.where(total > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), total.cast("int"))))
-        draws = draws.select(*[quoted(g).alias(f"__of_{g}") for g in _data.groups], F.floor(F.rand(seed) * F.col("__size")).alias("__drawn"))
+        draws = draws_of(groups, _data.groups, total, seed)
+        draws = draws.select(*[quoted(g).alias(f"__of_{g}") for g in _data.groups], F.floor(F.col("__even") * F.col("__size")).alias("__drawn"))
         same = F.col("__place") == F.col("__drawn")
         for g in _data.groups:
             same = same & quoted(g).eqNullSafe(quoted(f"__of_{g}"))
-        out = frame.df.join(draws, same).select(*[quoted(c) for c in own.df.columns if c != "__at0"])
+        out = frame.df.join(draws.hint("merge"), same).select(*[quoted(c) for c in own.df.columns if c != "__at0"])
         return own.with_(out)
     frame = ctx.frame.with_(ctx.frame.df.withColumn("__w", ctx.row(weight_by).cast("double")))
     # every draw is a point on the line of the weights; the line is cut into cells as long as the
@@ -276,11 +294,11 @@ def slice_sample(_data, n=1, prop=None, weight_by=None, replace=False, random_st
     for g in _data.groups:
         same = same & quoted(g).eqNullSafe(quoted(f"__of_{g}"))
     step = F.col("__all") / F.col("__size")
-    draws = groups.where(total > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), total.cast("int")))).withColumn("__u", F.rand(seed) * F.col("__all"))
+    draws = draws_of(groups, _data.groups, total, seed).withColumn("__u", F.col("__even") * F.col("__all"))
     draws = draws.select(*of, "__i", "__u", F.floor(F.col("__u") / step).alias("__cell"))
     rows = frame.df.where("__w > 0").join(groups.select(*of, step.alias("__step")), same)
     rows = rows.drop(*[f"__of_{g}" for g in _data.groups]).withColumn("__cell", F.explode(F.sequence(F.floor((F.col("__to") - F.col("__w")) / F.col("__step")), F.floor(F.col("__to") / F.col("__step")))))
-    met = rows.alias("r").join(draws.alias("d"), same & (F.col("r.__cell") == F.col("d.__cell")) & F.expr("__u < __to and __u >= __to - __w"))
+    met = rows.alias("r").join(draws.hint("merge").alias("d"), same & (F.col("r.__cell") == F.col("d.__cell")) & F.expr("__u < __to and __u >= __to - __w"))
     return own.with_(met.select(*[F.col(f"r.`{c}`") for c in own.df.columns]))
 
 
